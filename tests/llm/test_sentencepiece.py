@@ -1,0 +1,91 @@
+import hashlib
+import struct
+
+import public_tokenizers
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import queries
+from tidemark.llm import sentencepiece_codec as S
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+CODEC = S.Codec(PATH)
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t▁aAthe<s>é\U0001f600　\x00#.,́", max_size=40), max_size=4))
+def test_ids_and_spans_are_the_librarys(texts):
+    for text, (ids, begins, ends) in zip(texts, CODEC.encode(texts), strict=True):
+        pieces = LIBRARY.encode(text, return_type="proto").pieces
+        assert ids.tolist() == [p.id for p in pieces]
+        assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == [(p.begin, p.end) for p in pieces]
+
+
+def double_array(entries: dict[bytes, int]) -> list[int]:
+    """A small trie in the compiled layout: units of label, leaf bit and offset."""
+    units, trie = {}, {}
+    for key, value in entries.items():
+        node = trie
+        for b in key:
+            node = node.setdefault(b, {})
+        node[-1] = value
+    free = [1]
+
+    def place(node: dict, at: int, label: int) -> None:
+        labels = [b if b >= 0 else 0 for b in node]
+        base = free[0] << 8
+        free[0] += 1
+        units[at] = (base ^ at) << 10 | label | (256 if -1 in node else 0)
+        if -1 in node:
+            units[base] = node[-1] | 1 << 31
+        for b in [b for b in node if b >= 0]:
+            place(node[b], base ^ b, b)
+        assert len(set(labels)) == len(labels)
+
+    place(trie, 0, 0)
+    return [units.get(i, 1 << 31 | 0xFE) for i in range(max(units) + 1)]
+
+
+def codec_with_map(pairs: dict[str, str], squeeze: bool) -> S.Codec:
+    blob, at = b"", {}
+    for key, value in pairs.items():
+        at[key.encode()] = len(blob)
+        blob += value.encode() + b"\0"
+    units = double_array(at)
+    codec = S.Codec(PATH)
+    codec.map = S.CharacterMap(struct.pack(f"<I{len(units)}I", 4 * len(units), *units) + blob)
+    codec.squeeze = squeeze
+    return codec
+
+
+def test_longest_prefix_and_source_alignment():
+    codec = codec_with_map({"ﬁ": "fi", "é": "é", "　": " ", "ab": "X", "abc": "YZ", "\t": " "}, squeeze=False)
+    surface, starts = codec.normalise("ﬁéabcabd")
+    assert surface == " fiéYZXd"
+    assert starts.tolist() == [0, 0, 0, 3, 3, 6, 6, 9, 11, 12]
+    surface, starts = codec_with_map({"　": " ", "\t": " "}, squeeze=True).normalise(" \t a 　b \t")
+    assert surface == " a b" and starts.tolist() == [3, 3, 4, 8, 9]
+
+
+def test_frame_nulls_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a b", "z"), (3, "a b", "z"), (None, "café " * 30000, "w")], "doc_id long, text string, ids string")
+    rows = S.encode_frame(df, PATH).collect()
+    assert len(rows) == 5 and {r.text for r in rows} == {None, "", "a b", "café " * 30000}
+    for r in rows:
+        text = r.text or ""
+        assert r.ids == LIBRARY.encode(text) and r.decoded == (LIBRARY.decode(r.ids) if r.ids else "") and r.decoded == text
+        raw = text.encode()
+        assert b"".join(raw[b:e] for b, e in zip(r.begins, r.ends, strict=True)) == raw
+    assert S.encode_frame(df.limit(0), PATH).count() == 0
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = LIBRARY.encode(r.text or "")
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids)), True)
+    assert {r[0]: tuple(r[1:]) for r in queries.op1_sentencepiece(spark, sf).collect()} == want

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, url_filters
+from tidemark.llm import chat, decontaminate, sentencepiece_codec, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,37 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 URL_TERMS = ("spam", "pills", "casino")
 
 
+#: File of the tokenizer.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: Words of a test string of a benchmark.
+WINDOW = 13
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"), "text")
+    coded = sentencepiece_codec.encode_frame(docs, PIECE_MODEL, keep_text=False)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        (F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)) == F.coalesce("n_bytes", F.lit(0))).alias("spans_cover_text"),
+    )
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_overlap(docs, table(spark, sf_dir, "benchmark"), WINDOW, keep_text=False)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     added = spark.sql("select * from values (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) as v(conv_id, turn, role, text)", args={"t": both})
@@ -41,14 +73,36 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op6_chat_windows": op6_chat_windows, "op7_url_cascade": op7_url_cascade}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_chat_windows": op6_chat_windows,
+    "op7_url_cascade": op7_url_cascade,
+}
 
 _OP7_FITS = " ".join(
     f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v}:{h}{p}'" for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
 )
 _OP7_LISTED = " or ".join(f"contains(host, '{t}')" for t in URL_TERMS)
 
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE = {
+    "op3_decontaminate": f"""
+        with d as (select doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
+        b as (select cast(item_id as varchar) as item, {_WORDS.format("text")} as w from benchmark),
+        bl as (select item, w, least(len(w), {WINDOW}) as m from b where len(w) > 0),
+        pat as (select distinct item, m, array_to_string(w[i:i + m - 1], ' ') as k from (select item, w, m, unnest(range(1, len(w) - m + 2)) as i from bl)),
+        ms as (select distinct m from pat),
+        win as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as k
+                from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, ms where len(w) >= m)),
+        occ as (select doc_id, item, win.m as m, i from win join pat on win.m = pat.m and win.k = pat.k),
+        hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + m)) as p from occ) group by doc_id),
+        its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from occ) group by doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join hit using (doc_id) left join its using (doc_id)
+    """,
     "op7_url_cascade": f"""
         with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
         h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from a),
