@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, sentencepiece_codec, url_filters
+from tidemark.llm import chat, decontaminate, language, quality, sentencepiece_codec, toxicity, url_filters
+from tidemark.llm.common import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,31 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    out = toxicity.score(docs, model, keep_text=False)
+    return out.select("doc_id", held_out().alias("held_out"), "severity", "score", "grade", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~held_out()))
+    out = language.predict(docs.select("doc_id", "text"), model, keep_text=False)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.AdditiveModel:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality_model(spark, sf_dir), keep_text=False)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     added = spark.sql("select * from values (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) as v(conv_id, turn, role, text)", args={"t": both})
@@ -75,7 +101,10 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
     "op6_chat_windows": op6_chat_windows,
     "op7_url_cascade": op7_url_cascade,
 }
