@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, quality, sentencepiece_codec, toxicity, url_filters
+from tidemark.llm import chat, decontaminate, language, line_dedup, quality, sentencepiece_codec, toxicity, url_filters
 from tidemark.llm.common import held_out
 
 
@@ -99,6 +99,11 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -107,6 +112,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_chat_windows": op6_chat_windows,
     "op7_url_cascade": op7_url_cascade,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 _OP7_FITS = " ".join(
@@ -142,4 +148,20 @@ ORACLE = {
                coalesce(split_part(hit, ':', 1), case when {_OP7_LISTED} then 'block' else 'allow' end) as verdict
         from r
     """,
+    "op8_line_dedup": f"""
+        with l as (select doc_id, i, line, lower(trim(line)) as x
+                   from (select doc_id, unnest(str_split(text, chr(10))) as line, generate_subscripts(str_split(text, chr(10)), 1) as i from documents where text is not null)),
+        d as (select x, length(x) as n, min((doc_id, i)) as f from l where length(x) >= {line_dedup.MIN_CHARS} group by x),
+        k as (select x, n, f, n - o as m, o, unnest([0, 1]) as s from (select *, unnest([0, 1]) as o from d)),
+        h as (select *, case when s = 0 then right(x, m - m // 2) else left(x, m // 2) end as part from k),
+        p as (select distinct a.x as x, b.x as y from h a join h b on a.m = b.m and a.s = b.s and a.part = b.part and a.o + b.o < 2 and b.f < a.f),
+        near as (select distinct x from p where
+            (length(x) = length(y) and len(list_filter(range(length(x)), lambda q: left(x, q) = left(y, q) and substr(x, q + 2) = substr(y, q + 2))) > 0)
+            or (length(x) = length(y) + 1 and len(list_filter(range(length(x)), lambda q: left(x, q) = left(y, q) and substr(x, q + 2) = substr(y, q + 1))) > 0)
+            or (length(y) = length(x) + 1 and len(list_filter(range(length(y)), lambda q: left(y, q) = left(x, q) and substr(y, q + 2) = substr(x, q + 1))) > 0)),
+        g as (select l.*, d.x is not null and (near.x is not null or (l.doc_id, l.i) != d.f) as gone from l left join d on l.x = d.x left join near on l.x = near.x),
+        r as (select doc_id, string_agg(line, chr(10) order by i) filter (not gone) as t, count(*) as n_lines, count(*) filter (gone) as n_dropped from g group by doc_id)
+        select doc_id, case when documents.text is null then null else coalesce(t, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped
+        from documents left join r using (doc_id)
+    """,
 }
