@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, line_dedup, quality, sentencepiece_codec, toxicity, url_filters
+from tidemark.llm import chat, decontaminate, language, line_dedup, ngram_join, quality, sentencepiece_codec, toxicity, url_filters
 from tidemark.llm.common import held_out
 
 
@@ -104,6 +104,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, percent=75)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -113,6 +117,7 @@ QUERIES = {
     "op6_chat_windows": op6_chat_windows,
     "op7_url_cascade": op7_url_cascade,
     "op8_line_dedup": op8_line_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _OP7_FITS = " ".join(
