@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, line_dedup, ngram_join, quality, sentencepiece_codec, toxicity, url_filters
+from tidemark.llm import chat, decontaminate, language, line_dedup, near_embeddings, ngram_join, quality, sentencepiece_codec, toxicity, url_filters
 from tidemark.llm.common import held_out
 
 
@@ -104,6 +104,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, percent=75)
 
@@ -117,6 +121,7 @@ QUERIES = {
     "op6_chat_windows": op6_chat_windows,
     "op7_url_cascade": op7_url_cascade,
     "op8_line_dedup": op8_line_dedup,
+    "op9_near_embeddings": op9_near_embeddings,
     "op10_ngram_join": op10_ngram_join,
 }
 
@@ -169,4 +174,11 @@ ORACLE = {
         select doc_id, case when documents.text is null then null else coalesce(t, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped
         from documents left join r using (doc_id)
     """,
+    "op9_near_embeddings": """
+        with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+        p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id != b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r as (with recursive t(a, b) as (select vec_id, vec_id from v union select t.a, p.b from t join p on p.a = t.b) select a, min(b) as component_id from t group by a)
+        select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+        from v left join (select a, count(*) as n from p group by a) p on vec_id = p.a join r on vec_id = r.a
+    """,
 }
