@@ -194,7 +194,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, text: str = "
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     every = cuts.cut(_outlined(docs, n))
     tables = every.filter("counts is not null").select("counts").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32))
-    counts = tables.treeReduce(lambda a, b: a + b, depth=3)
+    counts = tables.treeAggregate(np.zeros(BUCKETS, np.uint32), np.add, np.add, depth=3)
     every = every.filter("counts is null").drop("counts")
 
     firsts = _prefixes(docs, n, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select("x.*")
