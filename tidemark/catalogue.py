@@ -1,6 +1,285 @@
-"""All queries of the engine by name, with their SQL."""
+"""All queries of the engine by name, with DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import attribution, history, lru, paths, replay, supervised
+from tidemark.sources.tables import table, trace
+
+#: Units of the unit-size and of the sized cache, capacities of the curve.
+UNITS, SIZE_UNITS, CURVE = 30, 75, [10, 30, 75, 150]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+_TRACE = """
+    t as (select event_id, ts, user_id as folder, 1 + user_id % 7 as size, event_type as kind, value as reward from events),
+    p as (select *, row_number() over (order by ts, event_id) as pos from t),
+    q as (select *, lag(pos) over (partition by folder order by pos) as prev from p)"""
+_DEPTH = """
+    y as (select a.pos, sum(b.{w}) + any_value(a.{w}) as depth from {q} a join {q} b on b.pos > a.prev and b.pos < a.pos and coalesce(b.prev, 0) < a.prev group by a.pos),
+    d as (select {q}.*, case when prev is not null then coalesce(depth, {w}) end as depth from {q} left join y using (pos))"""
+_UNIT = _TRACE.replace("1 + user_id % 7 as size", "1 + user_id % 7 as size, 1 as one") + "," + _DEPTH.format(w="one", q="q")
+_CLASSES = _UNIT + f""",
+    c as (select *, case when size > {UNITS} then 'oversize' when prev is null then 'cold' when depth > {UNITS} then 'capacity' else 'hit' end as class from d)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return add
+
+
+def unit(spark, sf) -> DataFrame:
+    return lru.hits(lru.depths(trace(spark, sf)), UNITS)
+
+
+def classes(spark, sf) -> DataFrame:
+    return attribution.classed(lru.depths(trace(spark, sf)), UNITS)
+
+
+@query("q01_position", f"with {_TRACE} select event_id, pos, prev from q")
+def q01(spark, sf):
+    return lru.placed(trace(spark, sf)).select("event_id", "pos", "prev")
+
+
+@query("q02_lru_hits", f"with {_UNIT} select event_id, cast(depth as bigint) as depth, case when depth <= {UNITS} then 1 else 0 end as hit from d")
+def q02(spark, sf):
+    return unit(spark, sf).select("event_id", "depth", "hit")
+
+
+@query("q03_lru_hits_sized", f"""
+    with {_TRACE}, f as (select * from q where size <= {SIZE_UNITS}), {_DEPTH.format(w="size", q="f")}
+    select event_id, size, case when depth <= {SIZE_UNITS} then 1 else 0 end as hit from d
+    union all select event_id, size, 0 from q where size > {SIZE_UNITS}""")
+def q03(spark, sf):
+    return lru.sized(trace(spark, sf), SIZE_UNITS).select("event_id", "size", "hit")
+
+
+@query("q03_lru_hits_oversize", f"""
+    with {_TRACE}, f as (select event_id, folder, size, row_number() over (order by ts, event_id) as pos from t where size <= 5),
+    g as (select *, lag(pos) over (partition by folder order by pos) as prev from f), {_DEPTH.format(w="size", q="g")}
+    select event_id, size, case when depth <= 5 then 1 else 0 end as hit from d
+    union all select event_id, size, 0 from t where size > 5""")
+def q03b(spark, sf):
+    return lru.sized(trace(spark, sf), 5).select("event_id", "size", "hit")
+
+
+@query("q04_hit_curve", f"with {_UNIT} select cast(c as bigint) as capacity, count(*) filter (depth <= c) as n_hits, count(*) as n from d, unnest({CURVE}) as u(c) group by c")
+def q04(spark, sf):
+    return lru.hit_curve(lru.depths(trace(spark, sf)), CURVE)
+
+
+_RATE = "count(*) as n, count(*) filter (depth <= {u}) as n_hits, count(*) filter (depth <= {u}) / cast(count(*) as double) as hit_rate".format(u=UNITS)
+
+
+@query("q05_hit_rate_by_day", f"with {_UNIT} select cast(date_trunc('day', ts) as date) as day, {_RATE} from d group by 1")
+def q05(spark, sf):
+    return attribution.hit_rate(unit(spark, sf), F.date_trunc("day", F.col("ts").cast("timestamp")).cast("date").alias("day"))
+
+
+@query("q05_hit_rate_by_folder", f"with {_UNIT} select folder, {_RATE} from d group by 1")
+def q05b(spark, sf):
+    return attribution.hit_rate(unit(spark, sf), "folder")
+
+
+@query("q06_miss_class", f"with {_CLASSES} select event_id, class from c")
+def q06(spark, sf):
+    return classes(spark, sf).select("event_id", "class")
+
+
+@query("q07_attribution", f"""
+    with {_CLASSES} select class, kind, day, cast(grouping_id(class, kind, day) as bigint) as level, count(*) as n
+    from (select class, kind, cast(date_trunc('day', ts) as date) as day from c) group by grouping sets ((class, kind), (class, day), (class))""")
+def q07(spark, sf):
+    return attribution.by_dimension(classes(spark, sf))
+
+
+@query("q08_worst_folders", f"with {_CLASSES} select folder, count(*) as n_misses from c where class = 'capacity' group by 1 order by 2 desc, 1 limit 10")
+def q08(spark, sf):
+    return attribution.worst(classes(spark, sf))
+
+
+@query("q09_reuse_gaps", f"""
+    with {_TRACE} select case when prev is null then 'none' when pos - prev <= 10 then 'upto_10' when pos - prev <= 100 then 'upto_100' else 'over_100' end as band, count(*) as n
+    from q group by 1""")
+def q09(spark, sf):
+    return attribution.reuse_gaps(lru.placed(trace(spark, sf)))
+
+
+_TOKENS = "select page_id, regexp_extract(url, '://([^/]*)', 1) as host, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) as segment from pages"
+
+
+@query("q10_path_tokens", _TOKENS)
+def q10(spark, sf):
+    return paths.tokens(table(spark, sf, "pages"))
+
+
+@query("q11_path_rollup", f"select host, segment, cast(grouping_id(host, segment) as bigint) as level, count(*) as n from ({_TOKENS}) group by rollup (host, segment)")
+def q11(spark, sf):
+    return paths.prefix_rollup(paths.tokens(table(spark, sf, "pages")))
+
+
+@query("q12_hashed_vectors", """
+    with w as (select page_id, unnest(list_filter(regexp_split_to_array(url, '[/:?#&=]+'), lambda x: x != '')) as token from pages)
+    select page_id, cast(cast('0x' || left(sha256(token), 4) as bigint) % 32 as bigint) as bucket, count(*) as n from w group by 1, 2""")
+def q12(spark, sf):
+    return paths.hashed_counts(table(spark, sf, "pages"))
+
+
+@query("q13_nearest_vectors", """
+    with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+    s as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 4) as cosine from e a join e b on a.vec_id != b.vec_id where a.vec_id < 20)
+    select query_id, vec_id, cosine, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s qualify rank <= 5""")
+def q13(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return paths.nearest(vectors, asked).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("q14_trailing_count", f"with {_TRACE} select event_id, count(*) over (partition by folder order by ts range between interval 6 hours preceding and current row) as n_recent from t")
+def q14(spark, sf):
+    return history.trailing_count(trace(spark, sf), 6).select("event_id", "n_recent")
+
+
+_BY = "over (partition by folder order by ts, event_id)"
+
+
+@query("q15_since_last", f"with {_TRACE} select event_id, epoch_us(ts) - lag(epoch_us(ts)) {_BY} as gap_us from t")
+def q15(spark, sf):
+    return history.since_last(trace(spark, sf)).select("event_id", "gap_us")
+
+
+_DEMAND = "dm as (select cast(date_trunc('day', ts) as date) as day, folder, count(*) as n, max((ts, event_id)) as last from t group by 1, 2)"
+
+
+@query("q16_daily_demand", f"with {_TRACE}, {_DEMAND} select day, folder, n from dm")
+def q16(spark, sf):
+    return history.daily_demand(trace(spark, sf))
+
+
+@query("q17_last_kinds", f"with {_TRACE} select event_id, coalesce(array_to_string(list(kind) over (partition by folder order by ts, event_id rows between 3 preceding and 1 preceding), ','), '') as last_kinds from t")
+def q17(spark, sf):
+    return history.last_kinds(trace(spark, sf)).select("event_id", "last_kinds")
+
+
+@query("q18_decayed_score", f"""
+    with {_TRACE} select a.event_id, round(coalesce(sum(exp(-(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0)), 0), 4) as score
+    from t a left join t b on a.folder = b.folder and (b.ts, b.event_id) < (a.ts, a.event_id) group by 1""")
+def q18(spark, sf):
+    return history.decayed(trace(spark, sf)).select("event_id", F.round("score", 4).alias("score"))
+
+
+@query("q19_next_access", f"with {_TRACE} select event_id, case when epoch_us(lead(ts) {_BY}) - epoch_us(ts) <= 43200000000 then 1 else 0 end as label from t")
+def q19(spark, sf):
+    return history.next_within(trace(spark, sf), 12).select("event_id", "label")
+
+
+@query("q20_split", "select event_id, case when cast('0x' || left(sha256(cast(event_id as varchar)), 8) as bigint) % 10 < 8 then 'train' else 'test' end as split from events")
+def q20(spark, sf):
+    return supervised.split(trace(spark, sf)).select("event_id", "split")
+
+
+@query("q21_negatives", f"""
+    with {_TRACE}, {_DEMAND},
+    r as (select folder, row_number() over (order by sha256(cast(folder as varchar)), folder) - 1 as r, count(*) over () as f from (select distinct folder from t)),
+    g as (select day, cast('0x' || left(sha256(cast(day as varchar)), 8) as bigint) as h from (select distinct day from dm))
+    select day, folder, row_number() over (partition by day order by (r - h % f + f) % f) as rank
+    from g, r where not exists (select 1 from dm where dm.day = g.day and dm.folder = r.folder) qualify rank <= 5""")
+def q21(spark, sf):
+    return supervised.negatives(trace(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("q22_training_rows", f"""
+    with {_TRACE} select event_id, reward, count(*) over (partition by folder order by ts range between interval 24 hours preceding and current row) as n_recent,
+    case when epoch_us(lead(ts) {_BY}) - epoch_us(ts) <= 21600000000 then 1 else 0 end as label from t""")
+def q22(spark, sf):
+    return supervised.training_rows(trace(spark, sf), 24, 6).select("event_id", "reward", "n_recent", "label")
+
+
+@query("q23_actor_fit")
+def q23(spark, sf):
+    return supervised.fit_actor(supervised.training_rows(trace(spark, sf), 24, 6), ["n_recent", "reward"]).select("event_id", "label", "probability")
+
+
+_LISTS = f"""{_TRACE}, {_DEMAND},
+    pop as (select cast(day + 1 as date) as day, folder, row_number() over (partition by day order by n desc, folder) as rank from dm qualify rank <= 20),
+    rec as (select cast(day + 1 as date) as day, folder, row_number() over (partition by day order by last desc, folder) as rank from dm qualify rank <= 20),
+    can as (select day, folder from pop union select day, folder from rec)"""
+
+
+@query("q24_candidates", f"with {_LISTS} select day, folder from can")
+def q24(spark, sf):
+    return supervised.candidates(trace(spark, sf))
+
+
+@query("q25_recall", f"""
+    with {_LISTS} select dm.day, count(*) as n, count(pop.folder) as n_found, count(pop.folder) / cast(count(*) as double) as recall
+    from dm left join pop on dm.day = pop.day and dm.folder = pop.folder where dm.day in (select day from pop) group by 1""")
+def q25(spark, sf):
+    rows = trace(spark, sf)
+    return supervised.recall(rows, supervised.popular(rows))
+
+
+@query("q26_ranking_quality", f"""
+    with {_LISTS} select day, round(1.0::double / min(rank), 4) as reciprocal_rank, round(sum(1 / log2(rank + 1)), 4) as dcg
+    from dm join pop using (day, folder) group by 1""")
+def q26(spark, sf):
+    rows = trace(spark, sf)
+    return supervised.ranking_quality(rows, supervised.popular(rows))
+
+
+@query("q27_transitions", f"with {_TRACE} select event_id, folder, kind as state, reward, lead(kind) {_BY} as next_state, case when lead(event_id) {_BY} is null then 1 else 0 end as done from t")
+def q27(spark, sf):
+    return replay.transitions(trace(spark, sf))
+
+
+@query("q28_discounted_return", f"with {_TRACE} select folder, round(sum(power(0.9::double, n - 1) * reward), 4) as return from (select *, row_number() {_BY} as n from t) group by 1")
+def q28(spark, sf):
+    return replay.discounted(trace(spark, sf))
+
+
+@query("q29_three_step_return", f"with {_TRACE} select event_id, round(reward + 0.9::double * coalesce(lead(reward, 1) {_BY}, 0) + 0.81::double * coalesce(lead(reward, 2) {_BY}, 0), 4) as return_3 from t")
+def q29(spark, sf):
+    return replay.three_steps(trace(spark, sf))
+
+
+@query("q30_critic_fit")
+def q30(spark, sf):
+    return replay.fit_critic(trace(spark, sf)).select("event_id", "future", "critic")
+
+
+@query("q31_policy_fit")
+def q31(spark, sf):
+    return replay.fit_policy(trace(spark, sf)).select("event_id", "weight", "policy")
+
+
+@query("q32_policy_replay")
+def q32(spark, sf):
+    return replay.replayed(trace(spark, sf), UNITS, 5.0)
+
+
+@query("q33_ablation", f"""
+    with {_LISTS}, c as (
+        select 'popular' as list, count(*) as n_found from dm join pop using (day, folder)
+        union all select 'recent', count(*) from dm join rec using (day, folder)
+        union all select 'union', count(*) from dm join can using (day, folder))
+    select list, n_found, n_found - (select n_found from c where list = 'union') as delta from c""")
+def q33(spark, sf):
+    return supervised.ablation(trace(spark, sf))
+
+
+@query("q34_paired_capacities", f"""
+    with {_UNIT} select case when depth <= 30 then 1 else 0 end as small, case when depth <= 75 then 1 else 0 end as large, count(*) as n from d group by 1, 2""")
+def q34(spark, sf):
+    deep = lru.depths(trace(spark, sf))
+    small, large = (F.when(F.col("depth") <= c, 1).otherwise(0) for c in (30, 75))
+    return deep.groupBy(small.alias("small"), large.alias("large")).agg(F.count("*").alias("n"))

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Set-oriented operators over access traces."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Whole experiments, by name."""

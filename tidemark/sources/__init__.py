@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers and writers: tables, access logs, run directories."""

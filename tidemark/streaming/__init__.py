@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Access logs as streams."""
