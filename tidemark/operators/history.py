@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import seconds
 
-BY_TIME = Window.partitionBy("folder").orderBy("ts", "event_id")
-MICROS = F.unix_micros(F.col("ts").cast("timestamp"))
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("folder").orderBy("ts", "event_id")
+
+
+def micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def trailing_count(trace: DataFrame, hours: int) -> DataFrame:
     """Accesses of the folder in the hours up to and with this one."""
-    near = Window.partitionBy("folder").orderBy(MICROS).rangeBetween(-hours * 3_600_000_000, 0)
+    near = Window.partitionBy("folder").orderBy(micros()).rangeBetween(-hours * 3_600_000_000, 0)
     return trace.withColumn("n_recent", F.count("*").over(near))
 
 
 def since_last(trace: DataFrame) -> DataFrame:
     """Microseconds since the folder's last access."""
-    return trace.withColumn("gap_us", MICROS - F.lag(MICROS).over(BY_TIME))
+    return trace.withColumn("gap_us", micros() - F.lag(micros()).over(by_time()))
 
 
 def daily_demand(trace: DataFrame) -> DataFrame:
@@ -29,7 +34,7 @@ def daily_demand(trace: DataFrame) -> DataFrame:
 
 def last_kinds(trace: DataFrame, k: int = 3) -> DataFrame:
     """Kinds of the folder's k accesses before, oldest first, joined by commas."""
-    return trace.withColumn("last_kinds", F.concat_ws(",", F.collect_list("kind").over(BY_TIME.rowsBetween(-k, -1))))
+    return trace.withColumn("last_kinds", F.concat_ws(",", F.collect_list("kind").over(by_time().rowsBetween(-k, -1))))
 
 
 def decayed(trace: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def decayed(trace: DataFrame) -> DataFrame:
     exp(-(t - s)) is exp(-t) times exp(s), so running sums do; days are counted from
     the folder's first access and the past is summed in blocks of 256 days, so that
     no power leaves the range of doubles. One window, no self-join."""
-    days = (MICROS - F.min(MICROS).over(Window.partitionBy("folder"))) / 86_400_000_000
+    days = (micros() - F.min(micros()).over(Window.partitionBy("folder"))) / 86_400_000_000
     rows = trace.withColumn("t", days).withColumn("b", F.floor(F.col("t") / 256))
     rows = rows.withColumn("u", F.col("t") - 256 * F.col("b"))
     inside = Window.partitionBy("folder", "b").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,5 +56,5 @@ def decayed(trace: DataFrame) -> DataFrame:
 
 def next_within(trace: DataFrame, hours: int) -> DataFrame:
     """label 1 where the folder's next access comes within the hours, else 0."""
-    gap = seconds(F.lead("ts").over(BY_TIME), F.col("ts"))
+    gap = seconds(F.lead("ts").over(by_time()), F.col("ts"))
     return trace.withColumn("label", F.when(gap <= hours * 3600, 1).otherwise(0))

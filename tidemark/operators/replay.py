@@ -9,35 +9,32 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.history import BY_TIME
-
-AHEAD = BY_TIME.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
+from tidemark.operators.history import by_time
 
 def transitions(trace: DataFrame) -> DataFrame:
     """state, reward, next_state, done (1 for a folder's last access)."""
-    after = F.lead("kind").over(BY_TIME)
+    after = F.lead("kind").over(by_time())
     return trace.select("event_id", "folder", F.col("kind").alias("state"), "reward", after.alias("next_state"), F.when(after.isNull(), 1).otherwise(0).alias("done"))
 
 
 def discounted(trace: DataFrame, rate: float = 0.9) -> DataFrame:
     """Each folder's discounted return from its first access, rounded to 4 places."""
-    n = F.row_number().over(BY_TIME)
+    n = F.row_number().over(by_time())
     return trace.select("folder", (F.pow(F.lit(rate), n - 1) * F.col("reward")).alias("x")).groupBy("folder").agg(F.round(F.sum("x"), 4).alias("return"))
 
 
 def three_steps(trace: DataFrame, rate: float = 0.9) -> DataFrame:
     """Reward now and of the next two accesses, discounted."""
-    term = lambda k: F.coalesce(F.lead("reward", k).over(BY_TIME), F.lit(0.0)) * rate**k
+    term = lambda k: F.coalesce(F.lead("reward", k).over(by_time()), F.lit(0.0)) * rate**k
     return trace.select("event_id", F.round(F.col("reward") + term(1) + term(2), 4).alias("return_3"))
 
 
 def future_return(trace: DataFrame) -> DataFrame:
     """Append future: the next reward and 0.9 of the one after, without this one's."""
-    return trace.withColumn("future", F.coalesce(F.lead("reward", 1).over(BY_TIME), F.lit(0.0)) + 0.9 * F.coalesce(F.lead("reward", 2).over(BY_TIME), F.lit(0.0)))
+    return trace.withColumn("future", F.coalesce(F.lead("reward", 1).over(by_time()), F.lit(0.0)) + 0.9 * F.coalesce(F.lead("reward", 2).over(by_time()), F.lit(0.0)))
 
 
 def _features(rows: DataFrame) -> DataFrame:
