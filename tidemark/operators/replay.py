@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import by_time
 
+
 def transitions(trace: DataFrame) -> DataFrame:
     """state, reward, next_state, done (1 for a folder's last access)."""
     after = F.lead("kind").over(by_time())
