@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Cuts
+from tidemark.llm.url_filters import encode, passes
 
 #: Shorter lines, in normalised characters, are left alone.
 MIN_CHARS = 20
@@ -45,6 +46,16 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
+def _sifted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents but for most that are not wanted (wd, wth), by a Bloom filter, so
+    that the join that follows moves few texts; all of them where it would be too large."""
+    try:
+        level = encode(wanted.select(F.xxhash64("wd", "wth").alias("key")), 0, 16.0)
+    except OverflowError:
+        return docs
+    return docs.filter(passes(level, 0, F.xxhash64("d", "th"))) if level else docs.limit(0)
+
+
 def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """h1 of the distinct lines that have an earlier one within one edit."""
     by_key = Window.partitionBy("k")
@@ -52,7 +63,8 @@ def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame) -> DataFrame:
     halves = halves.withColumns({"a": F.min("h1").over(by_key), "b": F.max("h1").over(by_key)}).filter("a != b").drop("a", "b")
     halves = cuts.cut(halves)
     wanted = halves.select("h1", "first").distinct().groupBy(F.col("first.d").alias("wd"), F.col("first.th").alias("wth")).agg(F.collect_list(F.struct("first.i", "h1")).alias("of"))
-    found = docs.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & F.col("th").eqNullSafe(F.col("wth")))
+    wanted = cuts.cut(wanted)
+    found = _sifted(docs, wanted).join(wanted, F.col("d").eqNullSafe(F.col("wd")) & F.col("th").eqNullSafe(F.col("wth")))
     found = found.select(F.explode(F.transform("of", lambda x: F.struct(x["h1"].alias("h1"), normal(F.get(F.split("text", "\n", -1), x["i"])).alias("line")))).alias("x"))
     texts = cuts.cut(found.select("x.*").dropDuplicates(["h1"]))
     block = halves.join(texts, "h1").selectExpr("h1", "first", "k", "line", "length(line) as n", "j < 2 as even", "j % 2 as side", "if(j < 2, length(line), length(line) - 1) as m")
