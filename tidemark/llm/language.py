@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import map_texts
 
 #: Characters of labelled text for each language, and for all together.
-SAMPLE_CHARS, ALL_CHARS = 32_768, 1 << 20
+SAMPLE_CHARS, ALL_CHARS = 32_768, 1 << 18
 #: Character classes that are told apart: blank, the commonest letters, any other.
 CLASSES = 64
 #: A text is parsed in stretches of so many characters, side by side.
