@@ -181,4 +181,39 @@ ORACLE = {
         select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
         from v left join (select a, count(*) as n from p group by a) p on vec_id = p.a join r on vec_id = r.a
     """,
+    "op6_chat_windows": r"""
+        with recursive c as (
+            select conv_id, turn, role, text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        a as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from c),
+        e as (select *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</', '<\/'), ':', '\:') || ': '
+                        || replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') || '</turn>' || chr(10) as block from a),
+        b as (select *, row_number() over o - 1 as i, len(regexp_extract_all(block, '\w{1,4}|[^\w\s]')) as t, length(block) as ch from e
+              window o as (partition by conv_id order by turn nulls first, role, text)),
+        r as (select *, sum(t) over o as tt, sum(ch) over o as cc, count(*) over (partition by conv_id) as n,
+                     first(role = 'system') over o as kept, first(t) over o as t0, first(ch) over o as c0 from b window o as (partition by conv_id order by i)),
+        f as (select j.conv_id, j.i as s, case when j.i = 0 then 0 else min(h.i) end as fr
+              from r j join r h on j.conv_id = h.conv_id and h.i <= j.i and h.i >= greatest(j.kept::int, j.i - 4)
+               and (h.i = j.i or (j.tt - j.t - (h.tt - h.t) <= 128 and case when j.kept then j.t0 else 0 end + j.tt - (h.tt - h.t) <= 512)) or j.conv_id = h.conv_id and j.i = 0 and h.i = 0
+              group by j.conv_id, j.i),
+        g as (select f.conv_id, f.s, f.fr, any_value(h.tt - h.t) as tb, any_value(h.cc - h.ch) as cb, any_value(h.kept and f.s > 0) as lead, any_value(h.t0) as t0, any_value(h.c0) as c0, any_value(h.n) as n
+              from f join r h on f.conv_id = h.conv_id and f.fr = h.i group by 1, 2, 3),
+        x as (select g.conv_id, g.s, coalesce(min(j.i), any_value(g.n)) as e from g left join r j on j.conv_id = g.conv_id and j.i > g.s and j.tt - g.tb + case when g.lead then g.t0 else 0 end > 512 group by 1, 2),
+        w as (select conv_id, 0 as s from x where s = 0 union all select w.conv_id, x.e from w join x on w.conv_id = x.conv_id and w.s = x.s join g on g.conv_id = x.conv_id and g.s = 0 where x.e < g.n),
+        z as (select w.conv_id, sum(l.cc - g.cb + case when g.lead then g.c0 else 0 end) as formatted_chars, count(*) as n_windows
+              from w join x on w.conv_id = x.conv_id and w.s = x.s join g on w.conv_id = g.conv_id and w.s = g.s join r l on l.conv_id = w.conv_id and l.i = x.e - 1 group by 1),
+        y as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+                     coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '') as loss from r group by 1)
+        select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars, n_windows from y join z using (conv_id)
+    """,
+    "op10_ngram_join": """
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        l as (select a, b from c join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+        p as (select a, b from l union all select b, a from l),
+        r as (with recursive t(a, b) as (select doc_id, doc_id from d union select t.a, p.b from t join p on p.a = t.b) select a, min(b) as component_id from t group by a)
+        select d.doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (doc_id) join r on d.doc_id = r.a
+    """,
 }
