@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,12 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _remove(jvm, path: str) -> None:
+    """Delete a folder of this process's tables; what can't be reached stays."""
+    with contextlib.suppress(Exception):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+
+
 class Cuts:
-    """Tables written to the shared folder, so that lineage ends there."""
+    """Tables written to the shared folder, so that lineage ends there.
+
+    They last as long as the driver's process: results are read from them later."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(_remove, spark._jvm, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.made += 1
