@@ -72,6 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     cuts, docs = Cuts(spark), queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cuts.cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, cuts.cut(stage(spark, docs, sf_dir))
+        if k:
+            cuts.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
