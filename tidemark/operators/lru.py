@@ -50,10 +50,12 @@ def depths(trace: DataFrame, weight: Column | None = None, block: int = BLOCK) -
     rows = placed(trace).withColumn("w", w)
     rows = rows.withColumns({"j": F.floor((F.col("pos") - 1) / block), "i": F.floor((F.col("prev") - 1) / block)})
     slim = rows.select("pos", "prev", "w", "i", "j")
-    points = slim.select(F.col("j").alias("b"), "pos", F.coalesce("prev", F.lit(0)).alias("prev"), "w", F.lit(0).alias("ask"))
     queries = slim.filter("prev is not null")
-    own = queries.select(F.col("j").alias("b"), "pos", "prev", F.lit(0).alias("w"), F.lit(1).alias("ask"))
-    first = queries.filter("i != j").select(F.col("i").alias("b"), "pos", "prev", F.lit(0).alias("w"), F.lit(2).alias("ask"))
+    # each access is a point of its block, asks within it, and within its last place's block
+    asked = slim.selectExpr("""inline(array_compact(array(
+        struct(j as b, pos, coalesce(prev, 0L) as prev, w, 0 as ask),
+        if(prev is not null, struct(j as b, pos, prev, 0L as w, 1 as ask), null),
+        if(prev is not null and i != j, struct(i as b, pos, prev, 0L as w, 1 as ask), null))))""")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf[pdf.ask == 0].sort_values("pos")
@@ -71,7 +73,7 @@ def depths(trace: DataFrame, weight: Column | None = None, block: int = BLOCK) -
         part = dominance(p.prev.to_numpy(), p.w.to_numpy(), low, high, q.prev.to_numpy())
         return pd.DataFrame({"pos": q.pos.to_numpy(), "part": part})
 
-    parts = points.unionByName(own).unionByName(first).groupBy("b").applyInPandas(inside, "pos long, part long")
+    parts = asked.groupBy("b").applyInPandas(inside, "pos long, part long")
     parts = parts.unionByName(queries.groupBy("i").applyInPandas(between, "pos long, part long"))
     # weight of block k's accesses whose last place lies in a block before i, summed over i < k < j
     grid = slim.groupBy(F.col("j").alias("k"), F.coalesce("i", F.lit(-1)).alias("m")).agg(F.sum("w").alias("g"))
