@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,10 @@ def _hashed(vectors: DataFrame, projections: int, tables: int, cell: float) -> D
     return vectors.select("node", "label", F.size("v"), "v").mapInArrow(run, schema)
 
 
-def _exact(pairs: DataFrame, least: float) -> DataFrame:
+def _exact(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of at least that cosine."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("v").alias(f"v{side}")), side)
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding",
     node. Other columns are ignored; key and label must be integers.
 
     Candidates come from hashing: a pair at the bound is missed with a probability
-    that the parameters set; no pair below it is linked.
+    that the parameters set, unless a ball holds it; no pair below it is linked.
     """
     cuts = Cuts(df.sparkSession)
     v = F.col("v")
@@ -108,18 +111,21 @@ def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding",
     classes = cuts.cut(classes.select("h1", "h2", "x.*", "rows"))
 
     hashed = cuts.cut(_hashed(classes, projections, tables, cell))
-    left, right = (hashed.select(F.col("node").alias(c), "bucket") for c in ("a", "b"))
-    pairs = cuts.cut(left.join(right, "bucket").filter("a < b").select("a", "b").distinct())
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("v").alias(f"v{side}")), side)
-    links = cuts.cut(_exact(pairs, least))
-    links = cuts.cut(links.distinct())
+    centred = hashed.withColumn("centre", F.min("node").over(Window.partitionBy("bucket"))).filter("node != centre")
+    near = _exact(centred.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), classes, np.cos(np.arccos(least) / 2) + 1e-9)
+    balls = cuts.cut(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("ball")))
+    hashed = hashed.join(balls, "node", "left").withColumn("ball", F.coalesce("ball", "node"))
+    left, right = (hashed.select(F.col("node").alias(c), F.col("ball").alias(f"{c}_ball"), "bucket") for c in ("a", "b"))
+    pairs = cuts.cut(left.join(right, "bucket").filter("a < b and a_ball != b_ball").select("a", "b").distinct())
+    links = cuts.cut(_exact(pairs, classes, least).distinct())
 
     both = links.union(links.select("b", "a")).toDF("node", "other")
-    sizes = classes.groupBy("node").agg(F.sum("rows").alias("rows"))
-    degree = both.join(cuts.cut(sizes).withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("rows").alias("degree"))
-    known = classes.select("h1", "h2", "node", "rows").join(degree, "node", "left").join(components(links, "a", "b"), "node", "left")
-    known = cuts.cut(known.select("h1", "h2", (F.col("rows") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    sizes = cuts.cut(classes.groupBy("node").agg(F.sum("rows").alias("rows")).join(balls, "node", "left").withColumn("ball", F.coalesce("ball", "node")))
+    degree = both.join(sizes.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.sum("rows").alias("degree"))
+    inside = cuts.cut(sizes.groupBy("ball").agg(F.sum("rows").alias("inside")))
+    found = components(links.union(balls.select("node", "ball")), "a", "b")
+    known = classes.select("h1", "h2", "node").join(sizes.join(inside, "ball").select("node", "inside"), "node").join(degree, "node", "left").join(found, "node", "left")
+    known = cuts.cut(known.select("h1", "h2", (F.col("inside") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     out = rows.select("node", "h1", "h2", "fit").join(known.withColumn("fit", F.lit(True)), ["h1", "h2", "fit"], "left")
     component = F.when(F.col("node").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "node"))
     return out.select(
