@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression on word features.
 
 A text's features are its words and their beginnings of ``STEMS`` bytes, which
-inflected forms share, each as log(1 + count).
+inflected forms share, each as 1 + log(count).
 
 One set of weights serves all thresholds: the odds that a text's grade passes
 threshold k are exp(weights . words - threshold k), thresholds ascending
@@ -60,11 +60,11 @@ class OrdinalModel:
         sums = np.zeros(len(texts))
         for i, t in enumerate(texts):
             counts = features_of(t)
-            sums[i] = sum(self.weights[w] * math.log1p(counts[w]) for w in sorted(known & counts.keys()))
+            sums[i] = sum(self.weights[w] * (1 + math.log(counts[w])) for w in sorted(known & counts.keys()))
         return 1 / (1 + np.exp(-np.clip(sums[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, steps: int = 400, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) that maximise the likelihood of ``grades`` (0 to
     ``n_grades``) given the sparse values at (row, column), by Adam on all rows.
 
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     of the text is marked (features ten times as frequent in toxic texts), cut at
     equal numbers of texts into 1 to ``grades``. Without both labels nothing has weight.
     """
-    sample = bounded_sample(docs.select(key, text), labels, label, key, rows).select(F.col("__label").alias("y"), text)
+    sample = bounded_sample(docs.select(key, text), labels, label, key, rows).select(F.col("__label").alias("y"), F.xxhash64(key, text).alias("spot"), text)
     vocabulary = T.StructType([T.StructField("words", T.ArrayType(T.BinaryType()))])
     distinct = map_texts(sample, text, vocabulary, lambda: lambda texts: [[sorted(features_of(t)) for t in texts]], keep_text=False)
     totals = {r.y > 0: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -133,16 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
         return fn
 
-    got = map_texts(sample, text, pairs, setup, keep_text=False).orderBy("y", F.xxhash64("at", "count")).toArrow()
+    got = map_texts(sample, text, pairs, setup, keep_text=False).toArrow()
+    got = got.take(np.lexsort((got["y"].to_numpy(), got["spot"].to_numpy())))  # the same sums whatever came first
     y = got["y"].to_numpy()
     sizes = pa.compute.list_value_length(got["at"]).to_numpy()
     cols = pa.compute.list_flatten(got["at"]).to_numpy()
     counts = pa.compute.list_flatten(got["count"]).to_numpy()
     line = np.repeat(np.arange(len(y)), sizes)
-    amount = np.bincount(line, np.log1p(counts) * marked[cols], len(y)) if len(line) else np.zeros(len(y))
+    amount = np.bincount(line, (1 + np.log(counts)) * marked[cols], len(y)) if len(line) else np.zeros(len(y))
     cuts = np.quantile(amount[y > 0], np.linspace(0, 1, grades + 1)[1:-1])
     grade = np.where(y > 0, 1 + np.searchsorted(cuts, amount, side="left"), 0)
-    weights, thresholds = fit_ordinal(line, cols, np.log1p(counts), grade, len(top), grades)
+    weights, thresholds = fit_ordinal(line, cols, (1 + np.log(counts)), grade, len(top), grades)
     return OrdinalModel({w: float(weights[i]) for w, i in index.items()}, thresholds)
 
 
