@@ -145,6 +145,14 @@ def q13(spark, sf):
     return paths.nearest(vectors, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("q13_nearest_vectors_whole")
+def q13b(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = paths.nearest_in_blocks(vectors, asked)
+    return near.select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("q14_trailing_count", f"with {_TRACE} select event_id, count(*) over (partition by folder order by ts range between interval 6 hours preceding and current row) as n_recent from t")
 def q14(spark, sf):
     return history.trailing_count(trace(spark, sf), 6).select("event_id", "n_recent")
