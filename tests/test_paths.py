@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +41,17 @@ def test_blocks_against_all_pairs(spark, blocks):
     assert [x for x in got if x[0] >= 300] == [x for x in brute(vectors, range(300, 380, 4), 5)]
     scores = lambda rows: [round(float(np.dot(vectors[q], vectors[v])) / np.sqrt(float(np.dot(vectors[q], vectors[q])) * float(np.dot(vectors[v], vectors[v]))), 12) for q, v, _ in sorted(rows, key=lambda x: (x[0], x[2]))]
     assert scores(got) == scores(brute(vectors, range(0, 380, 4), 5))
+
+
+def test_ranks_go_by_the_unrounded_cosine(spark):
+    near = {0: [1.0, 0.0], 1: [1.0, 0.008], 2: [1.0, 0.004], 3: [1.0, 0.006]}  # all 1.0000 when rounded to 4 places
+    df = spark.createDataFrame(list(near.items()), "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert ranked(paths.nearest_in_blocks(df, asked, 2)) == [(0, 2, 1), (0, 3, 2)]
+
+
+def test_whole_search_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    want = con.execute(f"select query_id, vec_id, rank, cosine from ({catalogue.ORACLE['q13_nearest_vectors_whole']})").fetchall()
+    assert sorted((r.query_id, r.vec_id, r.rank, r.cosine) for r in catalogue.QUERIES["q13_nearest_vectors_whole"](spark, SF).collect()) == sorted(want)
