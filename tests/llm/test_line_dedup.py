@@ -78,3 +78,18 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(5, "same line here")], "doc_id long, text string")
     plan = L.dedup_lines(df).withColumn("x", F.lit(1))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_short_repeats_go_and_short_neighbours_stay(spark):
+    docs = [(1, "and ornd.\nabc\n\nlong enough line"), (2, "And ornd. \nabd\n\nlong enough lines"), (3, "abc\n\nx\nx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in L.dedup_lines(df, 1, 12, min_repeat=1).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("abd\n", 2), 3: ("\nx", 2)}
+
+
+def test_no_repeat_is_left(spark):
+    sf = "/root/testdata/sf0.01"
+    from tidemark.llm import queries
+
+    left = [x for r in queries.op8_line_dedup_whole(spark, sf).collect() for line in (r.text or "").split("\n") if (x := line.strip(" ").lower())]
+    assert len(left) == len(set(left)) > 5000

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Cuts
 from tidemark.llm.url_filters import encode, passes
 
-#: Shorter lines, in normalised characters, are left alone.
+#: Shorter lines, in normalised characters, have no neighbours.
 MIN_CHARS = 20
 
 
@@ -89,7 +89,7 @@ def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.filter(F.levenshtein("line", "other", 1) >= 0).select("h1").distinct()
 
 
-def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", min_repeat: int | None = None) -> DataFrame:
     """Drop repeated lines from ``text``; append n_lines and n_dropped.
 
     Lines are compared after trimming blanks and lower-casing. A line goes where the
@@ -97,7 +97,8 @@ def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, t
     earlier line is within one edit (a character put in, taken out or replaced),
     whether or not that one stays. Place: document key (null last), then line
     number. What stays keeps its order and its original form. Lines under
-    ``min_chars`` characters always stay.
+    ``min_chars`` characters always stay, but for those of ``min_repeat`` or more
+    that occur at an earlier place as they are: what that finds needs no variants.
 
     Null texts stay null, with no lines; an empty text is one empty line. Repeated
     rows share their places, so they keep the same lines; clashing keys with other
@@ -110,13 +111,17 @@ def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, t
     place = F.struct(F.col("d").isNull().alias("last"), "d", "i", "th")
     docs = df.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     keys = half_keys("line")
-    rows = _lines(docs, min_chars).select("h1", "h2", place.alias("place"), *[k.alias(f"k{j}") for j, k in enumerate(keys)])
+    floor = min_chars if min_repeat is None else min(min_repeat, min_chars)
+    if floor < min_chars:
+        keys = [F.when(F.length("line") >= min_chars, k) for k in keys]
+    rows = _lines(docs, floor).select("h1", "h2", place.alias("place"), *[k.alias(f"k{j}") for j, k in enumerate(keys)])
     lines = rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.min(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
-    lines = cuts.cut(lines.select("h1", "h2", "first", "n", F.array(*[f"k{j}" for j in range(len(keys))]).alias("keys")))
+    every = F.array(*[f"k{j}" for j in range(len(keys))])
+    lines = cuts.cut(lines.select("h1", "h2", "first", "n", (F.when(F.col("k0").isNotNull(), every) if floor < min_chars else every).alias("keys")))
     near = cuts.cut(_neighbours(cuts, lines, docs) if max_edits else lines.select("h1").limit(0))
     said = lines.join(near.withColumn("near", F.lit(True)), "h1", "left").filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     said = cuts.cut(said)
-    gone = _lines(docs, min_chars).select("d", "th", "i", "h1", "h2").join(said, ["h1", "h2"])
+    gone = _lines(docs, floor).select("d", "th", "i", "h1", "h2").join(said, ["h1", "h2"])
     gone = gone.filter(F.col("near") | ~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("i") == F.col("first.i")) & (F.col("th") == F.col("first.th"))))
     gone = gone.groupBy(F.col("d").alias("__d"), F.col("th").alias("__th")).agg(F.collect_set("i").alias("__gone"))
     all_lines = F.split(text, "\n", -1)

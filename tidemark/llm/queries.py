@@ -104,6 +104,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op8_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8, and repeats of shorter lines go too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, min_repeat=1).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -121,6 +127,7 @@ QUERIES = {
     "op6_chat_windows": op6_chat_windows,
     "op7_url_cascade": op7_url_cascade,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_dedup_whole": op8_line_dedup_whole,
     "op9_near_embeddings": op9_near_embeddings,
     "op10_ngram_join": op10_ngram_join,
 }
