@@ -55,3 +55,22 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op4_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 200
+
+
+def test_more_characters_than_the_table_has_columns(spark):
+    rng = random.Random(5)
+    han = [chr(0x4E00 + i) for i in range(400)]  # both languages use all of them, in other words
+    words = {k: ["".join(rng.sample(han, 4)) for _ in range(300)] for k in ("xx", "yy")}
+    model = L.LanguageModel({k: "".join(rng.choices(w, k=4000)) for k, w in words.items()})
+    code = model.codes("".join(han))
+    assert len(set(code.tolist())) == 400 and L.CLASSES - 1 not in code and model.codes("é").tolist() == [L.CLASSES - 1]
+    for _, table, rare, _ in model.tables():
+        texts = ["".join(rng.choices(words[k], k=6)) for k in words for _ in range(4)]
+        coded = [model.codes(t) for t in texts]
+        ends = np.cumsum([len(c) for c in coded])
+        sample = [s for s in model.samples.values() if len(L.split_automaton(model.codes(s), L.CLASSES)[1][0]) == len(rare[0])][0]
+        got = L.phrases(table, np.concatenate(coded), ends - [len(c) for c in coded], ends, rare)
+        assert got.tolist() == [brute(sample, t) for t in texts]
+    texts = [(i, "".join(rng.choices(words[("xx", "yy")[i % 2]], k=8))) for i in range(40)]
+    rows = L.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred == ("xx", "yy")[r.doc_id % 2] for r in rows)

@@ -22,7 +22,8 @@ from tidemark.llm.common import map_texts
 
 #: Characters of labelled text for each language, and for all together.
 SAMPLE_CHARS, ALL_CHARS = 32_768, 1 << 18
-#: Character classes that are told apart: blank, the commonest letters, any other.
+#: Columns of the transition tables: the commonest characters, any other. Others of
+#: the samples have codes from CLASSES on, and their transitions are kept sparse.
 CLASSES = 64
 #: A text is parsed in stretches of so many characters, side by side.
 STRETCH = 512
@@ -47,6 +48,12 @@ LETTERS = np.array([chr(i).isalpha() for i in range(0x32400)])
 def automaton(codes: np.ndarray, classes: int) -> np.ndarray:
     """Transitions (state, class) -> state of the suffix automaton, -1 where a
     string doesn't occur (Blumer et al. 1985)."""
+    return split_automaton(codes, classes)[0]
+
+
+def split_automaton(codes: np.ndarray, classes: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The transitions of codes under ``classes`` as a table, and those of the others
+    as (sorted keys state << 32 | code, states); at most three for each character."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -71,11 +78,15 @@ def automaton(codes: np.ndarray, classes: int) -> np.ndarray:
                     follow[p][c] = clone
                     p = link[p]
         last = now
-    table = np.full((len(follow), classes), -1, np.int32)
+    table, rare = np.full((len(follow), classes), -1, np.int32), {}
     for state, edges in enumerate(follow):
         for c, to in edges.items():
-            table[state, c] = to
-    return table
+            if c < classes:
+                table[state, c] = to
+            else:
+                rare[state << 32 | c] = to
+    keys = sorted(rare)
+    return table, (np.array(keys, np.int64), np.array([rare[k] for k in keys], np.int32))
 
 
 @dataclass
@@ -86,25 +97,38 @@ class LanguageModel:
 
     def __post_init__(self):
         names, counts = np.unique(np.concatenate([np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in self.samples.values()] or [np.zeros(0, np.uint32)]), return_counts=True)
-        self.alphabet = np.sort(names[np.argsort(-counts, kind="stable")][: CLASSES - 1])
+        order = np.argsort(-counts, kind="stable")
+        numbers = np.empty(len(names), np.int32)
+        numbers[order] = np.arange(len(names)) + (np.arange(len(names)) >= CLASSES - 1)
+        self.alphabet, self.numbers = names, numbers
 
     def codes(self, text: str) -> np.ndarray:
-        """Classes of a text's characters; the last is any that no sample has often."""
+        """Codes of a text's characters; CLASSES - 1 is any that no sample has."""
         points = np.frombuffer(plain(text).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.alphabet, points), max(len(self.alphabet) - 1, 0))
-        return np.where(self.alphabet[at] == points, at, CLASSES - 1).astype(np.int32) if len(self.alphabet) else np.full(len(points), CLASSES - 1, np.int32)
+        return np.where(self.alphabet[at] == points, self.numbers[at], CLASSES - 1).astype(np.int32) if len(self.alphabet) else np.full(len(points), CLASSES - 1, np.int32)
 
-    def tables(self) -> list[tuple[str, np.ndarray, float]]:
-        """(language, transitions, bits of a position) of each language with text."""
+    def tables(self) -> list[tuple[str, np.ndarray, tuple[np.ndarray, np.ndarray], float]]:
+        """(language, transitions, sparse ones, bits of a position) of each language with text."""
         out = []
         for lang, sample in sorted(self.samples.items()):
             codes = self.codes(sample)
-            codes = codes[codes < CLASSES - 1]
-            out.append((lang, automaton(codes, CLASSES).ravel(), math.log2(len(codes) + 2)))
+            table, rare = split_automaton(codes, CLASSES)
+            out.append((lang, table.ravel(), rare, math.log2(len(codes) + 2)))
         return out
 
 
-def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def reach(table: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """States after characters ``c``, -1 where there is none."""
+    to = table[state * CLASSES + np.minimum(c, CLASSES - 1)]
+    if rare is not None and len(rare[0]) and len(odd := np.flatnonzero(c >= CLASSES)):
+        key = state[odd].astype(np.int64) << 32 | c[odd]
+        at = np.minimum(np.searchsorted(rare[0], key), len(rare[0]) - 1)
+        to[odd] = np.where(rare[0][at] == key, rare[1][at], -1)
+    return to
+
+
+def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Longest-match phrases of each stretch codes[start:end]; all stretches advance
     together, longest first, so that those that end drop off the tail."""
     order = np.argsort(starts - ends, kind="stable")
@@ -115,10 +139,10 @@ def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.n
         while alive and left[alive - 1] <= step:
             alive -= 1
         c = codes[at[:alive] + step]
-        to = table[state[:alive] * CLASSES + c]
+        to = reach(table, rare, state[:alive], c)
         stuck = np.flatnonzero(to < 0)
         if len(stuck):
-            anew = table[c[stuck]]  # a character that the sample lacks is a phrase of its own
+            anew = reach(table, rare, np.zeros(len(stuck), np.int32), c[stuck])  # a character that the sample lacks is a phrase of its own
             count[stuck] += (state[stuck] > 0).astype(np.int32) + (anew < 0)
             to[stuck] = np.maximum(anew, 0)
         state[:alive] = to
@@ -179,7 +203,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
                 return [[UNKNOWN] * len(texts), [0.0] * len(texts)]
             codes, starts, ends = np.concatenate(coded), np.array(starts), np.array(ends)
             sizes = np.array([max(1, len(c)) for c in coded])
-            bits = np.array([b * np.bincount(owner, phrases(table, codes, starts, ends), minlength=len(texts)) for _, table, b in tables]) / sizes
+            bits = np.array([b * np.bincount(owner, phrases(table, codes, starts, ends, rare), minlength=len(texts)) for _, table, rare, b in tables]) / sizes
             best = np.argmin(bits, axis=0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = (1 / bits[best, np.arange(len(texts))]) / (1 / bits).sum(axis=0)
