@@ -75,3 +75,18 @@ def test_prefix_length_finds_any_similar_set():
             least = -(-75 * (n + m) // 175)
             if least <= m:
                 assert N.prefix_length(n, 75) >= n - least + 1 and N.prefix_length(m, 75) >= m - least + 1
+
+
+def test_links_of_all_classes(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 3)
+    words = [word() for _ in range(40)]
+    docs = [(i, " ".join(words[:i] + [word()] + words[i + 1 :])) for i in range(30)]  # near copies of one text
+    docs += [(100, docs[3][1].upper()), (101, None), (102, "other words"), (None, docs[1][1])]
+    classes, links = N.ngram_links(spark.createDataFrame(docs, "doc_id long, text string"), 3, 75)
+    sets = {k: grams(t, 3) for k, t in docs if k is not None and t}
+    own = {k: min(j for j in sets if sets[j] == s) for k, s in sets.items()}
+    heads = sorted(set(own.values()))
+    want = {(a, b) for a in heads for b in heads if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {r.doc_id: r.class_id for r in classes.collect()} == own and own[100] == 3
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted(want) and len(want) > 100

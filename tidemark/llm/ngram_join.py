@@ -179,6 +179,45 @@ def _meets(m: str, p: str, n: str, q: str, percent: int) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & similar(F.least(m - p, n - q), m, n, percent)
 
 
+def _started(cuts: Cuts, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All documents with their outlines; prefixes of each class's first document by place."""
+    every = cuts.cut(_outlined(docs, n))
+    tables = every.filter("counts is not null").select("counts").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32))
+    counts = tables.treeAggregate(np.zeros(BUCKETS, np.uint32), np.add, np.add, depth=3)
+    every = every.filter("counts is null").drop("counts")
+    firsts = _prefixes(docs, n, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select("x.*")
+    return every, firsts.select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram"))
+
+
+def _each_text_once(every: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outlines and texts of documents with an id and words."""
+    outlines = every.filter("n > 0 and doc is not null").select("doc", "n", "outline")
+    if not outlines.groupBy("doc").count().filter("count > 1").isEmpty():  # repeated keys: each text of a key once
+        return outlines.distinct(), docs.distinct()
+    return outlines, docs
+
+
+def ngram_links(df: DataFrame, n: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(classes, links): the rows key, class_id of documents with a key and words, and
+    a, b of all classes that are linked, by the rule of ``ngram_components``.
+
+    A class is the documents of one set of n-grams, its id the smallest key. Every
+    pair of classes that meets in a list is compared, those of one component too, so
+    the work grows with the square of a group of near copies, as its links do.
+    """
+    cuts = Cuts(df.sparkSession)
+    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    every, postings = _started(cuts, docs, n, percent)
+    postings = cuts.cut(postings)
+    outlines, docs = _each_text_once(every, docs)
+    other = postings.select("gram", F.col("doc").alias("od"), F.col("n").alias("on_"), F.col("p").alias("op"))
+    met = postings.join(other, "gram").filter("doc < od").filter(_meets("n", "p", "on_", "op", percent))
+    links = _verified(cuts, met.select(F.col("doc").alias("a"), F.col("od").alias("b")).distinct(), docs, outlines, n, percent)
+    fit = every.filter("n > 0 and doc is not null")
+    classes = fit.join(fit.groupBy("d1", "d2").agg(F.min("doc").alias("class_id")), ["d1", "d2"])
+    return classes.select(F.col("doc").alias(key), "class_id"), links.distinct()
+
+
 def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: the key, n_shingles, component_id.
 
@@ -192,20 +231,12 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, text: str = "
     """
     cuts = Cuts(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    every = cuts.cut(_outlined(docs, n))
-    tables = every.filter("counts is not null").select("counts").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32))
-    counts = tables.treeAggregate(np.zeros(BUCKETS, np.uint32), np.add, np.add, depth=3)
-    every = every.filter("counts is null").drop("counts")
-
-    firsts = _prefixes(docs, n, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select("x.*")
-    postings = firsts.select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram"))
+    every, postings = _started(cuts, docs, n, percent)
     order = Window.partitionBy("gram").orderBy("p", "n", "doc")
     shared = postings.withColumns({"lead": F.first(F.struct("doc", "n", "p")).over(order), "next": F.lead("doc").over(order)}).filter("next is not null or lead.doc != doc or lead.p != p or lead.n != n")
     shared = cuts.cut(shared.select("gram", "doc", "n", "p", F.col("lead.doc").alias("ld"), F.col("lead.n").alias("ln"), F.col("lead.p").alias("lp")))
 
-    outlines = every.filter("n > 0 and doc is not null").select("doc", "n", "outline")
-    if not outlines.groupBy("doc").count().filter("count > 1").isEmpty():  # repeated keys: each text of a key once
-        outlines, docs = outlines.distinct(), docs.distinct()
+    outlines, docs = _each_text_once(every, docs)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = shared.filter("doc != ld").filter(_meets("n", "p", "ln", "lp", percent)).select(*pair(F.col("doc"), F.col("ld"))).distinct()
     links = _verified(cuts, stars, docs, outlines, n, percent)
