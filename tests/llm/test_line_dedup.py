@@ -93,3 +93,26 @@ def test_no_repeat_is_left(spark):
 
     left = [x for r in queries.op8_line_dedup_whole(spark, sf).collect() for line in (r.text or "").split("\n") if (x := line.strip(" ").lower())]
     assert len(left) == len(set(left)) > 5000
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_two_edits_against_all_pairs(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(70):
+        s = list(rng.choice(["abcabcabca", "bbacaacbabc", "cabbacbb"]))
+        for _ in range(rng.randint(0, 4)):
+            p, how = rng.randrange(len(s)), rng.randrange(3)
+            s[p : p + (how != 0)] = [] if how == 1 else rng.choice("abcd")
+        docs.append((i, "".join(s)))
+    docs += [(70, "in year 1987 it was"), (71, "in year 1990 it was"), (72, "in yera 1988 it was")]
+    want = {k for k, x in docs if len(x) >= 6 and any(len(y) >= 6 and edits_between(x, y) <= 2 for j, y in docs if j < k)}
+    assert {k for k, (_, _, n) in run(spark, docs, edits=2).items() if n} == want and 71 in want and 72 not in want

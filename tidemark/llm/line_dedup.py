@@ -39,6 +39,43 @@ def half_keys(line: str) -> list[Column]:
     return out
 
 
+def part_keys(line: str, edits: int) -> list[Column]:
+    """Hashes of the parts of a line cut into edits + 1, as the shorter or equal of a
+    pair, and of what may be the other's parts in it, as the longer: (length of the
+    shorter, part, text). Edits leave one part as it is, moved by so many at most."""
+    out, n = [], F.length(line)
+    for less in range(edits + 1):
+        m = n - less
+        for t in range(edits + 1):
+            start, end = (F.floor(m * j / (edits + 1)).cast("int") for j in (t, t + 1))
+            for move in range(-edits, edits + 1):
+                at = start + move
+                fits = (m >= 0) & (at >= 0) & (at + end - start <= n)
+                out.append(F.when(fits, F.xxhash64(m, F.lit(t), F.substring(line, at + 1, end - start))))
+    return out
+
+
+def _wide_pairs(lines: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(h1, e1): lines and the earliest of those that share a variant within the edits.
+
+    A variant has some characters marked and some left out. Two lines that share
+    one with m marks, having left out i and j, are within m + i + j edits, and any
+    two within the bound share such a one."""
+    rows = lines.join(texts, "h1").selectExpr("h1", "first", "0 as s", "0 as d", "0 as p", "line as part", "true as open")
+    at = "if(p < length(part), sequence(p, length(part) - 1), cast(array() as array<int>))"
+    one = "named_struct('s', {}, 'd', {}, 'p', {}, 'part', {}, 'open', {})"
+    stop = f"array({one.format('s', 'd', 'p', 'part', 'false')})"
+    mark = one.format("s + 1", "d", "q + 1", r"concat(left(part, q), '\n', substring(part, q + 2))", "true")
+    drop = one.format("s", "d + 1", "q", "concat(left(part, q), substring(part, q + 2))", "true")
+    for _ in range(edits):
+        rows = rows.select("h1", "first", F.expr(f"explode(if(open, concat({stop}, transform({at}, q -> {mark}), transform({at}, q -> {drop})), {stop})) as x")).select("h1", "first", "x.*")
+    rows = rows.select("h1", "first", "s", "d", F.xxhash64("s", "part").alias("v"))
+    whole = Window.partitionBy("v")
+    rows = rows.withColumns({f"l{i}": F.min(F.when(F.col("d") == i, F.struct("first", "h1"))).over(whole) for i in range(edits + 1)})
+    e = F.array_min(F.array(*[F.when(F.col("s") + F.col("d") + i <= edits, F.col(f"l{i}")) for i in range(edits + 1)]))
+    return rows.withColumn("e", e).filter("e.first < first").select("h1", F.col("e.h1").alias("e1")).distinct()
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of documents (d, th, text), by place, with hashes of their normal form."""
     rows = docs.select("d", "th", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
@@ -56,10 +93,12 @@ def _sifted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.filter(passes(level, 0, F.xxhash64("d", "th"))) if level else docs.limit(0)
 
 
-def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """h1 of the distinct lines that have an earlier one within one edit."""
+def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame, edits: int = 1) -> DataFrame:
+    """h1 of the distinct lines that have an earlier one within the edits."""
     by_key = Window.partitionBy("k")
     halves = lines.select("h1", "first", F.posexplode("keys").alias("j", "k"))
+    if edits > 1:
+        halves = halves.filter("k is not null")
     halves = halves.withColumns({"a": F.min("h1").over(by_key), "b": F.max("h1").over(by_key)}).filter("a != b").drop("a", "b")
     halves = cuts.cut(halves)
     wanted = halves.select("h1", "first").distinct().groupBy(F.col("first.d").alias("wd"), F.col("first.th").alias("wth")).agg(F.collect_list(F.struct("first.i", "h1")).alias("of"))
@@ -67,6 +106,9 @@ def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame) -> DataFrame:
     found = _sifted(docs, wanted).join(wanted, F.col("d").eqNullSafe(F.col("wd")) & F.col("th").eqNullSafe(F.col("wth")))
     found = found.select(F.explode(F.transform("of", lambda x: F.struct(x["h1"].alias("h1"), normal(F.get(F.split("text", "\n", -1), x["i"])).alias("line")))).alias("x"))
     texts = cuts.cut(found.select("x.*").dropDuplicates(["h1"]))
+    if edits > 1:
+        pairs = _wide_pairs(halves.select("h1", "first").distinct(), texts, edits)
+        return _checked(pairs, texts, edits)
     block = halves.join(texts, "h1").selectExpr("h1", "first", "k", "line", "length(line) as n", "j < 2 as even", "j % 2 as side", "if(j < 2, length(line), length(line) - 1) as m")
     block = block.selectExpr("h1", "first", "k", "even", "if(side = 0, left(line, n - (m - shiftright(m, 1))), substring(line, shiftright(m, 1) + 1)) as part")
     place = "sequence(0, length(part) - 1)"
@@ -84,18 +126,23 @@ def _neighbours(cuts: Cuts, lines: DataFrame, docs: DataFrame) -> DataFrame:
     line = F.struct("first", "h1")
     least = {name: F.min(F.when(F.col("role") == role, line)).over(whole) for role, name in enumerate(("same", "full", "less"))}
     near = variants.withColumns(least).withColumn("e", F.expr("case role when 0 then same when 1 then less else full end"))
-    pairs = near.filter("e.first < first").select("h1", F.col("e.h1").alias("e1")).distinct()
+    return _checked(near.filter("e.first < first").select("h1", F.col("e.h1").alias("e1")).distinct(), texts, edits)
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """h1 of the pairs (h1, e1) whose lines are within the edits."""
     pairs = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("e1"), F.col("line").alias("other")), "e1")
-    return pairs.filter(F.levenshtein("line", "other", 1) >= 0).select("h1").distinct()
+    return pairs.filter(F.levenshtein("line", "other", edits) >= 0).select("h1").distinct()
 
 
 def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", min_repeat: int | None = None) -> DataFrame:
     """Drop repeated lines from ``text``; append n_lines and n_dropped.
 
     Lines are compared after trimming blanks and lower-casing. A line goes where the
-    same line occurs at an earlier place, or, with ``max_edits`` 1, where any
-    earlier line is within one edit (a character put in, taken out or replaced),
-    whether or not that one stays. Place: document key (null last), then line
+    same line occurs at an earlier place, or, with ``max_edits``, where any earlier
+    line is within so many edits (a character put in, taken out or replaced),
+    whether or not that one stays. With a bound k of 2 or more a line that shares a
+    part with another has about (2n)^k / k! variants for n characters. Place: document key (null last), then line
     number. What stays keeps its order and its original form. Lines under
     ``min_chars`` characters always stay, but for those of ``min_repeat`` or more
     that occur at an earlier place as they are: what that finds needs no variants.
@@ -105,20 +152,20 @@ def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, t
     texts are ordered by a hash of the text. Columns named n_lines and n_dropped are
     replaced, all others pass.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits: 0 or 1")
+    if max_edits < 0:
+        raise ValueError("max_edits: 0 or more")
     cuts = Cuts(df.sparkSession)
     place = F.struct(F.col("d").isNull().alias("last"), "d", "i", "th")
     docs = df.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    keys = half_keys("line")
+    keys = half_keys("line") if max_edits < 2 else part_keys("line", max_edits)
     floor = min_chars if min_repeat is None else min(min_repeat, min_chars)
     if floor < min_chars:
         keys = [F.when(F.length("line") >= min_chars, k) for k in keys]
     rows = _lines(docs, floor).select("h1", "h2", place.alias("place"), *[k.alias(f"k{j}") for j, k in enumerate(keys)])
     lines = rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.min(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
     every = F.array(*[f"k{j}" for j in range(len(keys))])
-    lines = cuts.cut(lines.select("h1", "h2", "first", "n", (F.when(F.col("k0").isNotNull(), every) if floor < min_chars else every).alias("keys")))
-    near = cuts.cut(_neighbours(cuts, lines, docs) if max_edits else lines.select("h1").limit(0))
+    lines = cuts.cut(lines.select("h1", "h2", "first", "n", (F.when(F.coalesce(*[f"k{j}" for j in range(len(keys))]).isNotNull(), every) if floor < min_chars else every).alias("keys")))
+    near = cuts.cut(_neighbours(cuts, lines, docs, max_edits) if max_edits else lines.select("h1").limit(0))
     said = lines.join(near.withColumn("near", F.lit(True)), "h1", "left").filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     said = cuts.cut(said)
     gone = _lines(docs, floor).select("d", "th", "i", "h1", "h2").join(said, ["h1", "h2"])
