@@ -38,7 +38,7 @@ def brute(docs, edits, least):
 
 
 def run(spark, docs, edits=1, least=6):
-    df = spark.createDataFrame([(k, t, "n", "d") for k, t in docs], "doc_id long, text string, n_lines string, d string")
+    df = spark.createDataFrame([(k, t, "n", "d") for k, t in docs], "doc_id long, text string, n_lines string, gone string")
     return {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in L.dedup_lines(df, edits, least).collect()}
 
 
@@ -57,6 +57,7 @@ def test_against_all_pairs(spark, seed):
     docs = [(i, "\n".join(line() for _ in range(rng.randint(1, 5)))) for i in range(60)] + [(None, "\n".join(line() for _ in range(4))), (99, None), (98, ""), (97, "\n\n")]
     assert run(spark, docs) == brute(docs, 1, 6)
     assert run(spark, docs, edits=0) == brute(docs, 0, 6)
+    assert run(spark, docs, least=0) == brute(docs, 1, 0)
 
 
 def test_every_place_of_an_edit(spark):
@@ -116,3 +117,26 @@ def test_two_edits_against_all_pairs(spark):
     docs += [(70, "in year 1987 it was"), (71, "in year 1990 it was"), (72, "in yera 1988 it was")]
     want = {k for k, x in docs if len(x) >= 6 and any(len(y) >= 6 and edits_between(x, y) <= 2 for j, y in docs if j < k)}
     assert {k for k, (_, _, n) in run(spark, docs, edits=2).items() if n} == want and 71 in want and 72 not in want
+
+
+def test_a_start_that_many_lines_share(spark):
+    lines = [f"the common beginning of the lines {i * 7919 % 100003:06d} and ends {i % 13}" for i in range(4000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in L.dedup_lines(df).filter("n_dropped > 0").collect()}
+    known, want = set(), set()
+    for i, x in enumerate(lines):
+        spots = {(p, x[:p] + x[p + 1 :]) for p in range(len(x))}
+        if known & spots:
+            want.add(i)
+        known |= spots
+    assert gone == want
+
+
+def test_filter_passes_all_it_holds_whatever_its_size(spark):
+    from tidemark.llm import bloom, common
+
+    keys = spark.range(5000).selectExpr("id * 7 as key")
+    for words in (1, 100, 5000):
+        f = bloom.build(common.Cuts(spark), keys, words)
+        assert keys.filter(f.passes(F.col("key"))).count() == 5000
+    assert spark.range(100000).filter(f.passes(F.col("id") * 7 + 1)).count() < 1000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -51,20 +52,24 @@ class Cuts:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.paths = 0, {}
         atexit.register(_remove, spark._jvm, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a cut that no later read needs."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
-        if path is not None and str(path.getName()).isdigit():
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def drop(self, *cuts: DataFrame) -> None:
+        """Delete cuts that no later read needs; what is no cut of these stays."""
+        for df in cuts:
+            _, path = self.paths.pop(id(df), (None, None))
+            if path is not None:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -72,6 +77,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -135,8 +151,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.union(now.select("v", "u"))
         least = cuts.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = cuts.cut(both.join(least, "u").filter("v > u").select(*pair(F.col("v"), F.col("m"))).filter("u > v").distinct())
-        least = cuts.cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        moved = large.join(least, "u").select("v", "m").union(least.select("u", "m"))
+        less = cuts.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(less, "u").select("v", "m").union(less.select("u", "m"))
         last, now = now, cuts.cut(moved.select(*pair(F.col("v"), F.col("m"))).filter("u > v").distinct())
-        cuts.drop(last)
-        cuts.drop(large)
+        cuts.drop(last, least, large, less)

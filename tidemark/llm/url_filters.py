@@ -6,93 +6,80 @@ filter, the listed keys that the second one passes wrongly in a third, and so on
 until a level passes nothing wrongly. For every key of the universe the number
 of levels that it passes then tells membership exactly, by bit tests alone: the
 pages are neither shuffled nor joined.
+
+A list of any length is decided so. Beyond ``PART_KEYS`` listed keys the range of
+the keys' hashes is cut into parts, and each part has a cascade and a pass over
+the pages of its own, so that no task holds more than one part's tables.
 """
 
 from __future__ import annotations
 
-import math
+import json
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm import bloom
+from tidemark.llm.common import Cuts, ascii_lower, unused
 
-#: Rules are tried in one expression; more than this many are refused.
-MAX_RULES = 500
-#: Words of 64 bits in a level. A level travels in the plan, so its size is checked.
-MAX_WORDS = 1 << 17
+#: Listed keys of a cascade: 16 MB of tables at 8 bits for each.
+PART_KEYS = 1 << 24
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """Levels of (number of bits, hash functions, words); ``listed`` tests a key."""
+    """Levels, alternately of listed keys and of wrongly passed others."""
 
-    levels: tuple[tuple[int, int, tuple[int, ...]], ...]
+    levels: tuple[bloom.Bloom, ...]
 
     def listed(self, key: Column) -> Column:
         """True where the key is listed; exact for keys of the universe; null is not listed."""
         verdict = F.lit(len(self.levels) % 2 == 1)
         for depth in range(len(self.levels) - 1, -1, -1):
-            verdict = F.when(passes(self.levels[depth], depth, key), verdict).otherwise(F.lit(depth % 2 == 1))
+            verdict = F.when(self.levels[depth].passes(key), verdict).otherwise(F.lit(depth % 2 == 1))
         return F.when(key.isNull(), F.lit(False)).otherwise(verdict)
 
 
-def positions(depth: int, bits: int, hashes: int, key: Column) -> list[Column]:
-    """Bits of a key: double hashing of two seeded 64-bit hashes."""
-    one, two = F.xxhash64(key, F.lit(2 * depth)), F.xxhash64(key, F.lit(2 * depth + 1))
-    return [F.pmod(F.pmod(one, F.lit(bits)) + F.lit(i) * F.pmod(two, F.lit(bits)), F.lit(bits)) for i in range(hashes)]
-
-
-def passes(level: tuple[int, int, tuple[int, ...]], depth: int, key: Column) -> Column:
-    bits, hashes, words = level
-    table = F.array(*[F.lit(w).cast("long") for w in words])
-    tests = [F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in positions(depth, bits, hashes, key)]
-    return reduce(lambda a, b: a & b, tests)
-
-
-def encode(keys: DataFrame, depth: int, bits_per_key: float) -> tuple[int, int, tuple[int, ...]] | None:
-    """A level that holds all keys; None for no keys. Only its words come to the driver."""
-    n = keys.count()
-    if not n:
-        return None
-    bits = max(64, 64 * math.ceil(n * bits_per_key / 64))
-    if bits // 64 > MAX_WORDS:
-        raise OverflowError(f"a level of {bits} bits")
-    hashes = max(1, round(bits / n * math.log(2)))
-    hashes = min(hashes, 12)
-    spots = keys.select(F.explode(F.array(*positions(depth, bits, hashes, F.col("key")))).alias("p"))
-    rows = spots.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("b")).collect()
-    words = [0] * (bits // 64)
-    for w, b in rows:
-        words[w] = b
-    return bits, hashes, tuple(words)
-
-
 def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: float = 8.0) -> Cascade:
     """Cascade over ``universe`` for the keys of ``listed`` (both: a column ``key``).
 
     Nulls and repeats are ignored; a listed key outside the universe counts as
     part of it. An empty list gives a cascade without levels: nothing is listed.
-    Raises OverflowError when a level would pass ``MAX_WORDS`` words.
     """
-    yes = listed.filter("key is not null").distinct().cache()
-    no = universe.filter("key is not null").distinct().join(yes, "key", "left_anti").cache()
-    levels: list = []
+    cuts = Cuts(universe.sparkSession)
+    yes = cuts.cut(listed.select("key").filter("key is not null").distinct())
+    no = cuts.cut(universe.select("key").filter("key is not null").distinct().join(yes, "key", "left_anti"))
+    levels: list[bloom.Bloom] = []
     inside, outside = yes, no
-    while True:
-        depth = len(levels)
-        level = encode(inside, depth, bits_per_key)
-        if level is None:
-            break
+    while n := inside.count():
+        level = bloom.build(cuts, inside, bloom.words_for(n, bits_per_key, 1 << 30), salt=len(levels))
         levels.append(level)
-        inside, outside = outside.filter(passes(level, depth, F.col("key"))), inside
-    yes.unpersist()
-    no.unpersist()
+        inside, outside = cuts.cut(outside.filter(level.passes(F.col("key")))), inside
     return Cascade(tuple(levels))
 
 
+def mark_listed(df: DataFrame, key: Column, name: str, listed: DataFrame, part_keys: int = PART_KEYS) -> DataFrame:
+    """Append ``name``: whether ``key`` is among ``listed`` (column ``key``).
+
+    A pass over ``df`` for each ``part_keys`` listed keys."""
+    cuts = Cuts(df.sparkSession)
+    listed = cuts.cut(listed.select("key").filter("key is not null").distinct())
+    parts = max(1, -(-listed.count() // part_keys))
+    part = lambda k: F.pmod(F.xxhash64(F.lit(-1), k), F.lit(parts))
+    universe = df.select(key.alias("key")).filter("key is not null").distinct()
+    if parts == 1:
+        return df.withColumn(name, build_cascade(listed, universe).listed(key))
+    universe, out = cuts.cut(universe), df.withColumn(name, F.lit(False))
+    for p in range(parts):
+        mine = part(F.col("key")) == p
+        cascade = build_cascade(listed.filter(mine), universe.filter(mine))
+        out = cuts.cut(out.withColumn(name, F.when(key.isNotNull() & (part(key) == p), cascade.listed(key)).otherwise(F.col(name))))
+    return out
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path). Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the
     end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the end. Null or
@@ -108,38 +95,40 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls.
 
-    ``rules``: (verdict, host, path). A rule fits its host and all its subdomains
-    where the url's path starts with the rule's. Among equally long rules the
-    first given wins.
+    ``rules``: (verdict, host, path), any number. A rule fits its host and all its
+    subdomains where the url's path starts with the rule's. Among equally long rules
+    the first given wins. The rules stand in an index by the hash of their host, a
+    single literal of the plan; a url looks up the endings of its host that have no
+    more labels than a rule's.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most")
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for says, h, p in sorted(reversed(rules), key=lambda r: len(r[1]) + len(r[2])):
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
-    return rule, verdict
-
-
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
+    width = max(1, len(rules))
+    index: list[list[dict]] = [[] for _ in range(width)]
+    for i, (says, h, p) in enumerate(rules):
+        index[zlib.crc32(h.encode()) % width].append({"n": len(h) + len(p), "i": -i, "says": says, "host": h, "path": p})
+    table = F.from_json(F.lit(json.dumps(index)), "array<array<struct<n:int,i:int,says:string,host:string,path:string>>>")
+    labels = F.split(host, r"\.", -1)
+    deepest = max([h.count(".") + 1 for _, h, _ in rules], default=1)
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    fits = lambda end: F.filter(F.get(table, F.pmod(F.crc32(end.cast("binary")), F.lit(width)).cast("int")), lambda r: (r["host"] == end) & F.startswith(path, r["path"]))
+    best = F.array_max(F.flatten(F.transform(ends, fits)))
+    return F.concat(best["host"], best["path"]), best["says"]
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", part_keys: int = PART_KEYS) -> DataFrame:
     """Append host, path, rule and verdict to ``pages``.
 
-    ``listed``: hosts (column ``key``) that are blocked where no rule fits. A url
-    without a host is allowed unless a rule says otherwise. Columns of the same
-    names are replaced; rows keep their number, repeated ones included. Where the
-    list is too long for the plan to carry, a semi-join decides instead.
+    ``listed``: hosts (column ``key``), any number, that are blocked where no rule
+    fits. A null or empty url, or one without a host, is allowed unless a rule or
+    the list names the empty host. Urls of any length are taken whole. Columns of
+    the same names are replaced, all others pass; rows keep their number, repeated
+    ones included. No pages give no rows; an empty list blocks nothing.
     """
     host, path = split_url(F.col(url))
     base = pages.withColumns({"host": host, "path": path})
-    rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    try:
-        blocked = build_cascade(listed, base.select(F.col("host").alias("key"))).listed(F.col("host"))
-    except OverflowError:
-        keys = listed.filter("key is not null").distinct().select(F.col("key").alias("__key"), F.lit(True).alias("__hit"))
-        base = base.join(keys, F.col("host") == F.col("__key"), "left")
-        blocked = F.coalesce(F.col("__hit"), F.lit(False))
-    out = base.withColumns({"rule": rule, "verdict": F.coalesce(says, F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))})
-    return out.drop("__key", "__hit")
+    says, hit = unused(pages, "says", "hit")
+    base = base.withColumns(dict(zip(("rule", says), rule_of(F.col("host"), F.col("path"), rules), strict=True)))
+    out = mark_listed(base, F.col("host"), hit, listed, part_keys)
+    return out.withColumn("verdict", F.coalesce(says, F.when(F.col(hit), F.lit("block")).otherwise(F.lit("allow")))).drop(says, hit)
 
 
 def hosts_named(pages: DataFrame, terms: tuple[str, ...], url: str = "url") -> DataFrame:
