@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,62 @@ def test_links_of_all_classes(spark):
     want = {(a, b) for a in heads for b in heads if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert {r.doc_id: r.class_id for r in classes.collect()} == own and own[100] == 3
     assert sorted((r.a, r.b) for r in links.collect()) == sorted(want) and len(want) > 100
+
+
+def passage_rows(copies):
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(70))
+    return [(i, " ".join(f"u{rng.randrange(10**7)}" for _ in range(60)) + " " + shared + f" e{i}") for i in range(copies)]
+
+
+def test_unlike_documents_with_one_passage_make_few_pairs(spark, monkeypatch):
+    seen = []
+    verified = N.Join.verified
+    monkeypatch.setattr(N.Join, "verified", lambda self, pairs: (seen.append(pairs.count()), verified(self, pairs))[1])
+    for copies in (1000, 5000):
+        seen.clear()
+        df = spark.createDataFrame(passage_rows(copies), "doc_id long, text string")
+        assert N.ngram_components(df).filter("doc_id != component_id").isEmpty()
+        assert sum(seen) <= copies
+    rng = random.Random(2)  # one rare word in all, by words: the suffixes differ
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " a") for i in range(240)], "doc_id long, text string")
+    seen.clear()
+    assert N.ngram_components(df, n=1).filter("doc_id != component_id").isEmpty() and sum(seen) <= 240
+
+
+def test_each_pair_is_verified_once(spark, monkeypatch):
+    seen = []
+    verified = N.Join.verified
+    monkeypatch.setattr(N.Join, "verified", lambda self, pairs: (seen.extend(map(tuple, pairs.collect())), verified(self, pairs))[1])
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(30)]
+    docs = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(30)] = f"x{rng.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    check(spark, docs, n=1)
+    assert len(seen) == len(set(seen)) > 100
+
+
+def test_suffix_bound_is_never_too_small():
+    rng = random.Random(5)
+    pool = np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)
+    counts = np.zeros(N.BUCKETS, np.int64)
+    sets = [np.unique(np.array(rng.sample(pool.tolist(), rng.randint(20, 200)), np.uint64)) for _ in range(40)]
+    for s in sets:
+        counts += np.bincount(N.bucket(s), minlength=N.BUCKETS)
+    order = N.Order(counts)
+    flat, outlines = order.sort(np.array([len(s) for s in sets]), np.concatenate(sets))
+    at = np.cumsum([0, *map(len, sets)])
+    for i in range(40):
+        for j in range(i):
+            x, y = flat[at[i] : at[i + 1]].tolist(), flat[at[j] : at[j + 1]].tolist()
+            both = set(x) & set(y)
+            if not both:
+                continue
+            p, q = min(map(x.index, both)), min(map(y.index, both))
+            assert x[p] == y[q]
+            behind = lambda o, k: np.diff(np.maximum(o, k + 1), prepend=k + 1)
+            assert len(both) <= 1 + np.minimum(behind(outlines[i], p), behind(outlines[j], q)).sum() <= min(len(x) - p, len(y) - q)

@@ -1,18 +1,22 @@
 """N-gram Jaccard join: documents whose word shingles overlap, as components.
 
-A document is the set of its word n-grams. Two sets with the asked similarity
-share an n-gram among the first few of each, whatever order the n-grams have, so
-only those prefixes are joined. Rare n-grams come first: frequencies of all
-documents are counted in a table of fixed size by hash, and only the order, never
-the result, depends on it. Length and positional filters apply where two prefixes
-meet, the suffix filter to each pair that is left, and what passes is verified
-once on the whole sets.
-
-Equal sets are one class. In each n-gram's list the document whose place comes
-first stands for the others: they are verified against it, and only documents
-that are then in another component than it meet the rest of the list. A group of
-near copies thus takes as many comparisons as it has members, yet every link
-between different components is found.
+A document is the set of its word n-grams, hashed once and written to the shared
+folder. Two sets with the asked similarity share an n-gram among the first few of
+each, whatever order the n-grams have, so only those prefixes are joined. Rare
+n-grams come first: frequencies of all documents are counted in a table of fixed
+size by hash, and only the order, never the result, depends on it.
+
+Where two prefixes meet, the length and positional filters apply. The suffix
+filter then bounds what the sets can share behind the place where they met: the
+order is cut into ranges of equal mass, a set's outline says how many of its
+n-grams lie in or before each, and no range of both suffixes shares more than the
+lesser count. What passes is verified on the whole sets, each pair once.
+
+Equal sets are one class. In each n-gram's list the document that has it first in
+its order stands for the others: they are compared with it first, and only documents that are then in
+another component than it meet the rest of the list. A group of near copies thus
+takes as many comparisons as it has members, yet every link between different
+components is found.
 """
 
 from __future__ import annotations
@@ -23,18 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import bloom
 from tidemark.llm.common import Cuts, components, slices
 
-#: Buckets of the frequency table (a power of two) and of a set's outline.
+#: Buckets of the frequency table (a power of two) and ranges of a set's outline.
 BUCKETS, OUTLINE = 1 << 20, 64
-#: Most bits of the filter that spares documents without a candidate a second reading.
-MOST_BITS = 1 << 24
-#: Hashes of words that a worker remembers.
-REMEMBERED = 500_000
+#: Most words of a filter that spares rows a shuffle (8 MB).
+SIEVE_WORDS = 1 << 20
+#: Hashes of words that a worker remembers, and n-grams that it orders at once.
+REMEMBERED, ORDERED = 200_000, 1 << 19
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -61,93 +66,104 @@ def shingles(text: str | None, n: int, known: WordHashes) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n, percent: int):
     """So many of a set's first elements must hold one of any set that is similar."""
-    return n + (-percent * n // 100) + 1 if n else 0
+    return np.where(n > 0, n + (-percent * n // 100) + 1, 0)
 
 
-def lists_of(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+def lists_of(sizes, flat: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat))
 
 
-def _outlined(docs: DataFrame, n: int) -> DataFrame:
-    """doc, size, two digests and an outline of each document; for each task a row
-    with its part of the frequency table."""
-    schema = T.StructType([
-        T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
-        T.StructField("outline", T.ArrayType(T.IntegerType())), T.StructField("counts", T.BinaryType()),
-    ])
-    arrow = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("outline", pa.list_(pa.int32())), ("counts", pa.binary())])
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _hashed(docs: DataFrame, n: int) -> DataFrame:
+    """doc, size, two digests and the set of each document; for each task a row with
+    its part of the frequency table. The one pass over the texts."""
+    long, longs = T.LongType(), T.ArrayType(T.LongType(), False)
+    schema = T.StructType([*[T.StructField(c, long) for c in ("doc", "n", "d1", "d2")], T.StructField("elements", longs), T.StructField("counts", T.BinaryType())])
+    arrow = pa.schema([*[(c, pa.int64()) for c in ("doc", "n", "d1", "d2")], ("elements", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, known = np.zeros(BUCKETS, np.uint32), WordHashes()
-        top, part = np.uint64(64 - BUCKETS.bit_length() + 1), np.uint64(64 - OUTLINE.bit_length() + 1)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = [shingles(t, n, known) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                for s in sets:
-                    np.add.at(counts, (s >> top).astype(np.int64), np.uint32(1))
-                raw = [s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([signed(xxhash.xxh64_intdigest(r)) for r in raw], pa.int64()), pa.array([signed(xxhash.xxh64_intdigest(r, 1)) for r in raw], pa.int64()),
-                    lists_of([np.bincount((s >> part).astype(np.int64), minlength=OUTLINE).astype(np.int32) for s in sets]), pa.nulls(b - a, pa.binary()),
-                ], schema=arrow)
+                flat = np.concatenate(sets)
+                counts += np.bincount(bucket(flat), minlength=BUCKETS).astype(np.uint32)
+                digest = np.array([(xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1)) for raw in (s.tobytes() for s in sets)], np.uint64).view(np.int64)
+                sizes = [len(s) for s in sets]
+                columns = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists_of(sizes, flat), pa.nulls(b - a, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
         yield pa.RecordBatch.from_pylist([{"counts": zlib.compress(counts.tobytes(), 1)}], schema=arrow)
 
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc, size, digests and prefix, rare first, of documents with an id and words."""
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc", "n", "d1", "d2")], T.StructField("prefix", T.ArrayType(T.LongType(), False))])
-    small = counts.astype(np.uint32)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
+def _total(tables: DataFrame) -> np.ndarray:
+    """The sum of the tasks' frequency tables, added up by 16 tasks, then on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, top = WordHashes(), np.uint64(64 - BUCKETS.bit_length() + 1)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                rows = [[], [], [], [], []]
-                for doc, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    s = shingles(text, n, known)
-                    if not len(s):
-                        continue
-                    raw = s.tobytes()
-                    first = s[np.argsort(small[(s >> top).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]]
-                    for column, value in zip(rows, (doc, len(s), signed(xxhash.xxh64_intdigest(raw)), signed(xxhash.xxh64_intdigest(raw, 1)), first), strict=True):
-                        column.append(value)
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in rows[:4]], lists_of(rows[4])], names=["doc", "n", "d1", "d2", "prefix"])
-
-    return docs.filter("doc is not null").select("doc", "text").mapInArrow(run, schema)
-
-
-def _sets(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
-    """Whole sets of the documents of ``ids`` (column doc), and of a few others."""
-    count = ids.count()
-    bits = 1 << 16
-    while bits < min(16 * count, MOST_BITS):
-        bits *= 2
-    spot = F.pmod(F.xxhash64("doc"), F.lit(bits))
-    marked = ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")).alias("b")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[marked["w"].to_numpy()] = marked["b"].to_numpy()
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType(), False))])
+            for raw in batch.column(0):
+                counts += np.frombuffer(zlib.decompress(raw.as_py()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
+
+    got = tables.repartition(16).mapInArrow(run, "counts binary").toArrow()["counts"]
+    return sum((np.frombuffer(zlib.decompress(raw.as_py()), np.int64) for raw in got), np.zeros(BUCKETS, np.int64))
+
+
+class Order:
+    """The order of all n-grams: by the count of their bucket, then by hash."""
+
+    def __init__(self, counts: np.ndarray):
+        each, rank = np.unique(counts, return_inverse=True)
+        self.rank = rank.astype(np.int32)
+        self.mass = (each * np.bincount(rank)).astype(np.uint64)
+        self.below = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.mass)[:-1].astype(np.uint64)))
+        self.total = max(1, int(self.mass.sum()))
+
+    def sort(self, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of these sizes, ascending by hash, put in order, and their outlines."""
+        owner, rank = np.repeat(np.arange(len(sizes)), sizes), self.rank[bucket(flat)]
+        at = np.lexsort((rank, owner))
+        # whole numbers only, so that a later n-gram never lies in an earlier range
+        place = self.below[rank] + ((self.mass[rank] * (flat >> np.uint64(44))) >> np.uint64(20))
+        spot = (place * np.uint64(OUTLINE) // np.uint64(self.total)).astype(np.int64)
+        outline = np.bincount(owner * OUTLINE + spot, minlength=OUTLINE * len(sizes)).reshape(len(sizes), OUTLINE)
+        return flat[at], np.cumsum(outline, axis=1).astype(np.int32)
+
+
+def _prefixes(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """doc, size, digests, outline and prefix, rare first."""
+    long = T.LongType()
+    fields = [T.StructField(c, long) for c in ("doc", "n", "d1", "d2")]
+    schema = T.StructType([*fields, T.StructField("outline", T.ArrayType(T.IntegerType(), False)), T.StructField("prefix", T.ArrayType(long, False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = WordHashes(), np.unpackbits(words.view(np.uint8), bitorder="little")
+        order = Order(counts)
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(1).to_numpy()] == 1))
-            for a, b in slices(batch.column(2)):
-                sets = [shingles(t, n, known) for t in batch.column(2).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists_of(sets)], names=["doc", "elements"])
-
-    return docs.filter("doc is not null").select("doc", spot.alias("spot"), "text").mapInArrow(run, schema)
+            total = np.cumsum(batch.column(1).to_numpy())
+            start = 0
+            while start < len(batch):
+                done = total[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(total, done + ORDERED, side="right")))
+                part = batch.slice(start, end - start)
+                start = end
+                sizes = part.column(1).to_numpy()
+                flat, outline = order.sort(sizes, part.column(4).flatten().to_numpy().view(np.uint64))
+                kept = prefix_length(sizes, percent)
+                inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                prefix = lists_of(kept, flat[inside < np.repeat(kept, sizes)])
+                outlines = lists_of(np.full(len(sizes), OUTLINE), outline.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], outlines, prefix], names=["doc", "n", "d1", "d2", "outline", "prefix"])
+
+    return sets.select("doc", "n", "d1", "d2", "elements").mapInArrow(run, schema)
 
 
 def similar(common: Column, m: Column, n: Column, percent: int) -> Column:
@@ -155,19 +171,17 @@ def similar(common: Column, m: Column, n: Column, percent: int) -> Column:
     return (100 + percent) * common >= percent * (m + n)
 
 
-def _verified(cuts: Cuts, pairs: DataFrame, docs: DataFrame, outlines: DataFrame, n: int, percent: int) -> DataFrame:
-    """The similar ones of ``pairs`` (a, b: distinct): suffix filter, then whole sets."""
-    for side in ("a", "b"):
-        pairs = pairs.join(outlines.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("outline").alias(f"o{side}")), side)
-    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    # what two sets can share is bounded by their sizes in each part of the hash range
-    pairs = pairs.filter(similar((F.col("na") + F.col("nb") - apart) / 2, F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    pairs = cuts.cut(pairs)
-    sets = _sets(docs, n, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-    for side in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("doc").alias(side), F.col("elements").alias(f"e{side}")), side)
-    common = F.size(F.array_intersect("ea", "eb"))
-    return cuts.cut(pairs.filter(similar(common, F.size("ea"), F.size("eb"), percent)).select("a", "b"))
+def suffix_bound(oa: Column, p: Column, ob: Column, q: Column) -> Column:
+    """Most elements that two sets share which meet first at places p and q: that one,
+    and in each range the lesser count of what lies behind."""
+    behind = F.zip_with(oa, ob, lambda x, y: F.struct(F.greatest(x, p + 1).alias("x"), F.greatest(y, q + 1).alias("y")))
+    start = F.struct(F.lit(1).alias("s"), (p + 1).cast("int").alias("x"), (q + 1).cast("int").alias("y"))
+
+    def add(so_far: Column, to: Column) -> Column:
+        more = F.least(to["x"] - so_far["x"], to["y"] - so_far["y"])
+        return F.struct((so_far["s"] + more).cast("int").alias("s"), to["x"].cast("int").alias("x"), to["y"].cast("int").alias("y"))
+
+    return F.aggregate(behind, start, add, lambda end: end["s"])
 
 
 def _meets(m: str, p: str, n: str, q: str, percent: int) -> Column:
@@ -179,22 +193,66 @@ def _meets(m: str, p: str, n: str, q: str, percent: int) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & similar(F.least(m - p, n - q), m, n, percent)
 
 
-def _started(cuts: Cuts, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All documents with their outlines; prefixes of each class's first document by place."""
-    every = cuts.cut(_outlined(docs, n))
-    tables = every.filter("counts is not null").select("counts").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32))
-    counts = tables.treeAggregate(np.zeros(BUCKETS, np.uint32), np.add, np.add, depth=3)
-    every = every.filter("counts is null").drop("counts")
-    firsts = _prefixes(docs, n, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select("x.*")
-    return every, firsts.select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram"))
-
-
-def _each_text_once(every: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Outlines and texts of documents with an id and words."""
-    outlines = every.filter("n > 0 and doc is not null").select("doc", "n", "outline")
-    if not outlines.groupBy("doc").count().filter("count > 1").isEmpty():  # repeated keys: each text of a key once
-        return outlines.distinct(), docs.distinct()
-    return outlines, docs
+class Join:
+    """The tables of one join."""
+
+    def __init__(self, df: DataFrame, n: int, percent: int, text: str, key: str):
+        self.cuts, self.percent = Cuts(df.sparkSession), percent
+        docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+        hashed = self.cuts.cut(_hashed(docs, n))
+        counts = _total(hashed.filter("counts is not null").select("counts"))
+        self.rows = hashed.filter("counts is null").select("doc", "n", "d1", "d2")
+        self.sets = hashed.filter("counts is null and n > 0 and doc is not null").select("doc", "n", "d1", "d2", "elements")
+        firsts = _prefixes(self.sets, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "outline", "prefix")).alias("x")).select("x.*")
+        #: the first document of each class
+        self.firsts = self.cuts.cut(firsts.withColumn("n", F.col("n").cast("int")))
+        self.outlines = self.firsts.select("doc", "n", "outline")
+        # a key with several texts has a row for each; copies of a row would be so many more pairs
+        self.twice = not self.sets.groupBy("doc").count().filter("count > 1").isEmpty()
+
+    def sieve(self, keys: DataFrame) -> bloom.Bloom:
+        return bloom.build(self.cuts, keys, bloom.words_for(keys.count(), 12, SIEVE_WORDS))
+
+    def lists(self) -> DataFrame:
+        """gram, doc, n, p of n-grams of several classes' prefixes, and the document
+        ``ld`` that has it at the earliest place ``lp``, ties by hash: one of the many
+        members of a group for each n-gram, so that few are left unlike all of them."""
+        cut = self.cuts.cut
+        shared = cut(self.firsts.select(F.explode("prefix").alias("gram")).groupBy("gram").count().filter("count > 1").select("gram"))
+        some = cut(self.firsts.select("doc", "n", F.posexplode("prefix").alias("p", "gram")).filter(self.sieve(shared).passes(F.col("gram"))))
+        entries = cut(some.join(shared, "gram"))
+        turn = F.col("p").cast("long") * F.lit(1 << 40) + F.shiftrightunsigned(F.xxhash64("doc", "gram"), 24)
+        leads = cut(entries.groupBy("gram").agg(F.min_by("doc", turn).alias("ld"), F.shiftright(F.min(turn), 40).cast("int").alias("lp")))
+        out = cut(entries.join(leads, "gram"))
+        self.cuts.drop(shared, some, entries, leads)
+        return out
+
+    def filtered(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b and the places p, q where they met first) that the suffix filter lets pass."""
+        pairs = given = self.cuts.cut(pairs)
+        for side in ("a", "b"):
+            pairs = pairs.join(self.outlines.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("outline").alias(f"o{side}")), side)
+        bound = suffix_bound(F.col("oa"), F.col("p"), F.col("ob"), F.col("q"))
+        out = self.cuts.cut(pairs.filter(similar(bound, F.col("na"), F.col("nb"), self.percent)).select("a", "b").distinct())
+        self.cuts.drop(given)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of distinct pairs, by their whole sets."""
+        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        sets = self.sets.filter(self.sieve(wanted).passes(F.col("doc")))
+        if self.twice:
+            sets = sets.dropDuplicates(["doc", "d1", "d2"])
+        for side in ("b", "a"):
+            pairs = pairs.join(sets.select(F.col("doc").alias(side), F.col("elements").alias(f"e{side}")), side)
+        common = F.size(F.array_intersect("ea", "eb"))
+        return self.cuts.cut(pairs.filter(similar(common, F.size("ea"), F.size("eb"), self.percent)).select("a", "b").distinct())
+
+    def pairs(self, met: DataFrame) -> DataFrame:
+        """Distinct pairs a < b of the meetings (doc, od at places p, op)."""
+        swap = F.col("doc") > F.col("od")
+        ends = (F.least("doc", "od").alias("a"), F.greatest("doc", "od").alias("b"), F.when(swap, F.col("op")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("op")).alias("q"))
+        return met.select(*ends).groupBy("a", "b").agg(F.min("p").alias("p"), F.min("q").alias("q"))
 
 
 def ngram_links(df: DataFrame, n: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -205,17 +263,14 @@ def ngram_links(df: DataFrame, n: int = 5, percent: int = 75, text: str = "text"
     pair of classes that meets in a list is compared, those of one component too, so
     the work grows with the square of a group of near copies, as its links do.
     """
-    cuts = Cuts(df.sparkSession)
-    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    every, postings = _started(cuts, docs, n, percent)
-    postings = cuts.cut(postings)
-    outlines, docs = _each_text_once(every, docs)
-    other = postings.select("gram", F.col("doc").alias("od"), F.col("n").alias("on_"), F.col("p").alias("op"))
-    met = postings.join(other, "gram").filter("doc < od").filter(_meets("n", "p", "on_", "op", percent))
-    links = _verified(cuts, met.select(F.col("doc").alias("a"), F.col("od").alias("b")).distinct(), docs, outlines, n, percent)
-    fit = every.filter("n > 0 and doc is not null")
+    join = Join(df, n, percent, text, key)
+    lists = join.lists()
+    other = lists.select("gram", F.col("doc").alias("od"), F.col("n").alias("on_"), F.col("p").alias("op"))
+    met = lists.join(other, "gram").filter("doc < od").filter(_meets("n", "p", "on_", "op", percent))
+    links = join.verified(join.filtered(join.pairs(met)))
+    fit = join.rows.filter("n > 0 and doc is not null")
     classes = fit.join(fit.groupBy("d1", "d2").agg(F.min("doc").alias("class_id")), ["d1", "d2"])
-    return classes.select(F.col("doc").alias(key), "class_id"), links.distinct()
+    return classes.select(F.col("doc").alias(key), "class_id"), links
 
 
 def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -226,31 +281,28 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, text: str = "
     the smallest key reachable by links, itself included. A text of fewer than ``n``
     words is one n-gram; null, empty and blank texts have none and link with
     nothing, nor do documents with a null key, whose component_id is null. Repeated
-    rows share their component; texts of one key are one document. Other columns of
-    ``df`` are ignored. The key must be an integer.
+    rows share their component; texts of one key are one document. Texts of any
+    length count whole; an empty table gives no rows. Other columns of ``df`` are
+    ignored. The key must be an integer.
     """
-    cuts = Cuts(df.sparkSession)
-    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    every, postings = _started(cuts, docs, n, percent)
-    order = Window.partitionBy("gram").orderBy("p", "n", "doc")
-    shared = postings.withColumns({"lead": F.first(F.struct("doc", "n", "p")).over(order), "next": F.lead("doc").over(order)}).filter("next is not null or lead.doc != doc or lead.p != p or lead.n != n")
-    shared = cuts.cut(shared.select("gram", "doc", "n", "p", F.col("lead.doc").alias("ld"), F.col("lead.n").alias("ln"), F.col("lead.p").alias("lp")))
-
-    outlines, docs = _each_text_once(every, docs)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = shared.filter("doc != ld").filter(_meets("n", "p", "ln", "lp", percent)).select(*pair(F.col("doc"), F.col("ld"))).distinct()
-    links = _verified(cuts, stars, docs, outlines, n, percent)
+    join = Join(df, n, percent, text, key)
+    cuts, lists = join.cuts, join.lists()
+    stars = lists.filter("doc != ld").selectExpr("doc", "ld as od", "p", "lp as op")
+    stars = join.filtered(join.pairs(stars))
+    links = join.verified(stars)
 
     found = cuts.cut(components(links, "a", "b"))
-    placed = shared.select("gram", "doc", "n", "p").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    placed = cuts.cut(placed.withColumn("lead", F.first("component").over(Window.partitionBy("gram").orderBy("p", "n", "doc"))))
-    odd = placed.filter("component != lead").selectExpr("gram", "doc as od", "n as on_", "p as op", "component as oc")
+    placed = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    placed = placed.join(found.select(F.col("node").alias("ld"), F.col("component").alias("lead")), "ld", "left").withColumn("lead", F.coalesce("lead", "ld"))
+    placed = cuts.cut(placed.select("gram", "doc", "n", "p", "component", "lead"))
+    odd = cuts.cut(placed.filter("component != lead").selectExpr("gram", "doc as od", "n as on_", "p as op", "component as oc"))
     met = odd.join(placed, "gram").filter(F.col("oc") != F.col("component")).filter(_meets("n", "p", "on_", "op", percent))
-    rest = _verified(cuts, met.select(*pair(F.col("doc"), F.col("od"))).distinct(), docs, outlines, n, percent)
+    rest = join.pairs(met).join(stars, ["a", "b"], "left_anti")  # each pair once
+    rest = join.verified(join.filtered(rest))
 
     found = components(links.union(rest), "a", "b")
-    classes = every.filter("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("node"))
+    classes = join.rows.filter("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("node"))
     classes = cuts.cut(classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component")))
-    out = every.join(classes, ["d1", "d2"], "left")
+    out = join.rows.join(classes, ["d1", "d2"], "left")
     own = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
