@@ -56,8 +56,43 @@ def test_tables_skip_most_positions():
             Counted.reads += 1
             return super().__getitem__(i)
 
-    (s,) = D.tables([("1", " ".join(f"w{i}" for i in range(13)))], 13)
-    assert list(s.find(Counted([b"x"] * 1200))) == [] and Counted.reads < 250
+    block = D.Block([("1", " ".join(f"w{i}" for i in range(13))), ("2", " ".join(f"v{i}" for i in range(13)))], 13)
+    (s,) = block.searchers
+    for word in (-1, block.numbers[b"w0"]):  # a word that no item has, and one that ends no test string
+        Counted.reads = 0
+        assert list(s.find(Counted([word] * 1200))) == [] and Counted.reads < 250
+
+
+def test_blocks_are_bounded_in_memory():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from tidemark.llm import decontaminate as D
+rng = random.Random(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+items = [(str(i), " ".join("w%d" % rng.randrange(300000) for _ in range(400))) for i in range(6000)]
+size = sum(len(t) for _, t in items)
+block = D.Block(items, 13)
+assert block.search(D.words_of("zz " + items[5][1][:300]))[1] == ["5"]
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=D.__file__.rsplit("/", 3)[0]).stdout.split()
+    size, used = map(int, out)
+    assert size > 15 << 20 and used < 500 << 20, (size, used)
+
+
+def test_repeated_strings_and_a_long_window(spark):
+    items = [(i, "a b c d e f " + ("g" if i % 2 else "h")) for i in range(40)]
+    check(spark, ["a b c d e f g h", "x a b c d e f h", "f g"], items)
+    check(spark, [" ".join(f"w{i}" for i in range(700))], [(1, " ".join(f"w{i}" for i in range(50, 400)))], window=300)
+
+
+def test_a_very_long_text(spark):
+    long = "lorem ipsum dolor " * 100_000 + "a b c d e"
+    check_one = D.find_overlap(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame([(7, "A b. c-D")], "item_id long, text string"), 4).first()
+    assert (check_one.n_words, check_one.n_hit, check_one["items"], check_one.spans) == (300_005, 4, ["7"], [[300_000, 300_004]])
 
 
 def test_rule_and_empty_documents(spark):
