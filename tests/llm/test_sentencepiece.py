@@ -69,6 +69,35 @@ def test_longest_prefix_and_source_alignment():
     assert surface == " a b" and starts.tolist() == [3, 3, 4, 8, 9]
 
 
+def test_ids_come_from_the_aligned_normalisation():
+    ((ids, begins, ends),) = codec_with_map({"ﬁ": "fi", "ab": "X", "abc": "YZ"}, squeeze=False).encode(["ﬁ the abcab"])
+    assert ids.tolist() == LIBRARY.encode("fi the YZX")
+    assert (begins[0], ends[-1]) == (0, 13)
+
+
+FULL_MAP = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec()
+FULL_MODEL = S.with_normaliser(open(PATH, "rb").read(), FULL_MAP)
+FULL = sentencepiece.SentencePieceProcessor(model_proto=FULL_MODEL)
+FULL_CODEC = S.Codec(PATH)
+FULL_CODEC.read(FULL_MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t\u200b▁aAthe<s>éﬁ①ａ㌔가각😀　\x00\x07#.,́", max_size=40))
+def test_a_full_map_gives_the_librarys_ids(text):
+    ((ids, begins, ends),) = FULL_CODEC.encode([text])
+    assert ids.tolist() == FULL.encode(text)
+    assert (begins[1:] >= begins[:-1]).all() and (ends >= begins).all() and (not len(ids) or ends[-1] <= len(text.encode()))
+
+
+def test_a_full_map_by_frame(spark, tmp_path):
+    path = tmp_path / "full.model"
+    path.write_bytes(FULL_MODEL)
+    texts = ["ﬁne　① words ａｂｃ", " ▁ two  blanks ", "㌔ 가 " * 20000, "", None]
+    rows = S.encode_frame(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(path)).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: FULL.encode(t or "") for i, t in enumerate(texts)}
+
+
 def test_frame_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a b", "z"), (3, "a b", "z"), (None, "café " * 30000, "w")], "doc_id long, text string, ids string")
     rows = S.encode_frame(df, PATH).collect()

@@ -6,8 +6,9 @@ is. For every byte of the result the byte of the source that it came from is
 recorded, so that each piece of the segmentation projects to a span of the
 original text.
 
-The merges themselves are the library's; the projection needs only the width of
-each piece in the normalised text.
+That result is what is segmented. The merges are the library's, by a copy of the
+model whose own normaliser leaves texts as they are; the projection needs only the
+width of each piece in the normalised text.
 """
 
 from __future__ import annotations
@@ -59,6 +60,24 @@ def fields(message: bytes):
             at += size
 
 
+def with_normaliser(model: bytes, spec: bytes) -> bytes:
+    """A model file's bytes with another normaliser. All its top fields are messages."""
+
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    parts = [(number, value) for number, value in fields(model) if number != 3] + [(3, spec)]
+    return b"".join(varint(number << 3 | 2) + varint(len(value)) + value for number, value in parts)
+
+
+#: A normaliser that changes nothing: its name; no blank in front; none taken out; blanks become ``META``.
+AS_IT_IS = b"\x0a\x08identity\x18\x00\x20\x00\x28\x01"
+
+
 class CharacterMap:
     """A compiled map: a double-array trie over UTF-8 prefixes, then the replacements."""
 
@@ -97,8 +116,11 @@ class Codec:
     """A model: normalise, encode with spans, decode."""
 
     def __init__(self, path: str):
-        raw = Path(path).read_bytes()
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.read(Path(path).read_bytes())
+
+    def read(self, raw: bytes) -> None:
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=with_normaliser(raw, AS_IT_IS))
+        self.decoder = sentencepiece.SentencePieceProcessor(model_proto=raw)
         pieces, normaliser = [], {}
         for number, value in fields(raw):
             if number == 1:
@@ -160,22 +182,22 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text: ids, and begin and end of each piece in its bytes."""
-        coded = self.library.encode(texts, num_threads=1)
-        return [self._spans(t, np.array(ids, np.int32)) for t, ids in zip(texts, coded, strict=True)]
+        normal = [self.normalise(t) for t in texts]
+        coded = self.library.encode([n for n, _ in normal], num_threads=1)
+        return [self._spans(n, starts, np.array(ids, np.int32)) for (n, starts), ids in zip(normal, coded, strict=True)]
 
-    def _spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _spans(self, normal: str, starts: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         widths = self.widths[ids]
         if (ids == self.unknown).any():  # as wide as what they stand for
-            pieces = self.library.encode(text, return_type="proto").pieces
+            pieces = self.library.encode(normal, return_type="proto").pieces
             widths = np.array([len(p.piece.replace(META, " ").encode()) if p.id == self.unknown else w for p, w in zip(pieces, widths, strict=True)], np.int32)
-        starts = self.normalise(text)[1]
         edges = np.zeros(len(ids) + 1, np.int32)
         np.cumsum(widths, out=edges[1:])
         edges = np.maximum(edges - 1, 0) if starts is None else starts[edges]
         return ids, edges[:-1], edges[1:]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.library.decode(x) if x else "" for x in ids]
+        return [self.decoder.decode(x) if x else "" for x in ids]
 
 
 def encode_frame(df: DataFrame, model: str, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -183,7 +205,7 @@ def encode_frame(df: DataFrame, model: str, text: str = "text", keep_text: bool
 
     ``model``: path of a model file that every executor has. A null text counts as
     empty; empty gives empty arrays and "". Texts of any length are encoded whole;
-    repeated rows stay. Columns of the same names are replaced.
+    repeated rows stay; an empty table gives no rows. Columns of the same names are replaced.
     """
 
     def setup():
