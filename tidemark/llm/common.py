@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,12 +105,13 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(lengths)
 
 
-def map_texts(df: DataFrame, text: str, added: T.StructType, setup: Callable[[], Callable[[list], list]], keep_text: bool = True) -> DataFrame:
+def map_texts(df: DataFrame, text: str, added: T.StructType, setup: Callable[[], Callable[[list], list]], keep_text: bool = True, limit: int = SLICE_BYTES) -> DataFrame:
     """Append columns computed from a text column, in Arrow batches.
 
     ``setup`` runs once for each task and returns ``fn(texts) -> [values of each
-    added column]``. A column of ``df`` named like an added one is replaced; all
-    others pass unchanged. Rows neither move nor merge.
+    added column]`` for about ``limit`` bytes of texts at a time. A column of ``df``
+    named like an added one is replaced; all others pass unchanged. Rows neither move
+    nor merge.
     """
     names = {f.name for f in added}
     kept = [f for f in df.schema if f.name not in names and (keep_text or f.name != text)]
@@ -122,7 +123,7 @@ def map_texts(df: DataFrame, text: str, added: T.StructType, setup: Callable[[],
         fn = setup()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for a, b in slices(column):
+            for a, b in slices(column, limit):
                 values = fn(column.slice(a, b - a).to_pylist())
                 arrays = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)]

@@ -175,9 +175,11 @@ def _searched(df: DataFrame, text: str, items: list, window: int, names: tuple[s
         block = block_of(items, window)
 
         def fn(texts: list) -> list:
-            split = [words_of(t) for t in texts]
-            hits = [block.search(w) for w in split]
-            return [[len(w) for w in split], [h[0] for h in hits], [h[1] for h in hits]]
+            rows = []
+            for t in texts:
+                split = words_of(t)
+                rows.append((len(split), *block.search(split)))
+            return list(map(list, zip(*rows, strict=True)))
 
         return fn
 

@@ -214,4 +214,4 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
 
         return fn
 
-    return map_texts(df, text, PREDICTED, setup, keep_text)
+    return map_texts(df, text, PREDICTED, setup, keep_text, limit=4 << 20)  # many stretches side by side

@@ -7,8 +7,8 @@ recorded, so that each piece of the segmentation projects to a span of the
 original text.
 
 That result is what is segmented. The merges are the library's, by a copy of the
-model whose own normaliser leaves texts as they are; the projection needs only the
-width of each piece in the normalised text.
+model whose own normaliser does no more than put the leading blank before it; the
+projection needs only the width of each piece in the normalised text.
 """
 
 from __future__ import annotations
@@ -74,8 +74,8 @@ def with_normaliser(model: bytes, spec: bytes) -> bytes:
     return b"".join(varint(number << 3 | 2) + varint(len(value)) + value for number, value in parts)
 
 
-#: A normaliser that changes nothing: its name; no blank in front; none taken out; blanks become ``META``.
-AS_IT_IS = b"\x0a\x08identity\x18\x00\x20\x00\x28\x01"
+#: A normaliser without a map that takes no blank out, turns blanks into ``META``, and by its last byte puts one in front.
+AS_IT_IS = b"\x0a\x08identity\x20\x00\x28\x01\x18"
 
 
 class CharacterMap:
@@ -119,8 +119,6 @@ class Codec:
         self.read(Path(path).read_bytes())
 
     def read(self, raw: bytes) -> None:
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=with_normaliser(raw, AS_IT_IS))
-        self.decoder = sentencepiece.SentencePieceProcessor(model_proto=raw)
         pieces, normaliser = [], {}
         for number, value in fields(raw):
             if number == 1:
@@ -134,6 +132,7 @@ class Codec:
         self.user = sorted((t.encode() for t, k in zip(texts, kinds, strict=True) if k == 4), key=len, reverse=True)
         self.widths = [1 if k == 6 else len(t.replace(META, " ").encode()) for t, k in zip(texts, kinds, strict=True)]
         self.widths = np.array(self.widths, np.int32)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=with_normaliser(raw, AS_IT_IS + bytes([self.prefix])))
         self.unknown = self.library.unk_id()
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
@@ -183,13 +182,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text: ids, and begin and end of each piece in its bytes."""
         normal = [self.normalise(t) for t in texts]
-        coded = self.library.encode([n for n, _ in normal], num_threads=1)
+        coded = self.library.encode([self._without_lead(n) for n, _ in normal], num_threads=1)
         return [self._spans(n, starts, np.array(ids, np.int32)) for (n, starts), ids in zip(normal, coded, strict=True)]
 
+    def _without_lead(self, normal: str) -> str:
+        return normal[1:] if self.prefix else normal
+
     def _spans(self, normal: str, starts: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         widths = self.widths[ids]
         if (ids == self.unknown).any():  # as wide as what they stand for
-            pieces = self.library.encode(normal, return_type="proto").pieces
+            pieces = self.library.encode(self._without_lead(normal), return_type="proto").pieces
             widths = np.array([len(p.piece.replace(META, " ").encode()) if p.id == self.unknown else w for p, w in zip(pieces, widths, strict=True)], np.int32)
         edges = np.zeros(len(ids) + 1, np.int32)
         np.cumsum(widths, out=edges[1:])
@@ -197,7 +199,8 @@ class Codec:
         return ids, edges[:-1], edges[1:]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.decoder.decode(x) if x else "" for x in ids]
+        texts = [self.library.decode(x) if x else "" for x in ids]
+        return texts if self.prefix or not self.squeeze else [t.removeprefix(" ") for t in texts]
 
 
 def encode_frame(df: DataFrame, model: str, text: str = "text", keep_text: bool = True) -> DataFrame:
