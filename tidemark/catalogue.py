@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, history, lru, paths, replay, supervised
+from tidemark.operators import attribution, history, lru, paths, relational, replay, supervised
 from tidemark.sources.tables import table, trace
 
 #: Units of the unit-size and of the sized cache, capacities of the curve.
@@ -294,3 +294,61 @@ def q34(spark, sf):
     deep = lru.depths(trace(spark, sf))
     small, large = (F.when(F.col("depth") <= c, 1).otherwise(0) for c in (30, 75))
     return deep.groupBy(small.alias("small"), large.alias("large")).agg(F.count("*").alias("n"))
+
+
+@query("q35_json_props", """
+    select event_type, count(k) as n_k, cast(sum(k) as bigint) as sum_k, count(*) as n
+    from (select event_type, try_cast(json_extract_string(props, '$.k') as bigint) as k from events) group by 1""")
+def q35(spark, sf):
+    return relational.props(table(spark, sf, "events").select("event_type", "props"))
+
+
+@query("q36_cube", f"""
+    with {_TRACE} select kind, size, cast(grouping_id(kind, size) as bigint) as level, count(*) as n, round(sum(reward), 2) as reward from t group by cube (kind, size)""")
+def q36(spark, sf):
+    return relational.cube(trace(spark, sf))
+
+
+@query("q37_demand_ranks", f"""
+    with {_TRACE}, c as (select kind, folder, count(*) as n from t group by 1, 2)
+    select kind, folder, n, rank() over w as rank, dense_rank() over w as dense_rank, round(percent_rank() over w, 4) as percent_rank
+    from c window w as (partition by kind order by n desc)""")
+def q37(spark, sf):
+    return relational.demand_ranks(trace(spark, sf))
+
+
+@query("q38_folder_sets", f"""
+    with {_TRACE}, a as (select folder from t where kind = 'purchase'), b as (select folder from t where kind = 'click')
+    select folder, 'both' as part from (select * from a intersect select * from b)
+    union all select folder, 'first' from (select * from a except select * from b)
+    union all select folder, 'second' from (select * from b except select * from a)""")
+def q38(spark, sf):
+    return relational.folder_sets(trace(spark, sf), "purchase", "click")
+
+
+@query("q39_as_of", f"""
+    with {_TRACE} select event_id, last_value(case when kind = 'purchase' then event_id end ignore nulls) over w as last_id,
+    last_value(case when kind = 'purchase' then reward end ignore nulls) over w as last_reward
+    from t window w as (partition by folder order by ts, event_id rows between unbounded preceding and 1 preceding)""")
+def q39(spark, sf):
+    return relational.as_of(trace(spark, sf), "purchase")
+
+
+@query("q40_within_an_hour", f"""
+    with {_TRACE} select a.event_id as cause_id, b.event_id as effect_id, epoch_us(b.ts) - epoch_us(a.ts) as gap_us
+    from t a join t b on a.folder = b.folder and a.kind = 'click' and b.kind = 'purchase' and b.ts > a.ts and b.ts <= a.ts + interval 60 minutes""")
+def q40(spark, sf):
+    return relational.within(trace(spark, sf), "click", "purchase", 60)
+
+
+@query("q41_distinct_folders", f"with {_TRACE} select kind, count(distinct folder) as n_folders from t group by 1")
+def q41(spark, sf):
+    return relational.reach(trace(spark, sf)).select("kind", "n_folders")
+
+
+@query("q42_demand_forecast", f"""
+    with {_TRACE}, {_DEMAND}
+    select a.folder, a.day, a.n, round(coalesce(sum(b.n), 0) / 3.0::double, 4) as forecast
+    from dm a left join dm b on a.folder = b.folder and b.day < a.day and b.day >= a.day - 3 group by 1, 2, 3""")
+def q42(spark, sf):
+    return relational.demand_forecast(trace(spark, sf))
