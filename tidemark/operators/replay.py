@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -38,26 +39,40 @@ def future_return(trace: DataFrame) -> DataFrame:
     return trace.withColumn("future", F.coalesce(F.lead("reward", 1).over(by_time()), F.lit(0.0)) + 0.9 * F.coalesce(F.lead("reward", 2).over(by_time()), F.lit(0.0)))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    indexed = StringIndexer(inputCol="kind", outputCol="__kind", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows).transform(rows)
-    return VectorAssembler(inputCols=["__kind", "size"], outputCol="__x").transform(indexed)
+def critic_model(trace: DataFrame) -> PipelineModel:
+    """The linear estimate of future from size and kind, a number 0 or 1 for each kind."""
+    indexed = StringIndexer(inputCol="kind", outputCol="__kind", stringOrderType="alphabetAsc", handleInvalid="keep")
+    stages = [indexed, OneHotEncoder(inputCol="__kind", outputCol="__one"), VectorAssembler(inputCols=["__one", "size"], outputCol="__x")]
+    return Pipeline(stages=[*stages, LinearRegression(featuresCol="__x", labelCol="future", predictionCol="critic")]).fit(future_return(trace))
+
+
+def criticised(model: PipelineModel, trace: DataFrame) -> DataFrame:
+    """Append future and critic."""
+    return model.transform(future_return(trace)).drop("__x", "__kind", "__one")
 
 
 def fit_critic(trace: DataFrame) -> DataFrame:
-    """Append future and critic, the linear estimate of it from kind and size."""
-    ready = _features(future_return(trace))
-    return LinearRegression(featuresCol="__x", labelCol="future", predictionCol="critic").fit(ready).transform(ready).drop("__x", "__kind")
+    return criticised(critic_model(trace), trace)
 
 
-def fit_policy(trace: DataFrame, action: str = "purchase", most: float = 20.0) -> DataFrame:
-    """Append policy: probability of the logged action, fitted with weights
-    exp(advantage / deviation), capped at ``most``."""
-    rows = fit_critic(trace).withColumn("advantage", F.col("future") - F.col("critic"))
+def weighed(critic: PipelineModel, trace: DataFrame, action: str = "purchase", most: float = 20.0) -> DataFrame:
+    """Append advantage, weight and logged: what a policy is fitted on."""
+    rows = criticised(critic, trace).withColumn("advantage", F.col("future") - F.col("critic"))
     spread = rows.agg(F.stddev("advantage")).first()[0] or 1.0
-    rows = rows.withColumns({"weight": F.least(F.exp(F.col("advantage") / spread), F.lit(most)), "logged": F.when(F.col("kind") == action, 1.0).otherwise(0.0)})
-    ready = VectorAssembler(inputCols=["size", "reward"], outputCol="__x").transform(rows)
-    model = LogisticRegression(featuresCol="__x", labelCol="logged", weightCol="weight", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y").fit(ready)
-    return model.transform(ready).withColumn("policy", vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__y")
+    return rows.withColumns({"weight": F.least(F.exp(F.col("advantage") / spread), F.lit(most)), "logged": F.when(F.col("kind") == action, 1.0).otherwise(0.0)})
+
+
+def policy_model(rows: DataFrame) -> PipelineModel:
+    """Probability of the logged action, fitted with weights exp(advantage / deviation),
+    capped."""
+    fitted = LogisticRegression(featuresCol="__x", labelCol="logged", weightCol="weight", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y")
+    return Pipeline(stages=[VectorAssembler(inputCols=["size", "reward"], outputCol="__x"), fitted]).fit(rows)
+
+
+def fit_policy(trace: DataFrame, action: str = "purchase", most: float = 20.0) -> DataFrame:
+    """Append policy, the probability of the action."""
+    rows = weighed(critic_model(trace), trace, action, most)
+    return policy_model(rows).transform(rows).withColumn("policy", vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__y")
 
 
 def replayed(trace: DataFrame, capacity: int, admit: float, shard: str = "kind") -> DataFrame:

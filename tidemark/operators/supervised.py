@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,11 +48,20 @@ def training_rows(trace: DataFrame, past_hours: int, next_hours: int) -> DataFra
     return history.next_within(history.trailing_count(trace, past_hours), next_hours)
 
 
+def actor_model(rows: DataFrame, features: list[str]) -> PipelineModel:
+    """The probability of label 1, fitted on the training rows of ``split`` only. The
+    model can be saved and loaded."""
+    fitted = LogisticRegression(featuresCol="__x", labelCol="label", maxIter=20, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y")
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), fitted]).fit(split(rows).filter("split = 'train'"))
+
+
+def act(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Append split and probability; test rows are ones that the model hasn't seen."""
+    return model.transform(split(rows)).withColumn("probability", vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__y")
+
+
 def fit_actor(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Rows with the fitted probability of label 1 (column probability)."""
-    ready = VectorAssembler(inputCols=features, outputCol="__x").transform(rows)
-    model = LogisticRegression(featuresCol="__x", labelCol="label", maxIter=20, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y").fit(ready)
-    return model.transform(ready).withColumn("probability", vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__y")
+    return act(actor_model(rows, features), rows)
 
 
 def _ranked(rows: DataFrame, *order) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import catalogue
+from tidemark.operators import replay, supervised
 from tidemark.sources import runs
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, trace
 
 #: Action -> reports (catalogue queries) that it writes.
 ACTIONS: dict[str, tuple[str, ...]] = {
@@ -24,16 +25,29 @@ ACTIONS: dict[str, tuple[str, ...]] = {
     "rl-train-critic": ("q30_critic_fit",),
     "rl-train-actor": ("q31_policy_fit",),
     "rl-evaluate": ("q32_policy_replay",),
+    "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders"),
+    "demand-forecast": ("q42_demand_forecast",),
     "ablation": ("q33_ablation", "q34_paired_capacities"),
 }
 
 
+#: Action -> the model that it fits and saves beside its reports.
+MODELS = {
+    "actor-train": lambda rows: supervised.actor_model(supervised.training_rows(rows, 24, 6), ["n_recent", "reward"]),
+    "rl-train-critic": replay.critic_model,
+    "rl-train-actor": lambda rows: replay.policy_model(replay.weighed(replay.critic_model(rows), rows)),
+}
+
+
 def run(spark: SparkSession, action: str, sf_dir: str, out: str, run_id: str) -> list[str]:
-    """Write the reports of an action; their paths."""
+    """Write the reports of an action, and its model if it has one; their paths."""
     if action not in ACTIONS:
         raise ValueError(f"{action}: one of {', '.join(ACTIONS)}")
     with runs.writer(spark, out):
-        return [runs.save(catalogue.QUERIES[name](spark, sf_dir), out, name, run_id) for name in ACTIONS[action]]
+        paths = [runs.save(catalogue.QUERIES[name](spark, sf_dir), out, name, run_id) for name in ACTIONS[action]]
+        if action in MODELS:
+            paths.append(runs.save_model(MODELS[action](trace(spark, sf_dir)), out, action, run_id))
+        return paths
 
 
 def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:

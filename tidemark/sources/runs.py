@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +41,17 @@ def save(df: DataFrame, root: str, report: str, run_id: str, partition_by: tuple
     return path
 
 
+def save_model(model: PipelineModel, root: str, name: str, run_id: str) -> str:
+    """Write a fitted model under ``root/models/name/run_id=...``; an error if it exists."""
+    path = f"{root}/models/{name}/run_id={run_id}"
+    model.save(path)
+    return path
+
+
+def load_model(root: str, name: str, run_id: str) -> PipelineModel:
+    return PipelineModel.load(f"{root}/models/{name}/run_id={run_id}")
+
+
 def load(spark: SparkSession, root: str, report: str) -> DataFrame:
     """All runs of a report, with their run_id."""
     return spark.read.option("basePath", f"{root}/{report}").parquet(f"{root}/{report}")
