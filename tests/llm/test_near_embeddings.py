@@ -65,3 +65,11 @@ def test_repeated_rows_and_empty_table(spark):
     assert got == [(4, 3, 4, True), (5, 3, 4, False), (5, 3, 4, False), (5, 3, 4, False), (9, 0, 9, True)]
     assert run(spark, rows[:1])[0].n_links == 0
     assert E.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pairs_of_two_labels_are_no_links(spark):
+    from tidemark.llm import near_embeddings
+
+    classes = spark.createDataFrame([(1, 5, [1.0, 2.0]), (2, 6, [1.0, 2.0]), (3, 5, [1.0, 2.1])], "node long, label long, v array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in near_embeddings._exact(pairs, classes, 0.93).collect()] == [(1, 3)]

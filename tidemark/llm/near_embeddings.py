@@ -65,9 +65,11 @@ def _hashed(vectors: DataFrame, projections: int, tables: int, cell: float) -> D
 
 
 def _exact(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of at least that cosine."""
+    """The pairs (a, b) of one label and of at least that cosine. Buckets keep labels
+    apart by a hash only, so labels are compared too."""
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("v").alias(f"v{side}")), side)
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"), F.col("v").alias(f"v{side}")), side)
+    pairs = pairs.filter("la = lb")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
