@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import language as L
 from tidemark.llm import queries
+from tidemark.llm.common import held_out
 
 
 def brute(sample, text):
@@ -28,6 +30,34 @@ def test_phrases_against_substring_search():
         ends = np.cumsum([len(t) for t in texts])
         got = L.phrases(table, code("".join(texts)), ends - [len(t) for t in texts], ends)
         assert got.tolist() == [brute(sample, t) for t in texts], (sample, texts)
+        for stretch in (1, 3, 7):
+            assert L.phrases(table, code("".join(texts)), ends - [len(t) for t in texts], ends, stretch=stretch).tolist() == got.tolist()
+
+
+def test_matches_longer_than_stretches():
+    sample, texts = "ab" * 400 + "c", ["ab" * 5000, "ba" * 700 + "c" + "ab" * 900, "", "d" * 50 + "ab" * 30]
+    code = lambda s: np.array(["abcd".index(c) for c in s], np.int32)
+    table, ends = L.automaton(code(sample), L.CLASSES).ravel(), np.cumsum([len(t) for t in texts])
+    for stretch in (16, 512, 1 << 20):
+        assert L.phrases(table, code("".join(texts)), ends - [len(t) for t in texts], ends, stretch=stretch).tolist() == [brute(sample, t) for t in texts]
+
+
+def test_query_against_substring_search(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    samples = {k: L.plain(s) for k, s in L.fit(docs.filter(~held_out())).samples.items()}  # joined pieces may meet in two blanks
+    got = {r.doc_id: r for r in queries.op4_language(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        t = L.plain(r.text or "")
+        if not t.strip():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        bits = {k: math.log2(len(s) + 2) * brute(s, t) / len(t) for k, s in samples.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - 1 / bits[best] / sum(1 / b for b in bits.values())) < 1e-9
 
 
 def test_plain():
@@ -69,7 +99,7 @@ def test_more_characters_than_the_table_has_columns(spark):
         coded = [model.codes(t) for t in texts]
         ends = np.cumsum([len(c) for c in coded])
         sample = [s for s in model.samples.values() if len(L.split_automaton(model.codes(s), L.CLASSES)[1][0]) == len(rare[0])][0]
-        got = L.phrases(table, np.concatenate(coded), ends - [len(c) for c in coded], ends, rare)
+        got = L.phrases(table, np.concatenate(coded), ends - [len(c) for c in coded], ends, rare, stretch=4)
         assert got.tolist() == [brute(sample, t) for t in texts]
     texts = [(i, "".join(rng.choices(words[("xx", "yy")[i % 2]], k=8))) for i in range(40)]
     rows = L.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()

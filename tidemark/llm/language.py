@@ -25,7 +25,7 @@ SAMPLE_CHARS, ALL_CHARS = 32_768, 1 << 18
 #: Columns of the transition tables: the commonest characters, any other. Others of
 #: the samples have codes from CLASSES on, and their transitions are kept sparse.
 CLASSES = 64
-#: A text is parsed in stretches of so many characters, side by side.
+#: Characters of the stretches that are parsed side by side.
 STRETCH = 512
 UNKNOWN = "und"
 
@@ -128,26 +128,84 @@ def reach(table: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None, state:
     return to
 
 
-def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Longest-match phrases of each stretch codes[start:end]; all stretches advance
-    together, longest first, so that those that end drop off the tail."""
+def side_by_side(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parse each stretch codes[start:end] as if a phrase began at its start; all
+    stretches advance together, longest first, so that those that end drop off the tail.
+
+    Returns, for each position, how many phrases its stretch has before the one that
+    begins there (-1 where none does); for each stretch, its complete phrases and the
+    state in which it ends (0 if no phrase is open)."""
     order = np.argsort(starts - ends, kind="stable")
     at, left = starts[order], (ends - starts)[order]
     count, state = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+    number = np.full(len(codes), -1, np.int32)
+    number[starts] = 0
     alive = len(order)
     for step in range(int(left[0]) if len(left) else 0):
         while alive and left[alive - 1] <= step:
             alive -= 1
-        c = codes[at[:alive] + step]
+        here = at[:alive] + step
+        c = codes[here]
         to = reach(table, rare, state[:alive], c)
         stuck = np.flatnonzero(to < 0)
         if len(stuck):
-            anew = reach(table, rare, np.zeros(len(stuck), np.int32), c[stuck])  # a character that the sample lacks is a phrase of its own
-            count[stuck] += (state[stuck] > 0).astype(np.int32) + (anew < 0)
+            done = count[stuck] + (state[stuck] > 0)
+            number[here[stuck]] = done
+            anew = reach(table, rare, np.zeros(len(stuck), np.int32), c[stuck])
+            count[stuck] = done + (anew < 0)  # a character that the sample lacks is a phrase of its own
+            alone = stuck[(anew < 0) & (left[stuck] > step + 1)]
+            number[here[alone] + 1] = count[alone]
             to[stuck] = np.maximum(anew, 0)
         state[:alive] = to
-    out = np.empty(len(order), np.int32)
-    out[order] = count + (state > 0)
+    complete, last = np.empty_like(count), np.empty_like(state)
+    complete[order], last[order] = count, state
+    return number, complete, last
+
+
+def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None, stretch: int = STRETCH) -> np.ndarray:
+    """Longest-match phrases of each text codes[start:end], parsed from left to right.
+
+    Stretches of a text are parsed side by side. Then the parse is carried over their
+    borders: the phrase open at the end of one goes on into the next, and phrases
+    follow it there until one begins where the stretch's own parse began one; from
+    there on the two are the same. So matches cross borders, and the work stays
+    proportional to the text.
+    """
+    pieces = -(-(ends - starts) // stretch)
+    owner = np.repeat(np.arange(len(starts)), pieces)
+    a = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
+    b = np.minimum(a + stretch, ends[owner])
+    number, complete, last = side_by_side(table, codes, a, b, rare)
+    edges, points, begun = memoryview(table), memoryview(np.ascontiguousarray(codes)), memoryview(number)
+    rest = dict(zip(rare[0].tolist(), rare[1].tolist(), strict=True)) if rare is not None else {}
+
+    def end_of(state: int, at: int, end: int) -> int:
+        """Where the phrase ends that has come to ``state`` before position ``at``."""
+        first = state == 0
+        while at < end:
+            c = points[at]
+            state = edges[state * CLASSES + c] if c < CLASSES else rest.get(state << 32 | c, -1)
+            if state < 0:
+                return at + 1 if first else at
+            first = False
+            at += 1
+        return at
+
+    out = np.zeros(len(starts), np.int64)
+    text, at = -1, 0
+    for i, border, complete_k, state, text_end in zip(owner.tolist(), b.tolist(), complete.tolist(), last.tolist(), ends[owner].tolist(), strict=True):
+        if i != text:
+            text, at, total = i, int(starts[i]), 0
+        while at < border and begun[at] < 0:
+            at = end_of(0, at, text_end)
+            total += 1
+        if at < border:
+            total += complete_k - begun[at]
+            at = border
+            if state:
+                total += 1
+                at = end_of(state, border, text_end)
+        out[i] = total
     return out
 
 
@@ -156,7 +214,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     ``all_chars`` for all of them.
 
     Rows are taken in the order of a hash of key and text, so many of each language
-    as about fill its sample twice; a language of little text is taken whole. Null
+    as about fill its sample twice; a language of little text is taken whole. A text
+    longer than the sample gives a piece from a place that the hash chooses. Null
     languages and texts are left out.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
@@ -165,12 +224,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not totals:
         return LanguageModel({})
     spot = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = 1 + F.pmod(F.xxhash64(text, key), F.greatest(F.length(text) - each, F.lit(0)) + 1)
     share = {k: min(1.0, 2 * max(each / chars, 8 / n)) for k, (n, chars) in totals.items()}
     wanted = F.lit(False)
     for k, p in share.items():
         wanted = wanted | ((F.col(lang) == k) & (spot < p))
     samples: dict[str, list[str]] = {k: [] for k in totals}
-    for name, piece in rows.filter(wanted).select(lang, F.substring(text, 1, each).alias("piece"), spot.alias("spot")).orderBy("spot", lang, "piece").drop("spot").toLocalIterator():
+    for name, piece in rows.filter(wanted).select(lang, F.substring(F.col(text), place.cast("int"), F.lit(each)).alias("piece"), spot.alias("spot")).orderBy("spot", lang, "piece").drop("spot").toLocalIterator():
         if sum(map(len, samples[name])) < each:
             samples[name].append(plain(piece))
     return LanguageModel({k: " ".join(v)[:each] for k, v in samples.items()})
@@ -191,19 +251,12 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
         def fn(texts: list) -> list:
             coded = [model.codes(t) if t else np.zeros(0, np.int32) for t in texts]
             known = [bool(len(c)) and (len(c) > 1 or plain(t) != " ") for c, t in zip(coded, texts, strict=True)]
-            starts, owner, base = [], [], 0
-            ends = []
-            for i, c in enumerate(coded):
-                for a in range(0, len(c) if known[i] else 0, STRETCH):
-                    starts.append(base + a)
-                    ends.append(base + min(a + STRETCH, len(c)))
-                    owner.append(i)
-                base += len(c)
-            if not tables or not owner:
+            if not tables or not any(known):
                 return [[UNKNOWN] * len(texts), [0.0] * len(texts)]
-            codes, starts, ends = np.concatenate(coded), np.array(starts), np.array(ends)
-            sizes = np.array([max(1, len(c)) for c in coded])
-            bits = np.array([b * np.bincount(owner, phrases(table, codes, starts, ends, rare), minlength=len(texts)) for _, table, rare, b in tables]) / sizes
+            codes, lengths = np.concatenate(coded), np.array([len(c) for c in coded])
+            ends = np.cumsum(lengths)
+            starts = np.where(known, ends - lengths, ends)
+            bits = np.array([b * phrases(table, codes, starts, ends, rare) for _, table, rare, b in tables]) / np.maximum(lengths, 1)
             best = np.argmin(bits, axis=0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = (1 / bits[best, np.arange(len(texts))]) / (1 / bits).sum(axis=0)
