@@ -49,7 +49,8 @@ def test_dominance_against_loops():
 
 
 @pytest.mark.parametrize("block", [16, 100, 65536])
-def test_depths_against_simulation(spark, block):
+def test_depths_against_simulation(spark, block, monkeypatch):
+    monkeypatch.setattr(lru, "FEW", 8)
     rows = rows_of(700, 40, block)
     df = spark.createDataFrame(rows, SCHEMA)
     deep = lru.depths(df, block=block).cache()
@@ -66,6 +67,15 @@ def test_depths_against_simulation(spark, block):
     assert sum(counts.values()) == 700 and counts["cold"] == len({r[2] for r in rows})
 
 
+def test_grids_of_grids(spark, monkeypatch):
+    monkeypatch.setattr(lru, "STEP", 2)
+    monkeypatch.setattr(lru, "FEW", 3)
+    rows = rows_of(300, 25, 9)
+    deep = lru.depths(spark.createDataFrame(rows, SCHEMA), block=8).cache()
+    for capacity in (3, 12, 24):
+        assert {r.event_id: r.hit for r in lru.hits(deep, capacity).collect()} == simulate(rows, capacity, False)
+
+
 def test_empty_trace(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lru.depths(df).count() == 0 and lru.sized(df, 5).count() == 0

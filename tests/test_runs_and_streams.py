@@ -1,3 +1,6 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +35,18 @@ def test_one_writer_at_a_time(spark, tmp_path):
         pass
 
 
+def test_abandoned_lock_is_taken_over(spark, tmp_path):
+    (tmp_path / "_writer").touch()
+    with pytest.raises(runs.Busy), runs.writer(spark, str(tmp_path)):
+        pass
+    os.utime(tmp_path / "_writer", (0, 0))
+    with runs.writer(spark, str(tmp_path), stale=2):
+        time.sleep(3)  # the holder renews it meanwhile
+        with pytest.raises(runs.Busy), runs.writer(spark, str(tmp_path), stale=2):
+            pass
+    assert not [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")]
+
+
 def test_smoke_and_formats(spark, tmp_path):
     assert all(r.has_rows for r in experiments.smoke(spark, SF).collect())
     log = tables.table(spark, SF, "events")

@@ -8,7 +8,8 @@ depth is a dominance sum over places and last places.
 
 The sum is taken in blocks of places: within a block's own accesses, within the
 accesses whose last place lies in a block, and over whole blocks between by a grid
-of counts. No task holds more than two blocks' rows, however long the trace.
+of counts, which is summed in blocks in its turn. A task holds two blocks' rows, or
+the cells of STEP rows of a grid.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dominance import dominance
 
-#: Places of a block.
-BLOCK = 65_536
+#: Places of a block; blocks of a block of the grids above; places that one task takes.
+BLOCK, STEP, FEW = 65_536, 16, 1024
+PARTS = "lo long, hi long, part long"
 
 
 def placed(trace: DataFrame, span: int = 3600) -> DataFrame:
@@ -40,6 +42,51 @@ def placed(trace: DataFrame, span: int = 3600) -> DataFrame:
     return rows.withColumn("prev", F.lag("pos").over(Window.partitionBy("folder").orderBy("pos")))
 
 
+def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a block's points add to each of its asks."""
+    p = pdf[pdf.ask == 0].sort_values("p")
+    q = pdf[pdf.ask == 1]
+    at, lo, hi = p.p.to_numpy(), q.q.to_numpy(), q.p.to_numpy()
+    low, high = np.searchsorted(at, lo, side="right"), np.searchsorted(at, hi, side="left")
+    return pd.DataFrame({"lo": lo, "hi": hi, "part": dominance(p.q.to_numpy(), p.w.to_numpy(), low, np.maximum(low, high), lo)})
+
+
+def _dominated(points: DataFrame, asks: DataFrame, places: int, block: int) -> DataFrame:
+    """Parts (lo, hi, part) whose sum by ask (lo, hi) is the weight w of the points
+    (p, q, w) with lo < p < hi and q < lo; -1 <= q < p < places.
+
+    Whole blocks between are points again, of a grid of blocks, so they are answered
+    in the same way until few blocks are left. A level has at most as many points as
+    the one before it.
+    """
+    point = points.select("p", "q", "w", F.lit(0).alias("ask"))
+    ask = asks.select(F.col("hi").alias("p"), F.col("lo").alias("q"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("ask"))
+    if places <= FEW:
+        return point.unionByName(ask).withColumn("b", F.lit(0)).groupBy("b").applyInPandas(_sums, PARTS)
+    of = lambda c: F.floor(F.col(c) / block)
+    inside = point.withColumn("b", of("p")).unionByName(ask.withColumn("b", of("p"))).unionByName(ask.withColumn("b", of("q")).filter(F.col("b") != of("p")))
+    parts = inside.groupBy("b").applyInPandas(_sums, PARTS)
+    if places <= block:
+        return parts
+    # points of later blocks whose last place lies in the block where the ask begins
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[pdf.ask == 0].assign(k=lambda d: d.p // block).sort_values("k")
+        q = pdf[pdf.ask == 1]
+        at, lo, hi = p.k.to_numpy(), q.q.to_numpy(), q.p.to_numpy()
+        low, high = np.searchsorted(at, lo // block, side="right"), np.searchsorted(at, hi // block, side="left")
+        return pd.DataFrame({"lo": lo, "hi": hi, "part": dominance(p.q.to_numpy(), p.w.to_numpy(), low, np.maximum(low, high), lo)})
+
+    apart = of("p") > of("q")
+    starts = point.filter(apart & (F.col("q") >= 0)).unionByName(ask.filter(of("p") > of("q") + 1)).withColumn("b", of("q"))
+    parts = parts.unionByName(starts.groupBy("b").applyInPandas(between, PARTS))
+    grid = points.groupBy(of("p").alias("p"), of("q").alias("q")).agg(F.sum("w").alias("w"))
+    far = asks.select("lo", "hi", of("lo").alias("i"), of("hi").alias("j")).filter("j > i + 1")
+    whole = _dominated(grid, far.select(F.col("i").alias("lo"), F.col("j").alias("hi")).distinct(), -(-places // block), STEP)
+    whole = whole.groupBy(F.col("lo").alias("i"), F.col("hi").alias("j")).agg(F.sum("part").alias("part")).filter("part > 0")
+    return parts.unionByName(far.join(whole, ["i", "j"]).select("lo", "hi", "part"))
+
+
 def depths(trace: DataFrame, weight: Column | None = None, block: int = BLOCK) -> DataFrame:
     """``placed(trace)`` with depth: the weight of the folder and of the distinct
     folders since its last access; null for a folder's first access.
@@ -48,45 +95,13 @@ def depths(trace: DataFrame, weight: Column | None = None, block: int = BLOCK) -
     """
     w = (F.lit(1) if weight is None else weight).cast("long")
     rows = placed(trace).withColumn("w", w)
-    rows = rows.withColumns({"j": F.floor((F.col("pos") - 1) / block), "i": F.floor((F.col("prev") - 1) / block)})
-    slim = rows.select("pos", "prev", "w", "i", "j")
-    queries = slim.filter("prev is not null")
-    # each access is a point of its block, asks within it, and within its last place's block
-    asked = slim.selectExpr("""inline(array_compact(array(
-        struct(j as b, pos, coalesce(prev, 0L) as prev, w, 0 as ask),
-        if(prev is not null, struct(j as b, pos, prev, 0L as w, 1 as ask), null),
-        if(prev is not null and i != j, struct(i as b, pos, prev, 0L as w, 1 as ask), null))))""")
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[pdf.ask == 0].sort_values("pos")
-        q = pdf[pdf.ask > 0]
-        at = p.pos.to_numpy()
-        low, high = np.searchsorted(at, q.prev.to_numpy(), side="right"), np.searchsorted(at, q.pos.to_numpy(), side="left")
-        part = dominance(p.prev.to_numpy(), p.w.to_numpy(), low, high, q.prev.to_numpy())
-        return pd.DataFrame({"pos": q.pos.to_numpy(), "part": part})
-
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("j")
-        at = p.j.to_numpy()
-        q = p[p.j > p.i]
-        low, high = np.searchsorted(at, q.i.to_numpy(), side="right"), np.searchsorted(at, q.j.to_numpy(), side="left")
-        part = dominance(p.prev.to_numpy(), p.w.to_numpy(), low, high, q.prev.to_numpy())
-        return pd.DataFrame({"pos": q.pos.to_numpy(), "part": part})
-
-    parts = asked.groupBy("b").applyInPandas(inside, "pos long, part long")
-    parts = parts.unionByName(queries.groupBy("i").applyInPandas(between, "pos long, part long"))
-    # weight of block k's accesses whose last place lies in a block before i, summed over i < k < j
-    grid = slim.groupBy(F.col("j").alias("k"), F.coalesce("i", F.lit(-1)).alias("m")).agg(F.sum("w").alias("g"))
-    cells = grid.select("k", F.explode(F.sequence(F.greatest(F.col("m") + 1, F.lit(0)), F.greatest(F.col("k"), F.col("m") + 1))).alias("i"), "g").filter("i < k")
-    cells = cells.groupBy("i", "k").agg(F.sum("g").alias("g"))
-    asks = queries.filter("j > i + 1").select("i", F.col("j").alias("k"), F.lit(0).cast("long").alias("g"), F.lit(True).alias("ask")).distinct()
-    earlier = Window.partitionBy("i").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
-    upto = cells.withColumn("ask", F.lit(False)).unionByName(asks).withColumn("sum", F.sum("g").over(earlier)).filter("ask and sum > 0")
-    whole = queries.join(upto.select("i", F.col("k").alias("j"), "sum"), ["i", "j"])
-    parts = parts.unionByName(whole.select("pos", F.col("sum").alias("part")))
+    zero = F.lit(-1).cast("long")
+    points = rows.select((F.col("pos") - 1).alias("p"), F.coalesce(F.col("prev") - 1, zero).alias("q"), "w")
+    asks = points.filter("q >= 0").select(F.col("q").alias("lo"), F.col("p").alias("hi"))
+    parts = _dominated(points, asks, trace.count(), block).select((F.col("hi") + 1).alias("pos"), "part")
     depth = parts.groupBy("pos").agg(F.sum("part").alias("between"))
     out = rows.join(depth, "pos", "left")
-    return out.withColumn("depth", F.when(F.col("prev").isNotNull(), F.coalesce("between", F.lit(0)) + F.col("w"))).drop("between", "i", "j", "w")
+    return out.withColumn("depth", F.when(F.col("prev").isNotNull(), F.coalesce("between", F.lit(0)) + F.col("w"))).drop("between", "w")
 
 
 def hits(deep: DataFrame, capacity: int) -> DataFrame:
