@@ -80,6 +80,8 @@ def _dominated(points: DataFrame, asks: DataFrame, places: int, block: int) -> D
     apart = of("p") > of("q")
     starts = point.filter(apart & (F.col("q") >= 0)).unionByName(ask.filter(of("p") > of("q") + 1)).withColumn("b", of("q"))
     parts = parts.unionByName(starts.groupBy("b").applyInPandas(between, PARTS))
+    if places <= 2 * block:  # no whole block between
+        return parts
     grid = points.groupBy(of("p").alias("p"), of("q").alias("q")).agg(F.sum("w").alias("w"))
     far = asks.select("lo", "hi", of("lo").alias("i"), of("hi").alias("j")).filter("j > i + 1")
     whole = _dominated(grid, far.select(F.col("i").alias("lo"), F.col("j").alias("hi")).distinct(), -(-places // block), STEP)
