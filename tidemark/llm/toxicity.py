@@ -24,12 +24,13 @@ from tidemark.llm.common import map_texts
 from tidemark.llm.decontaminate import words_of
 from tidemark.llm.quality import bounded_sample
 
-#: Labelled rows that the model is fitted on, and features that bear weights, at most.
-SAMPLE_ROWS, WORDS = 20_000, 4096
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE_ROWS = 20_000
 #: Lengths of the beginnings, in bytes.
 STEMS = (4, 5, 6)
-#: Standard errors by which a feature's log-odds must differ from none.
-LEAST_Z = 2.0
+#: Texts of the sample that must hold a feature, and standard errors by which its
+#: log-odds must differ from none. Every feature that passes both bears a weight.
+LEAST_TEXTS, LEAST_Z = 3, 2.0
 #: Grades of toxic texts: 1 mild to 3 severe.
 GRADES = 3
 
@@ -101,11 +102,11 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return z[:n_features], z[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(z[n_features + 1 :]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, words: int = WORDS, grades: int = GRADES) -> OrdinalModel:
-    """Fit on at most ``rows`` labelled keys and ``words`` features.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, grades: int = GRADES) -> OrdinalModel:
+    """Fit on at most ``rows`` labelled keys.
 
-    These are the ones whose document frequencies in toxic and other texts differ
-    most. A label of 0 or 1 becomes a grade: 0, or, among toxic texts, by how much
+    Features are all whose document frequencies in toxic and other texts differ by
+    more than chance (``LEAST_TEXTS``, ``LEAST_Z``); the sample alone bounds them. A label of 0 or 1 becomes a grade: 0, or, among toxic texts, by how much
     of the text is marked (features ten times as frequent in toxic texts), cut at
     equal numbers of texts into 1 to ``grades``. Without both labels nothing has weight.
     """
@@ -117,10 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     if not bad or not good:
         return OrdinalModel({}, np.full(grades, np.inf if not bad else -np.inf))
     in_bad, in_good = F.sum((F.col("y") > 0).cast("double")), F.sum((F.col("y") <= 0).cast("double"))
-    counted = distinct.select("y", F.explode("words").alias("word")).groupBy("word").agg(in_bad.alias("b"), in_good.alias("g")).filter("b + g >= 3")
+    counted = distinct.select("y", F.explode("words").alias("word")).groupBy("word").agg(in_bad.alias("b"), in_good.alias("g")).filter(F.col("b") + F.col("g") >= LEAST_TEXTS)
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
     spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
-    top = counted.select("word", odds.alias("odds"), F.abs(odds / spread).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(words).collect()
+    top = counted.select("word", odds.alias("odds"), F.abs(odds / spread).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").collect()
     index = {bytes(r.word): i for i, r in enumerate(top)}
     marked = np.array([r.odds > np.log(10) and r.z > 2 for r in top], bool)
     pairs = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("count", T.ArrayType(T.IntegerType()))])
