@@ -49,6 +49,21 @@ def test_recall_at_the_bound():
     assert same.mean() >= 0.985
 
 
+def test_more_vectors_keep_recall_with_fewer_chance_meetings():
+    assert E.fitting(0, 0.93) == E.fitting(5000, 0.93) == (E.PROJECTIONS, E.TABLES)
+    rng = np.random.default_rng(6)
+    x, z = rng.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y, none = 0.93 * x + np.sqrt(1 - 0.93**2) * z, np.zeros(3000, np.int64)
+    projections, tables = E.fitting(1_000_000, 0.93)
+    assert projections > E.PROJECTIONS and tables < 4 * E.TABLES
+    keys = [E.buckets(v, none, projections, tables) for v in (x, y, z)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.985
+    assert (keys[0] == keys[2]).mean() < 5 * E.CHANCE / 1_000_000
+
+
 def test_unfit_vectors_link_with_nothing(spark):
     one, nan, inf = [1.0, 2.0], float("nan"), float("inf")
     rows = [(1, one, 1), (2, one, 1), (3, [2.0, 4.0], 1), (4, one, None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [None, 1.0], 1), (10, [], 1), (None, one, 1), (11, [1.0, 2.0, 0.0], 1), (12, [1e30, 2e30], 1), (13, [-1.0, -2.0], 1), (14, one, 2)]

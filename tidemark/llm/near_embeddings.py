@@ -8,6 +8,7 @@ buckets the candidates, whose cosines are then computed exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,26 @@ from tidemark.llm.common import Cuts, components
 #: share a bucket in some table with probability 0.996, nearer ones more likely.
 PROJECTIONS, TABLES, CELL = 10, 48, 1.5
 SEED = 20_240_607
+#: Chance that a pair at the bound is missed, and vectors that one expects to meet by
+#: chance in a bucket: what further projections and tables for larger inputs keep.
+MISS, CHANCE = 0.004, 0.5
+
+
+def same_cell(distance: float, cell: float) -> float:
+    """The probability that a projection puts two vectors so far apart in one cell."""
+    r = cell / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def fitting(vectors: int, least: float, cell: float = CELL) -> tuple[int, int]:
+    """(projections, tables) for that many vectors of one label: as many projections
+    as keep unrelated (orthogonal) vectors apart, and tables that make up for them.
+
+    Tables grow as about the fourth root of the vectors, where the pairs that meet
+    by chance in a fixed number of projections grow with their square."""
+    projections = max(PROJECTIONS, math.ceil(math.log(max(vectors, 1) / CHANCE) / -math.log(same_cell(math.sqrt(2), cell))))
+    together = same_cell(math.sqrt(2 - 2 * least), cell) ** projections
+    return projections, max(TABLES, math.ceil(math.log(MISS) / math.log1p(-together)))
 
 
 def directions(dimension: int, projections: int, tables: int, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +108,7 @@ def _exact(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "va", "vb").mapInArrow(run, schema)
 
 
-def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", projections: int = PROJECTIONS, tables: int = TABLES, cell: float = CELL) -> DataFrame:
+def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", projections: int | None = None, tables: int | None = None, cell: float = CELL) -> DataFrame:
     """One row per row of ``df``: the key, n_links, component_id, kept.
 
     Vectors of one label and length are linked where their cosine, in double
@@ -101,6 +122,7 @@ def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding",
 
     Candidates come from hashing: a pair at the bound is missed with a probability
     that the parameters set, unless a ball holds it; no pair below it is linked.
+    Those not given are fitted to the largest label's vectors (``fitting``).
     """
     cuts = Cuts(df.sparkSession)
     v = F.col("v")
@@ -112,9 +134,14 @@ def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding",
     classes = rows.filter("fit").groupBy("h1", "h2").agg(F.min(F.struct("node", "label", "v")).alias("x"), F.count("*").alias("rows"))
     classes = cuts.cut(classes.select("h1", "h2", "x.*", "rows"))
 
-    hashed = cuts.cut(_hashed(classes, projections, tables, cell))
-    centred = hashed.withColumn("centre", F.min("node").over(Window.partitionBy("bucket"))).filter("node != centre")
-    near = _exact(centred.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), classes, np.cos(np.arccos(least) / 2) + 1e-9)
+    if projections is None or tables is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        fitted = fitting(largest, least, cell)
+        projections, tables = projections or fitted[0], tables or fitted[1]
+    by_bucket = Window.partitionBy("bucket")
+    hashed = _hashed(classes, projections, tables, cell).withColumns({"centre": F.min("node").over(by_bucket), "mates": F.count("*").over(by_bucket)})
+    hashed = cuts.cut(hashed.filter("mates > 1").drop("mates"))  # a vector alone in its bucket meets none there
+    near = _exact(hashed.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), classes, np.cos(np.arccos(least) / 2) + 1e-9)
     balls = cuts.cut(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("ball")))
     hashed = hashed.join(balls, "node", "left").withColumn("ball", F.coalesce("ball", "node"))
     left, right = (hashed.select(F.col("node").alias(c), F.col("ball").alias(f"{c}_ball"), "bucket") for c in ("a", "b"))
