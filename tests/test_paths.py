@@ -55,3 +55,26 @@ def test_whole_search_against_sql(spark):
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     want = con.execute(f"select query_id, vec_id, rank, cosine from ({catalogue.ORACLE['q13_nearest_vectors_whole']})").fetchall()
     assert sorted((r.query_id, r.vec_id, r.rank, r.cosine) for r in catalogue.QUERIES["q13_nearest_vectors_whole"](spark, SF).collect()) == sorted(want)
+
+
+def test_smaller_search_against_sql_on_many_queries(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    want = con.execute(f"select query_id, vec_id, rank, cosine from ({catalogue.ORACLE['q13_nearest_vectors']})").fetchall()
+    got = [(r.query_id, r.vec_id, r.rank, r.cosine) for r in catalogue.QUERIES["q13_nearest_vectors"](spark, SF).collect()]
+    assert len(got) == 500 and sorted(got) == sorted(want)
+
+
+def test_path_encoder_against_eigenvectors(spark, tmp_path):
+    urls = [f"https://{h}.org/{s}/{i % n}" for i in range(60) for h, s, n in (("a", "news", 3), ("b", "shop", 5), ("c.d", "wiki", 7))]
+    pages = spark.createDataFrame([*enumerate(urls), (999, None), (998, "")], "page_id long, url string")
+    model = paths.path_encoder(pages, 64, 3)
+    w = np.array([r.weighed.toArray() for r in model.transform(paths._path_words(pages)).orderBy("page_id").select("weighed").collect()])
+    axes = np.linalg.eigh(np.cov(w.T))[1][:, ::-1][:, :3]
+    z = w @ axes
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    model.save(f"{tmp_path}/m")
+    rows = paths.encoded_paths(paths.PipelineModel.load(f"{tmp_path}/m"), pages).orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows])
+    assert len(rows) == 182 and np.allclose(x @ x.T, z @ z.T, atol=1e-4)  # directions may have either sign
+    assert not np.any(x[-2:])

@@ -73,3 +73,14 @@ def test_finished_windows_are_appended(spark, tmp_path):
     tables.table(spark, SF, "events").write.parquet(f"{tmp_path}/in")
     sessions.to_folder(sessions.demand(sessions.arrivals(spark, f"{tmp_path}/in", "1 hour")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     assert 0 < spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] <= 1000
+
+
+def test_configuration_file(tmp_path):
+    from tidemark.__main__ import configured
+
+    path = tmp_path / "run.toml"
+    path.write_text('action = "baseline"\ninput = "in"\noutput = "out"\nrun_id = 7\n[spark]\n"spark.sql.shuffle.partitions" = 8\n')
+    assert configured(str(path)) == (["baseline", "in", "out", "7"], {"spark.sql.shuffle.partitions": "8"})
+    path.write_text('actoin = "baseline"')
+    with pytest.raises(ValueError):
+        configured(str(path))

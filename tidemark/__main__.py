@@ -1,19 +1,38 @@
-"""Command line: python -m tidemark ACTION INPUT OUTPUT RUN_ID, or smoke INPUT."""
+"""Command line: python -m tidemark ACTION INPUT OUTPUT RUN_ID, or smoke INPUT.
+
+One argument that ends in .toml names a file with these as action, input, output and
+run_id, and Spark settings in a table called spark.
+"""
 
 from __future__ import annotations
 
 import sys
+import tomllib
 
 from pyspark.sql import SparkSession
 
 from tidemark.plans import experiments
 
 
+def configured(path: str) -> tuple[list[str], dict[str, str]]:
+    """(arguments, Spark settings) of a configuration file."""
+    with open(path, "rb") as f:
+        given = tomllib.load(f)
+    settings = {k: str(v) for k, v in given.pop("spark", {}).items()}
+    names = ("action", "input", "output", "run_id")
+    if unknown := set(given) - set(names):
+        raise ValueError(f"{path}: unknown keys {', '.join(sorted(unknown))}")
+    return [str(given[n]) for n in names if n in given], settings
+
+
 def main(args: list[str]) -> int:
+    settings: dict[str, str] = {}
+    if len(args) == 1 and args[0].endswith(".toml"):
+        args, settings = configured(args[0])
     if len(args) not in (2, 4) or (args[0] == "smoke") != (len(args) == 2):
         print(f"{__doc__}\nActions: smoke, {', '.join(experiments.ACTIONS)}")
         return 2
-    spark = SparkSession.builder.appName(f"tidemark {args[0]}").getOrCreate()
+    spark = SparkSession.builder.appName(f"tidemark {args[0]}").config(map=settings).getOrCreate()
     if args[0] == "smoke":
         rows = experiments.smoke(spark, args[1]).collect()
         print(*[f"{r.table}: {'ok' if r.has_rows else 'empty'}" for r in rows], sep="\n")

@@ -137,12 +137,12 @@ def q12(spark, sf):
 
 @query("q13_nearest_vectors", """
     with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
-    s as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 4) as cosine from e a join e b on a.vec_id != b.vec_id where a.vec_id < 20)
+    s as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 4) as cosine from e a join e b on a.vec_id != b.vec_id where a.vec_id % 20 = 0)
     select query_id, vec_id, cosine, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s qualify rank <= 5""")
 def q13(spark, sf):
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return paths.nearest(vectors, asked).withColumn("rank", F.col("rank").cast("long"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return paths.nearest_in_blocks(vectors, asked, decimals=4).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("q13_nearest_vectors_whole", """
@@ -352,3 +352,9 @@ def q41(spark, sf):
     from dm a left join dm b on a.folder = b.folder and b.day < a.day and b.day >= a.day - 3 group by 1, 2, 3""")
 def q42(spark, sf):
     return relational.demand_forecast(trace(spark, sf))
+
+
+@query("q43_path_vectors")
+def q43(spark, sf):
+    pages = table(spark, sf, "pages")
+    return paths.encoded_paths(paths.path_encoder(pages), pages)

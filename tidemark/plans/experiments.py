@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import catalogue
-from tidemark.operators import replay, supervised
+from tidemark.operators import paths, replay, supervised
 from tidemark.sources import runs
 from tidemark.sources.tables import table, trace
 
@@ -17,7 +17,7 @@ from tidemark.sources.tables import table, trace
 ACTIONS: dict[str, tuple[str, ...]] = {
     "baseline": ("q02_lru_hits", "q03_lru_hits_sized", "q04_hit_curve", "q05_hit_rate_by_day", "q05_hit_rate_by_folder"),
     "miss-attribution": ("q06_miss_class", "q07_attribution", "q08_worst_folders", "q09_reuse_gaps"),
-    "actor-build-vector-store": ("q10_path_tokens", "q11_path_rollup", "q12_hashed_vectors"),
+    "actor-build-vector-store": ("q10_path_tokens", "q11_path_rollup", "q12_hashed_vectors", "q43_path_vectors"),
     "actor-prepare-data": ("q14_trailing_count", "q15_since_last", "q16_daily_demand", "q17_last_kinds", "q18_decayed_score", "q19_next_access", "q20_split", "q21_negatives", "q22_training_rows"),
     "actor-train": ("q23_actor_fit",),
     "actor-evaluate": ("q24_candidates", "q25_recall", "q26_ranking_quality"),
@@ -33,21 +33,26 @@ ACTIONS: dict[str, tuple[str, ...]] = {
 
 #: Action -> the model that it fits and saves beside its reports.
 MODELS = {
-    "actor-train": lambda rows: supervised.actor_model(supervised.training_rows(rows, 24, 6), ["n_recent", "reward"]),
-    "rl-train-critic": replay.critic_model,
-    "rl-train-actor": lambda rows: replay.policy_model(replay.weighed(replay.critic_model(rows), rows)),
+    "actor-build-vector-store": lambda spark, sf_dir: paths.path_encoder(table(spark, sf_dir, "pages")),
+    "actor-train": lambda spark, sf_dir: supervised.actor_model(supervised.training_rows(trace(spark, sf_dir), 24, 6), ["n_recent", "reward"]),
+    "rl-train-critic": lambda spark, sf_dir: replay.critic_model(trace(spark, sf_dir)),
+    "rl-train-actor": lambda spark, sf_dir: _policy(trace(spark, sf_dir)),
 }
 
 
+def _policy(rows: DataFrame):
+    return replay.policy_model(replay.weighed(replay.critic_model(rows), rows))
+
+
 def run(spark: SparkSession, action: str, sf_dir: str, out: str, run_id: str) -> list[str]:
-    """Write the reports of an action, and its model if it has one; their paths."""
+    """Write the reports of an action, and its model if it has one; return their paths."""
     if action not in ACTIONS:
         raise ValueError(f"{action}: one of {', '.join(ACTIONS)}")
     with runs.writer(spark, out):
-        paths = [runs.save(catalogue.QUERIES[name](spark, sf_dir), out, name, run_id) for name in ACTIONS[action]]
+        written = [runs.save(catalogue.QUERIES[name](spark, sf_dir), out, name, run_id) for name in ACTIONS[action]]
         if action in MODELS:
-            paths.append(runs.save_model(MODELS[action](trace(spark, sf_dir)), out, action, run_id))
-        return paths
+            written.append(runs.save_model(MODELS[action](spark, sf_dir), out, action, run_id))
+        return written
 
 
 def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
