@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import common
+from tidemark.llm import common, language, quality, queries, sentencepiece_codec, toxicity
 
 
 def test_components_of_chains_stars_and_nothing(spark):
@@ -44,6 +44,20 @@ def test_map_texts_keeps_rows_and_columns(spark):
     assert common.map_texts(df, "text", added, made, keep_text=False).columns == ["id", "m", "n"]
 
 
+def test_names_that_differ_in_case_only_are_replaced(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "plain words here", "a", "b", "c", "d"), (2, None, None, None, None, None)], "doc_id long, text string, SCORE string, IDS string, Grade string, Lang_Pred string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"), F.lit(1).alias("quality"))
+    made = {
+        "op1": (sentencepiece_codec.encode_frame(docs, queries.PIECE_MODEL), {"ids"}),
+        "op2": (toxicity.score(docs, toxicity.fit(docs, labels)), {"score", "grade"}),
+        "op4": (language.predict(docs, language.fit(docs.select("doc_id", "text", F.lit("en").alias("lang")))), {"score", "lang_pred"}),
+        "op5": (quality.score(docs, quality.fit(docs, labels)), {"score"}),
+    }
+    for name, (out, names) in made.items():
+        out.write.parquet(f"{tmp_path}/{name}")
+        assert names <= set(out.columns) and len({c.lower() for c in out.columns}) == len(out.columns)
+
+
 def test_cuts_are_shared_and_dropped(spark):
     cuts = common.Cuts(spark)
     one, two = cuts.cut(spark.range(3)), cuts.cut(spark.range(4))

@@ -110,11 +110,11 @@ def map_texts(df: DataFrame, text: str, added: T.StructType, setup: Callable[[],
 
     ``setup`` runs once for each task and returns ``fn(texts) -> [values of each
     added column]`` for about ``limit`` bytes of texts at a time. A column of ``df``
-    named like an added one is replaced; all others pass unchanged. Rows neither move
-    nor merge.
+    named like an added one, in whatever case, is replaced; all others pass unchanged.
+    Rows neither move nor merge.
     """
-    names = {f.name for f in added}
-    kept = [f for f in df.schema if f.name not in names and (keep_text or f.name != text)]
+    names = {f.name.lower() for f in added}
+    kept = [f for f in df.schema if f.name.lower() not in names and (keep_text or f.name != text)]
     wanted = [f.name for f in kept] + ([] if any(f.name == text for f in kept) else [text])
     kinds = [to_arrow_type(f.dataType) for f in added]
     out_names = [f.name for f in kept] + [f.name for f in added]
