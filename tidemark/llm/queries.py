@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, line_dedup, near_embeddings, ngram_join, quality, sentencepiece_codec, toxicity, url_filters
+from tidemark.llm import centroids, chat, decontaminate, language, line_dedup, mixing, near_embeddings, ngram_join, periodic_runs, quality, sentencepiece_codec, toxicity, url_filters
 from tidemark.llm.common import held_out
 
 
@@ -118,6 +120,45 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, percent=75)
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which those whose h = crc32(decimal doc_id) is divisible by 10 repeat a
+    period p from word a to their end: word i becomes word a + (i - a) % p."""
+    h, words = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    rows = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumns({"g": F.floor(h / 10), "n": F.size("words").cast("long")})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int")))
+    return rows.withColumn("text", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text"))).drop("words", "g", "n", "a", "p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs.find_runs(docs, keep_text=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken()
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, final = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final.tolist()]
+    digest = F.element_at(F.array(*map(F.lit, digests)), F.col("cluster") + 1) if digests else F.lit("")
+    return near.withColumn("centroid_sha256", digest)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -130,6 +171,9 @@ QUERIES = {
     "op8_line_dedup_whole": op8_line_dedup_whole,
     "op9_near_embeddings": op9_near_embeddings,
     "op10_ngram_join": op10_ngram_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_mix": op12_source_mix,
+    "op13_centroids": op13_centroids,
 }
 
 _OP7_FITS = " ".join(
@@ -139,6 +183,27 @@ _OP7_LISTED = " or ".join(f"contains(host, '{t}')" for t in URL_TERMS)
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one by one: nearest centroids (ties: the smaller number), then floors of the means."""
+    apart = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = f"""
+        with kept as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+                      where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        c0 as (select row_number() over (order by sha256('1:' || vec_id), v) - 1 as cluster, v as c from kept qualify cluster < {k})"""
+    for r in range(rounds + 1):
+        out += f""",
+        a{r} as (select vec_id, v, cluster, {apart} as distance from kept, c{r} qualify row_number() over (partition by vec_id order by distance, cluster) = 1)"""
+        if r < rounds:
+            out += f""",
+        m{r} as (select cluster, list(cast(floor(s / n) as bigint) order by i) as c
+                 from (select cluster, i, sum(x) as s, count(*) as n from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as i from a{r}) group by all) group by cluster),
+        c{r + 1} as (select c{r}.cluster, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (cluster))"""
+    return out + f"""
+        select vec_id, cast(cluster as int) as cluster, cast(distance as bigint) as distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+               cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} using (cluster)"""
+
+
 ORACLE = {
     "op3_decontaminate": f"""
         with d as (select doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
@@ -223,4 +288,5 @@ ORACLE = {
         r as (with recursive t(a, b) as (select doc_id, doc_id from d union select t.a, p.b from t join p on p.a = t.b) select a, min(b) as component_id from t group by a)
         select d.doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (doc_id) join r on d.doc_id = r.a
     """,
+    "op13_centroids": _op13_sql(),
 }
