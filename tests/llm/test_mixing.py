@@ -142,6 +142,15 @@ def test_same_again_however_partitioned(spark):
     assert one != sorted(map(str, M.mix(df, block_words=16, seed=1).taken().collect()))
 
 
+def test_shards_are_dealt_by_many_tasks(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    mix = M.mix(df, block_words=4, shard_draws=20)
+    assert mix.shards > 40 and len(mix.drawn.inputFiles()) > 4
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    again = M.mix(df, block_words=4, shard_draws=20)
+    assert sorted(map(str, again.drawn.collect())) == sorted(map(str, mix.drawn.collect()))
+
+
 def test_tables_without_words(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
     assert M.mix(df.limit(0)).taken().count() == 0

@@ -33,6 +33,8 @@ WEIGHTS = (3, 1, 2)
 BLOCK_WORDS, SHARD_DRAWS, MOST_DRAWS = 256, 4096, 500_000_000
 #: Documents of a source that are put in order together.
 TOGETHER = 1024
+#: Sources whose quotas are broadcast (32 MB); those of more are shuffled to the tasks that deal.
+BROADCAST_SOURCES = 1 << 20
 #: Bits of a document's place in its source.
 KEY_BITS = 48
 #: Rounds of the keyed permutation.
@@ -222,10 +224,11 @@ class Mix:
                         yield pd.DataFrame({"number": table[some, 0], "source_size": table[some, 1], "quota": table[some, 2], "shard": shard, "first": first[some], "many": many[some]})
 
         counted = self.sources.select("number", "source_size", "quota").filter("quota > 0").mapInPandas(quotas, "number long, source_size long, quota long, draws long")
-        # the quotas of all sources in one row, a few words for each source, go to every task that deals
+        # the quotas of all sources in one row, 32 bytes a source, go to every task that deals
         gathered = counted.agg(F.sort_array(F.collect_list(F.struct("number", "source_size", "quota", "draws"))).alias("all")).filter(F.size("all") > 0)
         tasks = self.docs.sparkSession.range(0, shards, rows, max(1, min(2000, -(-shards // rows)))).withColumnRenamed("id", "low")
-        return tasks.crossJoin(gathered).mapInPandas(walks, "number long, source_size long, quota long, shard long, first long, many long")
+        met = tasks.crossJoin(F.broadcast(gathered)) if self.sources.count() <= BROADCAST_SOURCES else tasks.crossJoin(gathered).repartition("low")
+        return met.mapInPandas(walks, "number long, source_size long, quota long, shard long, first long, many long")
 
     def _draws(self, dealt: DataFrame) -> DataFrame:
         """(number, block, words, shard, slot): every draw, and its place in its shard."""
