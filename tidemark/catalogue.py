@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, history, lru, paths, relational, replay, supervised
+from tidemark.operators import attribution, decisions, history, lru, paths, relational, replay, supervised
+from tidemark.sources import runs
+from tidemark.sources.scratch import shared
 from tidemark.sources.tables import table, trace
 
 #: Units of the unit-size and of the sized cache, capacities of the curve.
@@ -358,3 +361,107 @@ def q42(spark, sf):
 def q43(spark, sf):
     pages = table(spark, sf, "pages")
     return paths.encoded_paths(paths.path_encoder(pages), pages)
+
+
+# Decisions
+
+_DECISIONS = _TRACE.split("p as (")[0].rstrip().rstrip(",") + """,
+    d0 as (select event_id, folder, cast(date_trunc('day', ts) as date) as day, ts, size, reward as seen, cast((least(size, 7) - 1) * 4 + (reward >= 10)::int + (reward >= 50)::int + (reward >= 100)::int as int) as state,
+           (kind = 'purchase')::int as action from t),
+    dec as (select *, cast(row_number() over o - 1 as int) as t, coalesce(lead(seen) over o, 0) as reward, lead(state) over o as next_state from d0 window o as (partition by folder, day order by ts, event_id)),
+    beh as (select state, (sum(action) + 1) / (count(*) + 2.0::double) as behaviour from dec group by 1),
+    tgt as (select *, 1 / (1 + exp(-(0.3::double * size - 0.02::double * seen))) as target from dec join beh using (state))"""
+_BACKUPS = """
+    pol as (select state, avg(target) as p from tgt group by 1),
+    r1 as (select state, action, avg(reward) as q from dec group by 1, 2),
+    v1 as (select state as next_state, sum(case when action = 1 then p else 1 - p end * q) as v from r1 join pol using (state) group by 1),
+    r2 as (select state, action, avg(reward + 0.9::double * coalesce(v, 0)) as q from dec left join v1 using (next_state) group by 1, 2)"""
+
+
+def logistic(rows: DataFrame) -> DataFrame:
+    """Append target, the probability of action 1 of a policy that is given."""
+    return rows.withColumn("target", 1 / (1 + F.exp(-(0.3 * F.col("size") - 0.02 * F.col("seen")))))
+
+
+def rounded(told: DataFrame) -> DataFrame:
+    return told.withColumns({c: F.round(c, 4) for c in ("value", "std_error", "effective")})
+
+
+@query("q44_policy_value", f"""
+    with {_DECISIONS}, {_BACKUPS},
+    bs as (select state, coalesce(max(q) filter (action = 0), 0) as q0, coalesce(max(q) filter (action = 1), 0) as q1 from r2 group by 1),
+    x as (select folder, day, t, reward, case when action = 1 then target / behaviour else (1 - target) / (1 - behaviour) end as ratio,
+                 case when action = 1 then q1 else q0 end as q, target * q1 + (1 - target) * q0 as v from tgt join bs using (state)),
+    w as (select *, product(ratio) over o as weight, coalesce(lead(v) over o, 0) as v_next, power(0.9::double, t) as fade from x window o as (partition by folder, day order by t)),
+    e as (select folder, day, sum(fade * reward) as logged, sum(fade * weight * reward) as per_decision,
+                 max(v) filter (t = 0) + sum(fade * weight * (reward + 0.9::double * v_next - q)) as doubly_robust, arg_max(weight, t) as last, count(*) as length from w group by 1, 2),
+    n as (select count(*) as n, sum(last) * sum(last) / sum(last * last) as effective from e),
+    st as (select t, sum(weight * reward) as gain, sum(weight) as weight from w group by 1),
+    sn as (select sum(power(0.9::double, st.t) * st.gain / (st.weight + (select coalesce(sum(last), 0) from e where length <= st.t))) as value from st)
+    select estimator, round(value, 4) as value, round(std_error, 4) as std_error, n as n_episodes, round(case when estimator = 'logged' then n else effective end, 4) as effective
+    from (select 'logged' as estimator, avg(logged) as value, stddev_samp(logged) / sqrt(count(*)) as std_error from e
+          union all select 'per_decision', avg(per_decision), stddev_samp(per_decision) / sqrt(count(*)) from e
+          union all select 'doubly_robust', avg(doubly_robust), stddev_samp(doubly_robust) / sqrt(count(*)) from e
+          union all select 'self_normalised', value, null from sn) cross join n""")
+def q44(spark, sf):
+    """Three off-policy estimates of a policy that is given, and what was logged."""
+    rows = logistic(decisions.frequencies(decisions.decisions(trace(spark, sf))))
+    policy, made = rows.groupBy("state").agg(F.avg("target").alias("p")), decisions.moves(rows)
+    q = decisions.backup(made, decisions.backup(made, None, 0.9, policy), 0.9, policy)
+    return rounded(decisions.evaluated(rows, 0.9, q))
+
+
+@query("q45_trained_policy_value")
+def q45(spark, sf):
+    """The policy of rl-train-actor, saved and loaded again, by logged decisions."""
+    rows, folder = trace(spark, sf), f"{shared(spark)}/q45-{uuid.uuid4().hex}"
+    runs.save_model(replay.policy_model(replay.weighed(replay.critic_model(rows), rows)), folder, "rl-train-actor", "q45")
+    return rounded(decisions.trained_value(decisions.decisions(rows), runs.load_model(folder, "rl-train-actor", "q45")))
+
+
+@query("q46_td_matrix", f"""
+    with {_DECISIONS},
+    z as (select b.folder, b.day, b.t, b.state, b.next_state, b.reward, a.state as i, sum(power(0.9::double * 0.517::double, b.t - a.t)) as z
+          from dec a join dec b on a.folder = b.folder and a.day = b.day and a.t <= b.t group by all),
+    c as (select i, state as j, z as x from z union all select i, next_state, -0.9::double * z from z where next_state is not null union all select i, -1, z * reward from z)
+    select i, j, round(sum(x), 4) as value from c group by 1, 2 having sum(x) != 0""")
+def q46(spark, sf):
+    """The system of the critic by temporal differences, with eligibility traces."""
+    return decisions.differences(decisions.decisions(trace(spark, sf)), 0.9, 0.517).withColumn("value", F.round("value", 4))
+
+
+@query("q47_td_critic")
+def q47(spark, sf):
+    """Each state's value by the solution of that system."""
+    return decisions.td_critic(decisions.decisions(trace(spark, sf)), 0.9, 0.517).withColumn("value", F.round("value", 4))
+
+
+@query("q48_fitted_q", f"""
+    with recursive {_DECISIONS},
+    mv as (select state, action, next_state, count(*) as n, sum(reward) as r from dec group by all),
+    s as (select distinct state, action from mv),
+    it as (select 0 as k, state, action, 0.0::double as q from s
+           union all
+           select * from (
+               with v as (select state as next_state, max(q) as v, max(k) as k from it group by 1)
+               select (select max(k) from v) + 1, mv.state, mv.action, sum(r + 0.9::double * n * coalesce(v, 0)) / sum(n) from mv left join v using (next_state) where (select max(k) from v) < 150 group by mv.state, mv.action))
+    select state, action, round(q, 3) as q, action = arg_max(action, q) over (partition by state) as best from it where k = 150""")
+def q48(spark, sf):
+    """Values of actions at the fixed point of the backups, and which is best."""
+    q, _ = decisions.fitted_q(decisions.decisions(trace(spark, sf)))
+    best = decisions.greedy(q, explore=0.0).select("state", F.col("p").cast("int").alias("__best"))
+    return q.join(best, "state").select("state", "action", F.round("q", 3).alias("q"), (F.col("action") == F.col("__best")).alias("best"))
+
+
+@query("q49_greedy_policy_value")
+def q49(spark, sf):
+    """What the best actions by q48 would have brought, one decision in ten left to chance."""
+    rows = decisions.frequencies(decisions.decisions(trace(spark, sf)))
+    return rounded(decisions.greedy_value(rows))
+
+
+@query("q50_actor_recall")
+def q50(spark, sf):
+    """How good the actor's own ranks of its candidates are, day by day."""
+    rows = trace(spark, sf)
+    return supervised.actor_quality(supervised.actor_model(supervised.training_rows(rows, 24, 6), ["n_recent", "reward"]), rows)

@@ -69,10 +69,15 @@ def policy_model(rows: DataFrame) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=["size", "reward"], outputCol="__x"), fitted]).fit(rows)
 
 
+def acted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Append policy, a model's probability of the action."""
+    return model.transform(rows).withColumn("policy", vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__y")
+
+
 def fit_policy(trace: DataFrame, action: str = "purchase", most: float = 20.0) -> DataFrame:
     """Append policy, the probability of the action."""
     rows = weighed(critic_model(trace), trace, action, most)
-    return policy_model(rows).transform(rows).withColumn("policy", vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__y")
+    return acted(policy_model(rows), rows)
 
 
 def replayed(trace: DataFrame, capacity: int, admit: float, shard: str = "kind") -> DataFrame:

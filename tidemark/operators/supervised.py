@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import bucket
 from tidemark.operators import history
+from tidemark.sources.scratch import Scratch
 
 
 def split(trace: DataFrame, train_tenths: int = 8) -> DataFrame:
@@ -98,6 +99,26 @@ def ranking_quality(trace: DataFrame, list_: DataFrame) -> DataFrame:
     return found.groupBy("day").agg(F.round(1 / F.min("rank"), 4).alias("reciprocal_rank"), F.round(F.sum(1 / F.log2(F.col("rank") + 1)), 4).alias("dcg"))
 
 
+def actor_ranks(model: PipelineModel, trace: DataFrame, past_hours: int = 24, k: int = 20) -> DataFrame:
+    """For each day the actor's k best of its candidates: day, folder, rank. The actor
+    sees each candidate as it was at its last access of the day before."""
+    day = F.date_add(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("date"), 1)
+    rows = history.trailing_count(trace, past_hours)
+    last = rows.groupBy(day.alias("day"), "folder").agg(F.max_by(F.struct("n_recent", "reward"), F.struct("ts", "event_id")).alias("x"))
+    seen = candidates(trace, k).join(last, ["day", "folder"]).select("day", "folder", "x.n_recent", "x.reward")
+    scored = model.transform(seen).withColumn("probability", vector_to_array("__p")[1])
+    return _ranked(scored, F.desc("probability"), "folder").filter(F.col("rank") <= k).select("day", "folder", "rank")
+
+
+def actor_quality(model: PipelineModel, trace: DataFrame, k: int = 20) -> DataFrame:
+    """Recall, reciprocal rank and DCG of the actor's own ranks by day; a day on which it
+    found nothing has zeros."""
+    cut = Scratch(trace.sparkSession).cut(actor_ranks(model, trace, k=k))
+    quality = ranking_quality(trace, cut)
+    out = recall(trace, cut).join(quality, "day", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("reciprocal_rank", "dcg")})
+
+
 def ablation(trace: DataFrame, k: int = 20) -> DataFrame:
     """Folders found by each candidate list alone, and what it lacks against both."""
     demand = history.daily_demand(trace).select("day", "folder")

@@ -6,10 +6,11 @@ run has its own directory, and one writer at a time holds the output.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import catalogue
-from tidemark.operators import paths, replay, supervised
+from tidemark.operators import decisions, paths, replay, supervised
 from tidemark.sources import runs
 from tidemark.sources.tables import table, trace
 
@@ -17,42 +18,60 @@ from tidemark.sources.tables import table, trace
 ACTIONS: dict[str, tuple[str, ...]] = {
     "baseline": ("q02_lru_hits", "q03_lru_hits_sized", "q04_hit_curve", "q05_hit_rate_by_day", "q05_hit_rate_by_folder"),
     "miss-attribution": ("q06_miss_class", "q07_attribution", "q08_worst_folders", "q09_reuse_gaps"),
-    "actor-build-vector-store": ("q10_path_tokens", "q11_path_rollup", "q12_hashed_vectors", "q43_path_vectors"),
+    "actor-build-vector-store": ("q10_path_tokens", "q11_path_rollup", "q12_hashed_vectors"),
     "actor-prepare-data": ("q14_trailing_count", "q15_since_last", "q16_daily_demand", "q17_last_kinds", "q18_decayed_score", "q19_next_access", "q20_split", "q21_negatives", "q22_training_rows"),
-    "actor-train": ("q23_actor_fit",),
+    "actor-train": (),
     "actor-evaluate": ("q24_candidates", "q25_recall", "q26_ranking_quality"),
     "rl-build-replay": ("q27_transitions", "q28_discounted_return", "q29_three_step_return"),
-    "rl-train-critic": ("q30_critic_fit",),
-    "rl-train-actor": ("q31_policy_fit",),
-    "rl-evaluate": ("q32_policy_replay",),
+    "rl-train-critic": ("q46_td_matrix", "q47_td_critic"),
+    "rl-train-actor": ("q48_fitted_q",),
+    "rl-evaluate": ("q44_policy_value", "q49_greedy_policy_value"),
     "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders"),
     "demand-forecast": ("q42_demand_forecast",),
     "ablation": ("q33_ablation", "q34_paired_capacities"),
 }
 
 
-#: Action -> the model that it fits and saves beside its reports.
-MODELS = {
-    "actor-build-vector-store": lambda spark, sf_dir: paths.path_encoder(table(spark, sf_dir, "pages")),
-    "actor-train": lambda spark, sf_dir: supervised.actor_model(supervised.training_rows(trace(spark, sf_dir), 24, 6), ["n_recent", "reward"]),
-    "rl-train-critic": lambda spark, sf_dir: replay.critic_model(trace(spark, sf_dir)),
-    "rl-train-actor": lambda spark, sf_dir: _policy(trace(spark, sf_dir)),
-}
+def _critic(spark: SparkSession, sf_dir: str, out: str, run_id: str) -> PipelineModel:
+    """The critic that this run saved, else one fitted now."""
+    return runs.load_model(out, "rl-train-critic", run_id) if runs.has_model(spark, out, "rl-train-critic", run_id) else replay.critic_model(trace(spark, sf_dir))
 
 
-def _policy(rows: DataFrame):
-    return replay.policy_model(replay.weighed(replay.critic_model(rows), rows))
+#: Action -> how its model is fitted, from (spark, sf_dir, out, run_id).
+FITTED = {
+    "actor-build-vector-store": lambda spark, sf_dir, out, run_id: paths.path_encoder(table(spark, sf_dir, "pages")),
+    "actor-train": lambda spark, sf_dir, out, run_id: supervised.actor_model(supervised.training_rows(trace(spark, sf_dir), 24, 6), ["n_recent", "reward"]),
+    "rl-train-critic": lambda spark, sf_dir, out, run_id: replay.critic_model(trace(spark, sf_dir)),
+    "rl-train-actor": lambda spark, sf_dir, out, run_id: replay.policy_model(replay.weighed(_critic(spark, sf_dir, out, run_id), trace(spark, sf_dir))),
+}
+#: Action -> (the action that saved the model, report, what the loaded model says).
+SCORED = {
+    "actor-build-vector-store": ("actor-build-vector-store", "q43_path_vectors", lambda spark, sf_dir, critic, model: paths.encoded_paths(model, table(spark, sf_dir, "pages"))),
+    "actor-train": ("actor-train", "q23_actor_fit", lambda spark, sf_dir, critic, model: supervised.act(model, supervised.training_rows(trace(spark, sf_dir), 24, 6)).select("event_id", "label", "probability")),
+    "actor-evaluate": ("actor-train", "q50_actor_recall", lambda spark, sf_dir, critic, model: supervised.actor_quality(model, trace(spark, sf_dir))),
+    "rl-train-critic": ("rl-train-critic", "q30_critic_fit", lambda spark, sf_dir, critic, model: replay.criticised(model, trace(spark, sf_dir)).select("event_id", "future", "critic")),
+    "rl-train-actor": ("rl-train-actor", "q31_policy_fit", lambda spark, sf_dir, critic, model: replay.acted(model, replay.weighed(critic(), trace(spark, sf_dir))).select("event_id", "weight", "policy")),
+    "rl-evaluate": ("rl-train-actor", "q45_trained_policy_value", lambda spark, sf_dir, critic, model: decisions.trained_value(decisions.decisions(trace(spark, sf_dir)), model)),
+}
 
 
 def run(spark: SparkSession, action: str, sf_dir: str, out: str, run_id: str) -> list[str]:
-    """Write the reports of an action, and its model if it has one; return their paths."""
+    """Write the reports of an action; return their paths.
+
+    An action that trains fits its model once and saves it; what the model says is told
+    from the saved one. The evaluating actions load what the same run trained before and
+    say so if it didn't; training the actor builds on the run's critic if there is one."""
     if action not in ACTIONS:
         raise ValueError(f"{action}: one of {', '.join(ACTIONS)}")
     with runs.writer(spark, out):
+        if action in SCORED and action not in FITTED and not runs.has_model(spark, out, SCORED[action][0], run_id):
+            raise FileNotFoundError(f"run {run_id} has no model of {SCORED[action][0]} under {out}; run that first")
         written = [runs.save(catalogue.QUERIES[name](spark, sf_dir), out, name, run_id) for name in ACTIONS[action]]
-        if action in MODELS:
-            written.append(runs.save_model(MODELS[action](spark, sf_dir), out, action, run_id))
-        return written
+        saved = [runs.save_model(FITTED[action](spark, sf_dir, out, run_id), out, action, run_id)] if action in FITTED else []
+        if action in SCORED:
+            trained, report, says = SCORED[action]
+            written.append(runs.save(says(spark, sf_dir, lambda: _critic(spark, sf_dir, out, run_id), runs.load_model(out, trained, run_id)), out, report, run_id))
+        return written + saved
 
 
 def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,11 @@ def load_model(root: str, name: str, run_id: str) -> PipelineModel:
     return PipelineModel.load(f"{root}/models/{name}/run_id={run_id}")
 
 
+def has_model(spark: SparkSession, root: str, name: str, run_id: str) -> bool:
+    path, fs = _file_system(spark, f"{root}/models/{name}/run_id={run_id}/metadata")
+    return fs.exists(path)
+
+
 def load(spark: SparkSession, root: str, report: str) -> DataFrame:
     """All runs of a report, with their run_id."""
     return spark.read.option("basePath", f"{root}/{report}").parquet(f"{root}/{report}")
