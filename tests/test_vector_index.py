@@ -1,0 +1,84 @@
+import numpy as np
+import pytest
+
+from tidemark.operators import paths
+from tidemark.operators import vector_index as V
+from tidemark.plans import experiments
+from tidemark.sources.tables import table
+
+SF = "/root/testdata/sf0.1"
+SCHEMA = "vec_id long, embedding array<double>"
+
+
+def pairs(df):
+    return {(r.query_id, r.vec_id): r.cosine for r in df.collect()}
+
+
+def test_recall_of_the_queries_of_q13(spark):
+    for vectors in (table(spark, SF, "embeddings").select("vec_id", "embedding"), paths.encoded_paths(paths.path_encoder(table(spark, SF, "pages")), table(spark, SF, "pages"))):
+        queries = vectors.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
+        found, true = pairs(V.nearest(vectors, queries)), pairs(paths.nearest_in_blocks(vectors, queries))
+        # a neighbour as near as the one it stands for is as good (urls often have equal vectors)
+        least = {}
+        for (q, _), c in true.items():
+            least[q] = min(least.get(q, 1.0), c)
+        good = sum(c >= least[q] - 1e-9 for (q, _), c in found.items())
+        assert good >= 0.9 * len(true) and len(found) <= len(true)
+        assert all(abs(found[p] - true[p]) < 1e-9 for p in found.keys() & true.keys())
+
+
+def clustered(spark, n, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 50, 24))
+    x = centres[rng.integers(0, len(centres), n)] + 0.25 * rng.normal(size=(n, 24))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+
+
+def test_comparisons_grow_less_than_the_square(spark):
+    told = []
+    for n in (2000, 8000):
+        vectors = clustered(spark, n).cache()
+        queries = vectors.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
+        model = V.fit(vectors)
+        store = V.encoded(model, vectors)
+        told.append(V.compared(model, store, queries))
+        found, true = pairs(V.search(model, store, queries)), pairs(paths.nearest_in_blocks(vectors, queries))
+        assert len(found.keys() & true.keys()) >= 0.9 * len(true)
+        vectors.unpersist()
+    assert told[1] < 9 * told[0] and told[1] < 0.1 * 8000 * 400  # of four times the vectors and queries, 16 by the square
+
+
+def test_store_is_written_and_read_by_run(spark, tmp_path):
+    vectors = clustered(spark, 500)
+    queries = vectors.filter("vec_id < 20").selectExpr("vec_id as query_id", "embedding as q")
+    model = V.fit(vectors)
+    V.save(model, vectors, f"file://{tmp_path}", "a")
+    again, store = V.load(spark, f"file://{tmp_path}", "a")
+    assert store.count() == 500 and again.probes == model.probes and np.array_equal(again.codes, model.codes)
+    assert pairs(V.search(again, store, queries)) == pairs(V.search(model, V.encoded(model, vectors), queries))
+    with pytest.raises(Exception, match="(?i)exist"):
+        V.save(model, vectors, f"file://{tmp_path}", "a")
+
+
+def test_large_cells_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(V, "TOGETHER", 40)
+    vectors = clustered(spark, 600)
+    queries = vectors.filter("vec_id < 50").selectExpr("vec_id as query_id", "embedding as q")
+    model = V.fit(vectors, cells=3, wanted=1.0)
+    store = V.encoded(model, vectors)
+    assert max(model.pieces) > 3 and max(r["count"] for r in store.groupBy("cell", "piece").count().collect()) < 100
+    assert len(pairs(V.search(model, store, queries)).keys() & pairs(paths.nearest_in_blocks(vectors, queries)).keys()) >= 0.97 * 250
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [1.0, None, 2.0]), (6, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (7, [1.0, 2.0]), (8, [1e300, 1e300, 0.0]), (2, [0.9, 0.1, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = V.nearest(df, df.selectExpr("vec_id as query_id", "embedding as q"))
+    assert {r.vec_id for r in found.collect()} == {1, 2, 8} == {r.query_id for r in found.collect()}
+    with pytest.raises(ValueError):
+        V.fit(df.limit(0))
+
+
+def test_action_writes_the_index(spark, tmp_path):
+    written = experiments.run(spark, "actor-build-vector-store", "/root/testdata/sf0.001", f"file://{tmp_path}/out", "r")
+    assert any("vector_index" in p for p in written) and V.load(spark, f"file://{tmp_path}/out", "r")[1].count() == 50

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, decisions, history, lru, paths, relational, replay, supervised
+from tidemark.operators import attribution, decisions, history, lru, paths, relational, replay, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
 from tidemark.sources.tables import table, trace
@@ -465,3 +465,11 @@ def q50(spark, sf):
     """How good the actor's own ranks of its candidates are, day by day."""
     rows = trace(spark, sf)
     return supervised.actor_quality(supervised.actor_model(supervised.training_rows(rows, 24, 6), ["n_recent", "reward"]), rows)
+
+
+@query("q51_indexed_nearest")
+def q51(spark, sf):
+    """q13's questions by the index: cells, table sums, exact cosines of the best."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    queries = vectors.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    return vector_index.nearest(vectors, queries)

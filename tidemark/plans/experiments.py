@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import catalogue
-from tidemark.operators import decisions, paths, replay, supervised
+from tidemark.operators import decisions, paths, replay, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.tables import table, trace
 
@@ -71,6 +71,9 @@ def run(spark: SparkSession, action: str, sf_dir: str, out: str, run_id: str) ->
         if action in SCORED:
             trained, report, says = SCORED[action]
             written.append(runs.save(says(spark, sf_dir, lambda: _critic(spark, sf_dir, out, run_id), runs.load_model(out, trained, run_id)), out, report, run_id))
+        if action == "actor-build-vector-store":
+            vectors = paths.encoded_paths(runs.load_model(out, action, run_id), table(spark, sf_dir, "pages"))
+            saved += vector_index.save(vector_index.fit(vectors), vectors, out, run_id)
         return written + saved
 
 
