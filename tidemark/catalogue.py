@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, decisions, history, lru, paths, relational, replay, supervised, vector_index
+from tidemark.operators import attribution, decisions, demand, history, lru, paths, relational, replay, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
 from tidemark.sources.tables import table, trace
@@ -473,3 +473,31 @@ def q51(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     queries = vectors.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
     return vector_index.nearest(vectors, queries)
+
+
+_FOLDED = _TRACE + """,
+    dn as (select cast(date_trunc('day', ts) as date) as day, folder, count(*) as n from t group by 1, 2),
+    fd as (select folder, min(day) as first from dn group by 1),
+    fl as (select fd.folder, cast(first + cast(i as int) as date) as day, i, coalesce(n, 0) as n
+           from (select folder, first, unnest(range(0, (select max(day) from dn) - first + 1)) as i from fd) fd left join dn on fd.folder = dn.folder and dn.day = first + cast(i as int)),
+    fc as (select folder, i, day, n, cast(n as double) as z, 1.0::double as x, 1.0::double as p, 1.0::double as gone, null::double as croston, null::double as sba, null::double as tsb from fl where i = 0
+           union all
+           select fl.folder, fl.i, fl.day, fl.n, case when fl.n > 0 then z + 0.2::double * (fl.n - z) else z end, case when fl.n > 0 then x + 0.2::double * (gone - x) else x end,
+                  p + 0.1::double * (case when fl.n > 0 then 1 else 0 end - p), case when fl.n > 0 then 1 else gone + 1 end, z / x, 0.9::double * (z / x), p * z
+           from fc join fl on fc.folder = fl.folder and fl.i = fc.i + 1)"""
+
+
+@query("q52_intermittent_forecast", f"""
+    with recursive {_FOLDED} select folder, day, n, round(croston, 4) as croston, round(sba, 4) as sba, round(tsb, 4) as tsb from fc where i > 0""")
+def q52(spark, sf):
+    return demand.forecasts(trace(spark, sf)).withColumns({m: F.round(m, 4) for m in demand.METHODS})
+
+
+@query("q53_forecast_error", f"""
+    with recursive {_FOLDED},
+    w as (select *, (sum(n) over (partition by folder order by i rows between 3 preceding and 1 preceding)) / 3.0::double as mean3, lag(n) over (partition by folder order by i) as naive from fc where i > 0),
+    e as (select unnest(['croston', 'sba', 'tsb', 'mean3', 'naive']) as method, unnest([croston, sba, tsb, mean3, naive]) - n as e from w where i > 3)
+    select method, count(*) as n, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse, round(avg(e), 4) as bias from e group by 1""")
+def q53(spark, sf):
+    """Each method's error with a rolling origin, beside that of q42's mean."""
+    return demand.errors(demand.forecasts(trace(spark, sf))).withColumns({c: F.round(c, 4) for c in ("mae", "rmse", "bias")})

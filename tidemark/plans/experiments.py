@@ -27,7 +27,7 @@ ACTIONS: dict[str, tuple[str, ...]] = {
     "rl-train-actor": ("q48_fitted_q",),
     "rl-evaluate": ("q44_policy_value", "q49_greedy_policy_value"),
     "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders"),
-    "demand-forecast": ("q42_demand_forecast",),
+    "demand-forecast": ("q42_demand_forecast", "q52_intermittent_forecast", "q53_forecast_error"),
     "ablation": ("q33_ablation", "q34_paired_capacities"),
 }
 
