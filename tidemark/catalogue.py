@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, decisions, demand, history, lru, paths, relational, replay, supervised, vector_index
+from tidemark.operators import attribution, bootstrap, decisions, demand, history, lru, paths, relational, replay, sketches, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
 from tidemark.sources.tables import table, trace
@@ -501,3 +502,40 @@ def q52(spark, sf):
 def q53(spark, sf):
     """Each method's error with a rolling origin, beside that of q42's mean."""
     return demand.errors(demand.forecasts(trace(spark, sf))).withColumns({c: F.round(c, 4) for c in ("mae", "rmse", "bias")})
+
+
+@query("q54_month_of_sketches")
+def q54(spark, sf):
+    """Distinct folders and quantiles of rewards of 30 days by kind, from the sketches of each day."""
+    path = f"{shared(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.store(sketches.daily(trace(spark, sf)), path)
+    return sketches.over(sketches.stored(spark, path), date(2024, 1, 1), date(2024, 1, 30))
+
+
+@query("q55_sketch_bounds", f"""
+    with {_TRACE} select kind, count(*) as n, count(distinct folder) as n_folders, true as folders_within, true as q50_within, true as q90_within, true as q99_within from t group by 1""")
+def q55(spark, sf):
+    """Whether the bounds that the sketches tell hold for what is exact."""
+    rows = trace(spark, sf)
+    return sketches.held(sketches.over(sketches.daily(rows)), rows)
+
+
+_CDF = bootstrap.thresholds()
+
+
+@query("q56_ablation_intervals", f"""
+    with {_LISTS}, un as (select distinct day, folder from pop union select distinct day, folder from rec),
+    u as (select dm.day, dm.folder, (pop.folder is not null)::bigint as popular, (rec.folder is not null)::bigint as recent, (un.folder is not null)::bigint as both_
+          from dm left join pop on dm.day = pop.day and dm.folder = pop.folder left join rec on dm.day = rec.day and dm.folder = rec.folder left join un on dm.day = un.day and dm.folder = un.folder),
+    l as (select day, folder, unnest(['popular', 'recent', 'union']) as list, unnest([popular, recent, both_]) as hit, unnest([popular - both_, recent - both_, 0]) as d from u),
+    h as (select day, folder, g, sha256(day::varchar || ':' || folder::varchar || ':' || g::varchar) as h from u, (select unnest(range(25)) as g)),
+    w as (select day, folder, g * 8 + j as b, cast('0x' || substr(h, 8 * j + 1, 8) as bigint) as x from (select *, unnest(range(8)) as j from h)),
+    r as (select list, b, sum(d * ({" + ".join(f"(x >= {t})::bigint" for t in _CDF)})) as s from l join w using (day, folder) group by 1, 2),
+    o as (select list, s, row_number() over (partition by list order by s, b) - 1 as i from r)
+    select list, cast(sum(hit) as bigint) as n_found, cast(sum(d) as bigint) as delta,
+           cast((select s from o where o.list = l.list and i = 5) as bigint) as low, cast((select s from o where o.list = l.list and i = 194) as bigint) as high from l group by list""")
+def q56(spark, sf):
+    """q33's deltas with intervals of 95 % from 200 replicates."""
+    rows = trace(spark, sf)
+    lists = {"popular": supervised.popular(rows), "recent": supervised.recent(rows), "union": supervised.candidates(rows)}
+    return bootstrap.ablation_intervals(history.daily_demand(rows), lists, "union")

@@ -26,9 +26,9 @@ ACTIONS: dict[str, tuple[str, ...]] = {
     "rl-train-critic": ("q46_td_matrix", "q47_td_critic"),
     "rl-train-actor": ("q48_fitted_q",),
     "rl-evaluate": ("q44_policy_value", "q49_greedy_policy_value"),
-    "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders"),
+    "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders", "q54_month_of_sketches", "q55_sketch_bounds"),
     "demand-forecast": ("q42_demand_forecast", "q52_intermittent_forecast", "q53_forecast_error"),
-    "ablation": ("q33_ablation", "q34_paired_capacities"),
+    "ablation": ("q33_ablation", "q34_paired_capacities", "q56_ablation_intervals"),
 }
 
 
