@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import attribution, bootstrap, decisions, demand, history, lru, paths, relational, replay, sketches, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
-from tidemark.sources.tables import table, trace
+from tidemark.sources.tables import LOG, table, trace
+from tidemark.streaming import ordered, sessions
 
 #: Units of the unit-size and of the sized cache, capacities of the curve.
 UNITS, SIZE_UNITS, CURVE = 30, 75, [10, 30, 75, 150]
@@ -539,3 +540,45 @@ def q56(spark, sf):
     rows = trace(spark, sf)
     lists = {"popular": supervised.popular(rows), "recent": supervised.recent(rows), "union": supervised.candidates(rows)}
     return bootstrap.ablation_intervals(history.daily_demand(rows), lists, "union")
+
+
+# Streams: the table as it arrives, up to where the watermark has come
+
+_PASSED = "(select (epoch_us(max(ts)) // 1000 - 7200000) * 1000 from events)"
+
+
+def arriving(spark, sf) -> DataFrame:
+    """The events table as a stream; it may be a file or a folder."""
+    return spark.readStream.schema(LOG).parquet(f"{sf}/events.parquet*")
+
+
+def streamed(spark, begin) -> str:
+    """Run a stream to its end with state in RocksDB; the folder it wrote to."""
+    folder, provider = f"{shared(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ordered.PROVIDER)
+    try:
+        begin(f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return f"{folder}/out"
+
+
+@query("q57_stream_in_order", f"""
+    with o as (select user_id as folder, event_id, epoch_us(ts) as us, value, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events)
+    select folder, event_id, us, value, case when gap <= 604800000000 then gap end as gap_us from o where us <= {_PASSED}""")
+def q57(spark, sf):
+    """Accesses in order with the gap before each, by a stateful stream."""
+    out = streamed(spark, lambda out, checkpoint: ordered.to_tables(ordered.in_order(arriving(spark, sf)), out, checkpoint))
+    return spark.read.parquet(f"{out}/ordered").select("folder", "event_id", "us", "value", "gap_us")
+
+
+@query("q58_stream_sessions", f"""
+    with a as (select user_id as folder, ts, value, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(fresh) over (partition by folder order by ts rows unbounded preceding) as k from a)
+    select folder, epoch_us(min(ts)) as start_us, count(*) as n, round(sum(value), 4) as reward from s group by folder, k having epoch_us(max(ts)) + 1800000000 <= {_PASSED}""")
+def q58(spark, sf):
+    """Sessions with pauses under half an hour, by a stream."""
+    rows = arriving(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 hours")
+    out = streamed(spark, lambda out, checkpoint: sessions.to_folder(sessions.sessions(rows), out, checkpoint))
+    return spark.read.parquet(out).select("folder", F.unix_micros("start").alias("start_us"), "n", F.round("reward", 4).alias("reward"))
