@@ -1,5 +1,8 @@
 """Command line: python -m tidemark ACTION INPUT OUTPUT RUN_ID, or smoke INPUT.
 
+INPUT is a folder of tables or, for the actions that need accesses only, a raw log as
+kind:path, such as csv:/data/logs (csv, json, orc, parquet).
+
 One argument that ends in .toml names a file with these as action, input, output and
 run_id, and Spark settings in a table called spark.
 """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import attribution, bootstrap, decisions, demand, history, lru, paths, relational, replay, sketches, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
-from tidemark.sources.tables import LOG, table, trace
+from tidemark.sources.tables import LOG, raw_log, table, trace
 from tidemark.streaming import ordered, sessions
 
 #: Units of the unit-size and of the sized cache, capacities of the curve.
@@ -548,17 +548,18 @@ _PASSED = "(select (epoch_us(max(ts)) // 1000 - 7200000) * 1000 from events)"
 
 
 def arriving(spark, sf) -> DataFrame:
-    """The events table as a stream; it may be a file or a folder."""
-    return spark.readStream.schema(LOG).parquet(f"{sf}/events.parquet*")
+    """The events table as a stream; it may be a file or a folder, or a raw log as kind:path."""
+    raw = raw_log(spark, sf, stream=True)
+    return raw if raw is not None else spark.readStream.schema(LOG).parquet(f"{sf}/events.parquet*")
 
 
-def streamed(spark, begin) -> str:
+def streamed(spark, sf, begin) -> str:
     """Run a stream to its end with state in RocksDB; the folder it wrote to."""
     folder, provider = f"{shared(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ordered.PROVIDER)
     try:
-        begin(f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        begin(f"{folder}/out", f"{folder}/checkpoint", raw_log(spark, sf) is not None).awaitTermination()
     finally:
         spark.conf.set(provider, before)
     return f"{folder}/out"
@@ -569,7 +570,7 @@ def streamed(spark, begin) -> str:
     select folder, event_id, us, value, case when gap <= 604800000000 then gap end as gap_us from o where us <= {_PASSED}""")
 def q57(spark, sf):
     """Accesses in order with the gap before each, by a stateful stream."""
-    out = streamed(spark, lambda out, checkpoint: ordered.to_tables(ordered.in_order(arriving(spark, sf)), out, checkpoint))
+    out = streamed(spark, sf, lambda *to: ordered.to_tables(ordered.in_order(arriving(spark, sf)), *to))
     return spark.read.parquet(f"{out}/ordered").select("folder", "event_id", "us", "value", "gap_us")
 
 
@@ -580,5 +581,5 @@ def q57(spark, sf):
 def q58(spark, sf):
     """Sessions with pauses under half an hour, by a stream."""
     rows = arriving(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 hours")
-    out = streamed(spark, lambda out, checkpoint: sessions.to_folder(sessions.sessions(rows), out, checkpoint))
+    out = streamed(spark, sf, lambda *to: sessions.to_folder(sessions.sessions(rows), *to))
     return spark.read.parquet(out).select("folder", F.unix_micros("start").alias("start_us"), "n", F.round("reward", 4).alias("reward"))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 OUT = "folder long, event_id long, us long, value double, gap_us long, late boolean"
 WAITS = "event_id long, us long, value double"
@@ -97,7 +97,18 @@ def gaps(rows: DataFrame, forget_hours: int = 24 * 7) -> DataFrame:
     return rows.select("folder", "event_id", "us", "value", F.when(gap <= forget_hours * 3_600_000_000, gap).alias("gap_us"))
 
 
-def to_tables(told: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def ended(writer: DataStreamWriter, out: str | None = None, quiet: bool = False) -> StreamingQuery:
+    """Start a query that handles all that has arrived, then ends. ``quiet``: for sources that
+    don't tell when that is, it runs until nothing is left to do and is stopped then."""
+    if not quiet:
+        return writer.trigger(availableNow=True).start(out)
+    query = writer.start(out)
+    query.processAllAvailable()
+    query.stop()
+    return query
+
+
+def to_tables(told: DataFrame, out: str, checkpoint: str, quiet: bool = False) -> StreamingQuery:
     """Write ordered rows to ``out/ordered`` and late ones to ``out/late``, a folder a batch.
 
     A batch that is run again after a failure writes the same folder again, so no row
@@ -109,4 +120,4 @@ def to_tables(told: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         batch.unpersist()
 
-    return told.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return ended(told.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint), quiet=quiet)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources.tables import LOG
+from tidemark.streaming.ordered import ended
 
 
 def arrivals(spark: SparkSession, folder: str, late: str = "2 hours", files_per_batch: int = 1000) -> DataFrame:
@@ -28,6 +29,6 @@ def demand(rows: DataFrame, width: str = "1 hour", slide: str | None = None) ->
     return grouped.agg(F.count("*").alias("n")).select("folder", F.col("w.start").alias("start"), "n")
 
 
-def to_folder(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def to_folder(rows: DataFrame, out: str, checkpoint: str, quiet: bool = False) -> StreamingQuery:
     """Append finished windows as Parquet; handles all that has arrived, then ends."""
-    return rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    return ended(rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint), out, quiet)
