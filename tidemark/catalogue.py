@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, bootstrap, decisions, demand, history, lru, paths, relational, replay, sketches, supervised, vector_index
+from tidemark.operators import attribution, bootstrap, company, decisions, demand, history, lru, paths, relational, replay, sketches, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
 from tidemark.sources.tables import LOG, raw_log, table, trace
@@ -583,3 +583,22 @@ def q58(spark, sf):
     rows = arriving(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 hours")
     out = streamed(spark, sf, lambda *to: sessions.to_folder(sessions.sessions(rows), *to))
     return spark.read.parquet(out).select("folder", F.unix_micros("start").alias("start_us"), "n", F.round("reward", 4).alias("reward"))
+
+
+@query("q59_company_weights", f"""
+    with {_TRACE}, v as (select epoch_us(ts) // 3600000000 as session, 'log://host/' || folder::varchar || '/' || kind as path, ts, event_id from t where folder is not null),
+    o as (select session, path, row_number() over (partition by session order by ts, event_id) as place from v),
+    pr as (select a.path as a, b.path as b from o a join o b on a.session = b.session and b.place > a.place and b.place <= a.place + 5 and a.path != b.path),
+    c as (select a, b, count(*) as n from (select a, b from pr union all select b, a from pr) group by 1, 2),
+    m as (select a, sum(n) as m from c group by 1)
+    select c.a, c.b, round(ln(cast(n as double) * (select sum(n) from c) / (cast(ma.m as double) * mb.m)), 4) as w
+    from c join m ma on c.a = ma.a join m mb on c.b = mb.a where ln(cast(n as double) * (select sum(n) from c) / (cast(ma.m as double) * mb.m)) > 0""")
+def q59(spark, sf):
+    """How much commoner than chance two paths stand together."""
+    return company.weighed(company.pairs(company.visits(trace(spark, sf)))).withColumn("w", F.round("w", 4))
+
+
+@query("q60_company_vectors")
+def q60(spark, sf):
+    """Each path's vector by its company."""
+    return company.company_vectors(company.visits(trace(spark, sf)))
