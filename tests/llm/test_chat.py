@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, queries
 
@@ -62,3 +63,15 @@ def test_query(spark, sf):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op6_chat_windows(spark, sf).collect()}
     assert got == {k: (len(t), sha("".join(f"{r}\n{x}\n" for r, x in t)), len(loss), sha(loss)) for k, (t, loss) in want.items()}
+
+
+def test_a_very_long_conversation(spark):
+    """20,000 turns, 6.6 MB; each window row holds its own turns only."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"), F.concat(F.repeat(F.lit("some words # "), 25), F.col("id").cast("string")).alias("text"))
+    windows = chat.format_windows(rows.repartition(6))
+    told = windows.agg(F.sum("n_new"), F.max("n_tokens"), F.max(F.length("formatted")), F.count("*"), F.max("window")).first()
+    assert told[0] == n and told[1] <= 512 and told[2] < 5000 and told[3] == told[4] + 1 > 3000
+    back = chat.read_back(windows).first()
+    assert len(back.turns) == n and [t.text for t in back.turns[::997]] == ["some words # " * 25 + str(i) for i in range(0, n, 997)]
+    assert back.loss == "".join("some words # " * 25 + str(i) for i in range(2, n, 2))

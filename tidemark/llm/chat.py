@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
+#: Window beginnings that are appended to together.
+CHUNK = 256
 
 
 def escape(text: Column) -> Column:
@@ -60,6 +62,9 @@ def format_windows(
     that passes it alone: that turn stands whole, without history and with the
     system turn. Only a first turn of role ``system`` is retained. History takes at
     most ``history`` tokens and ``history_turns`` turns. An empty table gives none.
+
+    A conversation may have any number of turns: only a few numbers of each turn come
+    together in a row, texts meet in the windows that they stand in.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -72,41 +77,49 @@ def format_windows(
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"i": F.row_number().over(order) - 1, "tt": F.sum("t").over(upto), "cc": F.sum("c").over(upto)})
-    turn = F.struct("i", F.struct("block", "at", "size", "t", "c", "tt", "cc", (F.col("role") == target).alias("goal"), (F.col("role") == "system").alias("sys")).alias("x"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    whole = whole.select("conv_id", F.transform("turns", lambda p: p["x"]).alias("turns"))
-    whole = whole.withColumn("kept", F.when(F.get("turns", F.lit(0))["sys"], 1).otherwise(0))
-    whole = whole.withColumn("plan", F.expr(f"""
-        aggregate(
-          sequence(0, size(turns) - 1),
-          named_struct('start', 0, 'from', 0, 'done', cast(array() as array<struct<start:int,from:int,end:int>>)),
-          (s, j) -> if(
-            j = s.start or
-              (turns[j].tt - if(s.from > 0, turns[s.from - 1].tt, 0L) + if(s.from >= kept and kept = 1 and s.start > 0, turns[0].t, 0L)) <= {int(budget)},
-            s,
-            named_struct(
-              'start', j,
-              'from', get(filter(sequence(greatest(kept, j - {int(history_turns)}), j), h ->
-                 h = j or (turns[j - 1].tt - if(h > 0, turns[h - 1].tt, 0L) <= {int(history)}
-                 and if(kept = 1, turns[0].t, 0L) + turns[j].tt - if(h > 0, turns[h - 1].tt, 0L) <= {int(budget)})), 0),
-              'done', concat(s.done, array(named_struct('start', s.start, 'from', s.from, 'end', j))))),
-          s -> concat(s.done, array(named_struct('start', s.start, 'from', s.from, 'end', size(turns)))))
-    """))
-    windows = whole.select("conv_id", "turns", "kept", F.posexplode("plan").alias("window", "w"))
-    windows = windows.withColumn("lead", F.expr("if(kept = 1 and w.start > 0, 1, 0)"))
-    return windows.select(
+    rows = rows.withColumns({"i": F.row_number().over(order) - 1, "tt": F.sum("t").over(upto), "cc": F.sum("c").over(upto), "kept": F.first(F.col("role") == "system").over(upto), "t0": F.first("t").over(upto)})
+    # where a window that begins at a turn would take its history from
+    rows = rows.withColumns({"tb": F.col("tt") - F.col("t"), "ahead": F.when(F.col("kept") & (F.col("i") > 0), F.col("t0")).otherwise(0)})
+    rows = rows.withColumns({f"b{k}": F.lag("tb", k).over(order) for k in range(1, history_turns + 1)})
+    fits = lambda k: (F.col("i") - k >= F.col("kept").cast("int")) & (F.col("tb") - F.col(f"b{k}") <= history) & (F.col("ahead") + F.col("tt") - F.col(f"b{k}") <= budget)
+    deepest = range(history_turns, 0, -1)
+    back = F.coalesce(*[F.when(fits(k), k) for k in deepest], F.lit(0))
+    most = F.coalesce(*[F.when(fits(k), F.col(f"b{k}")) for k in deepest], F.col("tb")) - F.col("ahead") + budget
+    turns = rows.select("conv_id", "kept", F.struct("i", "tt", (F.col("i") - back).alias("from"), most.alias("most")).alias("x"))
+    # numbers only: a fold over them tells where windows begin, in chunks that are cheap to append to
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"), F.count("*").cast("int").alias("n"), F.first("kept").alias("kept"))
+    starts = F.expr(f"""
+        aggregate(turns,
+          named_struct('most', cast(null as bigint), 'now', cast(array() as array<struct<start:int,from:int>>), 'done', cast(array() as array<array<struct<start:int,from:int>>>)),
+          (s, x) -> if(coalesce(x.tt <= s.most, false), s, named_struct(
+            'most', x.most,
+            'now', if(size(s.now) = {CHUNK}, array(named_struct('start', x.i, 'from', x.from)), array_append(s.now, named_struct('start', x.i, 'from', x.from))),
+            'done', if(size(s.now) = {CHUNK}, array_append(s.done, s.now), s.done))),
+          s -> flatten(array_append(s.done, s.now)))
+    """)
+    windows = whole.select("conv_id", "n", "kept", starts.alias("starts")).select("conv_id", "n", "kept", F.posexplode("starts").alias("window", "w"))
+    after = F.lead("w.start").over(Window.partitionBy("conv_id").orderBy("window"))
+    windows = windows.select("conv_id", "window", "kept", "w.start", "w.from", F.coalesce(after, F.col("n")).alias("end"))
+    places = F.expr("""concat(if(kept and start > 0, array(named_struct('place', -1, 'i', 0)), cast(array() as array<struct<place:int,i:int>>)),
+                              transform(sequence(from, end - 1), x -> named_struct('place', x, 'i', x)))""")
+    members = windows.select(F.col("conv_id").alias("__conv"), "window", "start", F.explode(places).alias("p")).select("__conv", "window", "start", "p.place", F.col("p.i").alias("__i"))
+    parts = rows.select("conv_id", "i", "block", "at", "size", "t", "c", "tt", "cc", (F.col("role") == target).alias("goal"))
+    met = members.join(parts, F.col("__conv").eqNullSafe(F.col("conv_id")) & (F.col("__i") == F.col("i")))
+    own, part = F.col("place") >= 0, F.struct("place", "start", "block", "at", "size", "c", "cc", "goal")
+    grouped = met.groupBy("conv_id", "window").agg(
+        F.sort_array(F.collect_list(part)).alias("parts"),
+        (F.max(F.when(own, F.col("tt"))) - F.min(F.when(own, F.col("tt") - F.col("t"))) + F.coalesce(F.sum(F.when(~own, F.col("t"))), F.lit(0))).alias("n_tokens"),
+        (F.min(F.when(own, F.col("cc") - F.col("c"))) - F.coalesce(F.sum(F.when(~own, F.col("c"))), F.lit(0))).alias("skipped"),
+    )
+    new = lambda x: x["place"] >= x["start"]
+    return grouped.select(
         "conv_id",
         "window",
-        F.expr("concat(if(lead = 1, turns[0].block, ''), array_join(transform(slice(turns, w.from + 1, w.end - w.from), x -> x.block), ''))").alias("formatted"),
-        F.expr("w.start - w.from + lead").alias("n_repeated"),
-        F.expr("w.end - w.start").alias("n_new"),
-        F.expr("turns[w.end - 1].tt - if(w.from > 0, turns[w.from - 1].tt, 0L) + if(lead = 1, turns[0].t, 0L)").alias("n_tokens"),
-        F.expr("""
-            transform(
-              filter(slice(turns, w.start + 1, w.end - w.start), x -> x.goal),
-              x -> struct(cast(x.cc - x.c - if(w.from > 0, turns[w.from - 1].cc, 0L) + if(lead = 1, turns[0].c, 0L) + x.at as int) as start, x.size as length))
-        """).alias("spans"),
+        F.array_join(F.transform("parts", lambda x: x["block"]), "").alias("formatted"),
+        F.size(F.filter("parts", lambda x: ~new(x))).alias("n_repeated"),
+        F.size(F.filter("parts", new)).alias("n_new"),
+        "n_tokens",
+        F.transform(F.filter("parts", lambda x: new(x) & x["goal"]), lambda x: F.struct((x["cc"] - x["c"] - F.col("skipped") + x["at"]).cast("int").alias("start"), x["size"].alias("length"))).alias("spans"),
     )
 
 
