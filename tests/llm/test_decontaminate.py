@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as D
@@ -100,3 +101,25 @@ def test_rule_and_empty_documents(spark):
     assert [r[0] for r in got] == [False, True, False, True]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert D.find_overlap(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_comparisons_do_not_grow_with_the_benchmark(monkeypatch):
+    """Zipf text: a bucket's strings grow with the benchmark, those with the same first words hardly."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"w{k}" for k in (rng.zipf(1.3, n) % 5000).tolist()]
+    told, walked, plain = [], [], D.Searcher.alike
+
+    def counted(self, spot, first, second):
+        low, high = plain(self, spot, first, second)
+        told.append(high - low)
+        walked.append(self.heads[spot + 1] - self.heads[spot])
+        return low, high
+
+    monkeypatch.setattr(D.Searcher, "alike", counted)
+    words, benchmark, seen = [w.encode() for w in draw(20_000)], draw(160_000), []
+    for n in (20_000, 160_000):
+        told.clear(), walked.clear()
+        D.Block([("x", " ".join(benchmark[:n]))], 13).search(words)
+        seen.append((sum(told) / len(words), sum(walked) / len(words)))
+    (few, bucket), (more, larger) = seen
+    assert larger > 3 * bucket and more < larger / 20 and more < 8 * few and more < 5

@@ -11,6 +11,8 @@ beginning, and comparing word for word confirms an occurrence.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -42,7 +44,8 @@ class Searcher:
     Words are numbers here, equal for equal words only. ``shift`` and ``heads`` are
     indexed by a block's hash: blocks that fall together get the least shift of all
     and share a bucket, which costs time and never an occurrence. A bucket is a
-    stretch of ``places``: where in the benchmark's words a test string starts;
+    stretch of ``places``, sorted by ``prefix``, the first two words: where in the
+    benchmark's words a test string starts;
     equal strings have one, with all their items."""
 
     def __init__(self, length: int, words: list[int], starts: np.ndarray, owner: np.ndarray):
@@ -66,10 +69,13 @@ class Searcher:
         for end in range(self.block, length + 1):
             shift[self._spots(ids, places, end)] = min(far, length - end)
         last = self._spots(ids, places, length)
-        order = np.argsort(last, kind="stable")
-        self.shift, self.places, self.string = shift.tobytes(), places[order].astype(np.int32), order.astype(np.int32)
-        self.heads = np.zeros(self.mask + 2, np.int32)
-        np.cumsum(np.bincount(last, minlength=self.mask + 1), out=self.heads[1:], dtype=np.int32)
+        prefix = ids[places].astype(np.int64) << 31 | (ids[places + 1] if length > 1 else 0)
+        order = np.lexsort((prefix, last))
+        self.shift, self.prefix = shift.tobytes(), array("q", prefix[order].tobytes())
+        self.places, self.string = array("i", places[order].astype(np.int32).tobytes()), array("i", order.astype(np.int32).tobytes())
+        heads = np.zeros(self.mask + 2, np.int32)
+        np.cumsum(np.bincount(last, minlength=self.mask + 1), out=heads[1:], dtype=np.int32)
+        self.heads = array("i", heads.tobytes())
 
     def _spots(self, ids: np.ndarray, places: np.ndarray, end: int) -> np.ndarray:
         at = ids[places + end - 1]
@@ -78,6 +84,13 @@ class Searcher:
     def items(self, string: int) -> list[int]:
         return self.owner[self.bounds[string] : self.bounds[string + 1]].tolist()
 
+    def alike(self, spot: int, first: int, second: int) -> tuple[int, int]:
+        """Range of a bucket's strings that begin with these two words; with the first alone where they have one."""
+        key = first << 31 | second if self.length > 1 else first << 31
+        high = self.heads[spot + 1]
+        low = bisect_left(self.prefix, key, self.heads[spot], high)
+        return low, bisect_right(self.prefix, key, low, high) if low < high and self.prefix[low] == key else low
+
     def find(self, ids: list[int]) -> Iterable[tuple[int, int]]:
         """(start, string) of every occurrence, in order; ids are -1 for words that the benchmark lacks."""
         length, shift, two, mask, known = self.length, self.shift, self.block == 2, self.mask, self.words
@@ -100,11 +113,12 @@ class Searcher:
                 at += step
                 continue
             start = at - length + 1
-            for k in range(self.heads[spot], self.heads[spot + 1]):
-                place = self.places[k]
-                if known[place] == ids[start] and known[place : place + length] == ids[start : at + 1]:
-                    yield start, self.string[k]
-                    break
+            if ids[start] >= 0 and ids[second := min(start + 1, at)] >= 0:
+                for k in range(*self.alike(spot, ids[start], ids[second])):
+                    place = self.places[k]
+                    if known[place : place + length] == ids[start : at + 1]:
+                        yield start, self.string[k]
+                        break
             at += 1
 
 
