@@ -104,13 +104,14 @@ def test_rule_and_empty_documents(spark):
 
 
 def test_comparisons_do_not_grow_with_the_benchmark(monkeypatch):
-    """Zipf text: a bucket's strings grow with the benchmark, those with the same first words hardly."""
+    """Zipf text of which a third is one word: buckets grow with the benchmark, yet a position
+    meets less than one string that begins as the text does."""
     rng = np.random.default_rng(9)
     draw = lambda n: [f"w{k}" for k in (rng.zipf(1.3, n) % 5000).tolist()]
     told, walked, plain = [], [], D.Searcher.alike
 
-    def counted(self, spot, first, second):
-        low, high = plain(self, spot, first, second)
+    def counted(self, spot, first):
+        low, high = plain(self, spot, first)
         told.append(high - low)
         walked.append(self.heads[spot + 1] - self.heads[spot])
         return low, high
@@ -122,4 +123,4 @@ def test_comparisons_do_not_grow_with_the_benchmark(monkeypatch):
         D.Block([("x", " ".join(benchmark[:n]))], 13).search(words)
         seen.append((sum(told) / len(words), sum(walked) / len(words)))
     (few, bucket), (more, larger) = seen
-    assert larger > 3 * bucket and more < larger / 20 and more < 8 * few and more < 5
+    assert larger > 8 * bucket and more < larger / 500 and more < 1

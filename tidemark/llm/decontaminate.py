@@ -26,6 +26,9 @@ from tidemark.llm.common import Cuts, map_texts, unused
 #: Bytes of benchmark text searched for in one pass; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
 
+#: First words of a test string that a bucket is sorted by, and their hash's factor and bits.
+PREFIX, MIX, BITS = 4, 0x9E3779B1, (1 << 62) - 1
+
 #: Bytes to words: A-Z in lower case; ASCII other than letters and digits is a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -44,7 +47,7 @@ class Searcher:
     Words are numbers here, equal for equal words only. ``shift`` and ``heads`` are
     indexed by a block's hash: blocks that fall together get the least shift of all
     and share a bucket, which costs time and never an occurrence. A bucket is a
-    stretch of ``places``, sorted by ``prefix``, the first two words: where in the
+    stretch of ``places``, sorted by ``prefix``, a hash of the first words: where in the
     benchmark's words a test string starts;
     equal strings have one, with all their items."""
 
@@ -69,7 +72,10 @@ class Searcher:
         for end in range(self.block, length + 1):
             shift[self._spots(ids, places, end)] = min(far, length - end)
         last = self._spots(ids, places, length)
-        prefix = ids[places].astype(np.int64) << 31 | (ids[places + 1] if length > 1 else 0)
+        self.lead = min(PREFIX, length)
+        prefix = np.zeros(len(places), np.int64)
+        for j in range(self.lead):
+            prefix = prefix * MIX + ids[places + j] & BITS  # wrapping leaves the low bits as they are
         order = np.lexsort((prefix, last))
         self.shift, self.prefix = shift.tobytes(), array("q", prefix[order].tobytes())
         self.places, self.string = array("i", places[order].astype(np.int32).tobytes()), array("i", order.astype(np.int32).tobytes())
@@ -84,9 +90,11 @@ class Searcher:
     def items(self, string: int) -> list[int]:
         return self.owner[self.bounds[string] : self.bounds[string + 1]].tolist()
 
-    def alike(self, spot: int, first: int, second: int) -> tuple[int, int]:
-        """Range of a bucket's strings that begin with these two words; with the first alone where they have one."""
-        key = first << 31 | second if self.length > 1 else first << 31
+    def alike(self, spot: int, first: list[int]) -> tuple[int, int]:
+        """Range of a bucket's strings whose first words have the hash of these."""
+        key = 0
+        for n in first:
+            key = key * MIX + n & BITS
         high = self.heads[spot + 1]
         low = bisect_left(self.prefix, key, self.heads[spot], high)
         return low, bisect_right(self.prefix, key, low, high) if low < high and self.prefix[low] == key else low
@@ -113,12 +121,11 @@ class Searcher:
                 at += step
                 continue
             start = at - length + 1
-            if ids[start] >= 0 and ids[second := min(start + 1, at)] >= 0:
-                for k in range(*self.alike(spot, ids[start], ids[second])):
-                    place = self.places[k]
-                    if known[place : place + length] == ids[start : at + 1]:
-                        yield start, self.string[k]
-                        break
+            for k in range(*self.alike(spot, ids[start : start + self.lead])):
+                place = self.places[k]
+                if known[place : place + length] == ids[start : at + 1]:
+                    yield start, self.string[k]
+                    break
             at += 1
 
 
