@@ -47,21 +47,77 @@ def test_recall_at_the_bound():
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * y
     same = (E.buckets(x, np.zeros(4000, np.int64)) == E.buckets(y, np.zeros(4000, np.int64))).any(axis=1)
     assert same.mean() >= 0.985
+    met = (E.buckets(x, np.zeros(4000, np.int64)) == E.buckets(y, np.zeros(4000, np.int64))).sum(axis=1)
+    assert (met >= E.SHARED[0]).mean() >= 0.985
 
 
 def test_more_vectors_keep_recall_with_fewer_chance_meetings():
-    assert E.fitting(0, 0.93) == E.fitting(5000, 0.93) == (E.PROJECTIONS, E.TABLES)
+    assert E.fitting(0, 0.93) == E.fitting(5000, 0.93) == (E.PROJECTIONS, E.TABLES, E.SHARED[0])
     rng = np.random.default_rng(6)
     x, z = rng.normal(size=(2, 3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (x * z).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y, none = 0.93 * x + np.sqrt(1 - 0.93**2) * z, np.zeros(3000, np.int64)
-    projections, tables = E.fitting(1_000_000, 0.93)
+    projections, tables, shared = E.fitting(1_000_000, 0.93)
     assert projections > E.PROJECTIONS and tables < 4 * E.TABLES
     keys = [E.buckets(v, none, projections, tables) for v in (x, y, z)]
-    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.985
-    assert (keys[0] == keys[2]).mean() < 5 * E.CHANCE / 1_000_000
+    assert ((keys[0] == keys[1]).sum(axis=1) >= shared).mean() >= 0.985
+    assert (keys[0] == keys[2]).mean() < 2.5 / 1_000_000
+
+
+def correlated(rng, n, mean):
+    """Unit vectors whose cosines lie around ``mean``: a common direction and noise."""
+    x = rng.normal(size=(n, 64))
+    x[:, 0] = 0
+    return np.concatenate([np.full((n, 1), np.sqrt(mean)), np.sqrt(1 - mean) * (x / np.linalg.norm(x, axis=1, keepdims=True))[:, 1:]], axis=1)
+
+
+def shared_tables(keys):
+    """How many tables each pair of rows shares."""
+    met = np.zeros((len(keys), len(keys)), np.uint16)
+    for column in keys.T:
+        order = np.argsort(column)
+        for group in np.split(order, np.flatnonzero(np.diff(column[order])) + 1):
+            if len(group) > 1:
+                met[np.ix_(group, group)] += 1
+    return met[np.triu_indices(len(keys), 1)]
+
+
+def test_correlated_vectors_are_checked_less_than_by_the_square():
+    checked, meetings = {}, {}
+    for n in (4000, 8000):
+        x = correlated(np.random.default_rng(7), n, 0.7)
+        *fitted, shared = E.fitting(n, 0.93, cosines=E.unlinked_cosines(np.zeros(E.SAMPLE, int), list(x[: E.SAMPLE]), 0.93))
+        met = shared_tables(np.concatenate([E.buckets(y, np.zeros(len(y), np.int64), *fitted) for y in np.array_split(x, 8)]))
+        checked[n], meetings[n] = int((met >= shared).sum()), int(met.sum())
+    assert checked[4000] < 60_000 and checked[8000] < 2.5 * checked[4000]
+    assert meetings[8000] < 3.5 * meetings[4000]
+    # pairs at the bound among them are found as surely as elsewhere
+    x = correlated(np.random.default_rng(8), 3000, 0.7)
+    z = np.random.default_rng(9).normal(size=x.shape)
+    z -= (x * z).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    keys = [np.concatenate([E.buckets(w, np.zeros(len(w), np.int64), *fitted) for w in np.array_split(v, 6)]) for v in (x, y)]
+    assert ((keys[0] == keys[1]).sum(axis=1) >= shared).mean() >= 0.985
+
+
+def test_correlated_vectors_against_all_pairs(spark):
+    rng = np.random.default_rng(10)
+    x = correlated(rng, 300, 0.75)
+    x = np.concatenate([x, x[:60] + rng.normal(size=(60, 64)) * 0.03])
+    rows = [(i, v.astype(np.float32).tolist(), i % 2) for i, v in enumerate(x)] + [(1000, x[5].astype(np.float32).tolist(), 1)]
+    want = brute(rows, 0.93)
+    assert sum(n > 0 for n, _, _ in want.values()) > 50
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, rows)} == want
+
+
+def test_cosines_of_a_label():
+    one = [np.array([1.0, 0.0]), np.array([0.0, 2.0]), np.array([1.0, 0.01]), np.array([1.0, 0.0, 0.0])]
+    at, share = E.unlinked_cosines(np.zeros(4, int), one, 0.93)
+    assert np.isclose(share.sum(), 1) and (np.abs(at) < 0.02).all()  # the pair at 1 is a link; lengths don't mix
+    assert E.unlinked_cosines(np.arange(4), one, 0.93) is None
+    assert E.tables_for(10, 1.0, shared=3) == 3
 
 
 def test_unfit_vectors_link_with_nothing(spark):

@@ -2,12 +2,17 @@
 
 Vectors are scaled to length one and projected on random normal directions; each
 projection, shifted and divided into cells, falls near itself for near vectors
-(Datar et al. 2004). Several projections make a bucket and several tables of
-buckets the candidates, whose cosines are then computed exactly.
+(Datar et al. 2004). Several projections make a bucket, and vectors that share a
+bucket in two or three tables are candidates, whose cosines are then computed exactly.
+Counting the shared tables costs two ids a meeting, where a check costs two vectors:
+a pair at the bound meets several times, unlike pairs seldom more than once. How
+unlike the pairs of a label are is measured, as in most embeddings they are not
+orthogonal, and projections and tables are fitted to that.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -19,30 +24,80 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import Cuts, components
 
-#: Projections of a bucket, tables and width of a cell. Two vectors of cosine 0.93
-#: share a bucket in some table with probability 0.996, nearer ones more likely.
-PROJECTIONS, TABLES, CELL = 10, 48, 1.5
+#: Least projections of a bucket and tables, width of a cell, and numbers of tables
+#: that candidates must share (fitted; the first if not). Two vectors of cosine 0.93 share as many with probability 0.996,
+#: nearer ones more likely.
+PROJECTIONS, TABLES, CELL, SHARED = 10, 68, 1.5, (2, 3)
 SEED = 20_240_607
-#: Chance that a pair at the bound is missed, and vectors that one expects to meet by
-#: chance in a bucket: what further projections and tables for larger inputs keep.
-MISS, CHANCE = 0.004, 0.5
+#: Chance that a pair at the bound is missed, most projections tried, and vectors (as
+#: expected) from whose pairs the cosines of a label are measured.
+MISS, MOST, SAMPLE = 0.004, 64, 1024
+#: Bytes shuffled for a vector's bucket (to find its mates, and to both sides of their
+#: join) and for a meeting; a check moves two vectors besides.
+BUCKET_BYTES, MEETING_BYTES = 48, 16
 
 
 def same_cell(distance: float, cell: float) -> float:
     """The probability that a projection puts two vectors so far apart in one cell."""
+    if distance <= 0:
+        return 1.0
     r = cell / distance
     return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def fitting(vectors: int, least: float, cell: float = CELL) -> tuple[int, int]:
-    """(projections, tables) for that many vectors of one label: as many projections
-    as keep unrelated (orthogonal) vectors apart, and tables that make up for them.
-
-    Tables grow as about the fourth root of the vectors, where the pairs that meet
-    by chance in a fixed number of projections grow with their square."""
-    projections = max(PROJECTIONS, math.ceil(math.log(max(vectors, 1) / CHANCE) / -math.log(same_cell(math.sqrt(2), cell))))
-    together = same_cell(math.sqrt(2 - 2 * least), cell) ** projections
-    return projections, max(TABLES, math.ceil(math.log(MISS) / math.log1p(-together)))
+def below_shared(p, tables: int, shared: int):
+    """The probability that a pair with chance ``p`` in each table shares under ``shared`` of them."""
+    p = np.asarray(p, float)
+    return sum(math.comb(tables, j) * p**j * (1 - p) ** (tables - j) for j in range(shared))
+
+
+def tables_for(projections: int, least: float, cell: float = CELL, shared: int = SHARED[0]) -> int:
+    """The fewest tables that miss a pair at the bound with a chance of at most MISS."""
+    p = same_cell(math.sqrt(max(0.0, 2 - 2 * least)), cell) ** projections
+    low, high = shared - 1, shared
+    while below_shared(p, high, shared) > MISS:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if below_shared(p, middle, shared) > MISS else (low, middle)
+    return high
+
+
+def fitting(vectors: float, least: float, cell: float = CELL, cosines: tuple[np.ndarray, np.ndarray] | None = None, dimension: int = 64) -> tuple[int, int, int]:
+    """(projections, tables, tables to share) that move the fewest bytes where a vector has so many others in its label.
+
+    ``cosines``: (cosine, share) of the pairs that are no links; orthogonal if not
+    given. More projections keep unlike pairs apart and ask for more tables; a third
+    shared table is worth its cost where unlike pairs are near each other."""
+    cosine, share = cosines or (np.zeros(1), np.ones(1))
+    one = np.array([same_cell(math.sqrt(max(0.0, 2 - 2 * c)), cell) for c in cosine])
+    best = None
+    for shared, projections in itertools.product(SHARED, range(PROJECTIONS, MOST + 1)):
+        tables = max(TABLES, tables_for(projections, least, cell, shared))
+        if best and BUCKET_BYTES * tables > best[0]:
+            continue
+        met = vectors / 2 * tables * float(share @ one**projections)
+        checked = vectors / 2 * float(share @ (1 - below_shared(one**projections, tables, shared)))
+        cost = BUCKET_BYTES * tables + MEETING_BYTES * met + (MEETING_BYTES + 16 * dimension) * checked
+        if best is None or cost < best[0]:
+            best = cost, projections, tables, shared
+    return best[1:]
+
+
+def unlinked_cosines(labels: np.ndarray, vectors: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """(cosine, share) of the pairs of one label and length under ``least``, in bins
+    told by their upper ends; None without such pairs."""
+    edges = np.linspace(-1, least, 401)
+    counts = np.zeros(400)
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    for label, size in sorted(set(zip(labels.tolist(), sizes.tolist(), strict=True))):
+        x = np.array([vectors[i] for i in np.flatnonzero((labels == label) & (sizes == size))])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = (x @ x.T)[np.triu_indices(len(x), 1)]
+        counts += np.histogram(np.maximum(c[c < least], -1), edges)[0]
+    at = np.flatnonzero(counts)
+    return (edges[at + 1], counts[at] / counts.sum()) if len(at) else None
 
 
 def directions(dimension: int, projections: int, tables: int, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +130,7 @@ def _hashed(vectors: DataFrame, projections: int, tables: int, cell: float) -> D
             node, label, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                for some in np.array_split(at, len(at) // 2000 + 1):
+                for some in np.array_split(at, len(at) * projections * tables // 1_000_000 + 1):
                     x = matrix(batch.column(3).take(pa.array(some)))
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -108,7 +163,7 @@ def _exact(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "va", "vb").mapInArrow(run, schema)
 
 
-def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", projections: int | None = None, tables: int | None = None, cell: float = CELL) -> DataFrame:
+def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", projections: int | None = None, tables: int | None = None, cell: float = CELL, shared: int | None = None) -> DataFrame:
     """One row per row of ``df``: the key, n_links, component_id, kept.
 
     Vectors of one label and length are linked where their cosine, in double
@@ -122,7 +177,8 @@ def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding",
 
     Candidates come from hashing: a pair at the bound is missed with a probability
     that the parameters set, unless a ball holds it; no pair below it is linked.
-    Those not given are fitted to the largest label's vectors (``fitting``).
+    Those not given are fitted (``fitting``) to the number of vectors of a label and
+    to the cosines among about SAMPLE vectors, drawn by hash from all.
     """
     cuts = Cuts(df.sparkSession)
     v = F.col("v")
@@ -135,17 +191,24 @@ def near_vectors(df: DataFrame, least: float = 0.93, vector: str = "embedding",
     classes = cuts.cut(classes.select("h1", "h2", "x.*", "rows"))
 
     if projections is None or tables is None:
-        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-        fitted = fitting(largest, least, cell)
-        projections, tables = projections or fitted[0], tables or fitted[1]
+        rows_of = F.col("count").cast("double")
+        one = classes.groupBy("label").count().agg(F.sum(rows_of).alias("all"), F.sum(rows_of * rows_of).alias("pairs")).first()
+        drawn = classes.filter(F.pmod(F.xxhash64(F.lit(SEED), "h1", "h2"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / (one["all"] or 1)))
+        drawn = drawn.select("label", "v").toArrow()
+        seen = [np.array(v) for v in drawn["v"].to_pylist()]
+        seen = unlinked_cosines(drawn["label"].to_numpy(), seen, least), max(map(len, seen), default=64)
+        fitted = fitting((one["pairs"] or 0) / (one["all"] or 1), least, cell, *seen)
+        projections, tables, shared = projections or fitted[0], tables or fitted[1], shared or fitted[2]
+    shared = min(shared or SHARED[0], tables)
     by_bucket = Window.partitionBy("bucket")
     hashed = _hashed(classes, projections, tables, cell).withColumns({"centre": F.min("node").over(by_bucket), "mates": F.count("*").over(by_bucket)})
     hashed = cuts.cut(hashed.filter("mates > 1").drop("mates"))  # a vector alone in its bucket meets none there
-    near = _exact(hashed.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), classes, np.cos(np.arccos(least) / 2) + 1e-9)
+    often = lambda met: met.groupBy("a", "b").count().filter(F.col("count") >= shared).drop("count")
+    near = _exact(often(hashed.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), classes, np.cos(np.arccos(least) / 2) + 1e-9)
     balls = cuts.cut(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("ball")))
     hashed = hashed.join(balls, "node", "left").withColumn("ball", F.coalesce("ball", "node"))
     left, right = (hashed.select(F.col("node").alias(c), F.col("ball").alias(f"{c}_ball"), "bucket") for c in ("a", "b"))
-    pairs = cuts.cut(left.join(right, "bucket").filter("a < b and a_ball != b_ball").select("a", "b").distinct())
+    pairs = cuts.cut(often(left.join(right, "bucket").filter("a < b and a_ball != b_ball").select("a", "b")))
     links = cuts.cut(_exact(pairs, classes, least).distinct())
 
     both = links.union(links.select("b", "a")).toDF("node", "other")
