@@ -56,6 +56,36 @@ def test_long_list_in_parts_without_joins_of_pages(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_levels_grow_with_the_list_not_with_the_universe(spark):
+    words = {}
+    for size in (200_000, 2_000_000):
+        universe = spark.range(size).selectExpr("concat('h', id) as key")
+        listed = universe.limit(0).union(spark.range(5).selectExpr("concat('h', id * 7) as key"))
+        cascade = U.build_cascade(listed, universe)
+        words[size] = [level.words for level in cascade.levels]
+        assert universe.filter(cascade.listed(U.F.col("key"))).count() == 5
+    assert sum(words[200_000]) < 250 and sum(words[2_000_000]) < 250
+
+
+def test_share_that_passes():
+    from tidemark.llm import bloom
+
+    assert 0.02 < bloom.passed(8_000, 1_000) < 0.09
+    assert bloom.passed(1_000, 100_000) < 1e-6
+    # a list of a million among 10^9 keys: first level of some MB, and no more others pass than are listed
+    words = bloom.words_sieving(10**6, 10**9, 8.0)
+    assert words * 8 < 16 << 20 and bloom.passed(10**6, words) * 10**9 <= 10**6
+    assert bloom.words_sieving(5, 10**9, 8.0) * 8 < 1 << 20
+    assert bloom.words_sieving(0, 10**9, 8.0) == 1
+
+
+def test_wide_first_levels_are_cut_into_parts(spark):
+    pages = spark.range(40_000).selectExpr("id as page_id", "concat('http://h', id, '.org/p') as url")
+    listed = spark.range(4).selectExpr("concat('h', id * 9, '.org') as key")
+    out = U.filter_urls(pages, listed, [], part_keys=16)  # wider than two words
+    assert {r.page_id for r in out.filter("verdict = 'block'").collect()} == {0, 9, 18, 27} and out.count() == 40_000
+
+
 def test_five_million_keys(spark):
     from pyspark.sql import functions as F
 

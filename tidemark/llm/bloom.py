@@ -9,6 +9,7 @@ holds; with 8 bits for each key it passes about one in twenty others.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,23 @@ def words_for(n: int, bits_per_key: float, most: int) -> int:
     return max(1, min(most, -(-int(n * bits_per_key) // 64)))
 
 
+def passed(n: int, words: int) -> float:
+    """The share of other keys that a table of so many words with ``n`` keys passes, about."""
+    mean = n / words
+    most = int(mean + 12 * math.sqrt(mean) + 12)
+    chance = (math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) for j in range(1, most + 1))
+    return sum(c * (1 - (1 - 1 / 64) ** (BITS * j)) ** BITS for j, c in enumerate(chance, 1))
+
+
+def words_sieving(n: int, others: int, bits_per_key: float, few: int = 1024) -> int:
+    """Words for ``n`` keys so that, of so many others, about ``n`` or ``few`` pass at
+    most: some bits more a key each time that the others double."""
+    words = words_for(n, bits_per_key, 1 << 62)
+    while n and passed(n, words) * others > max(n, few):
+        words += max(1, words // 4)
+    return words
+
+
 def _spot(key: Column, words: int, salt: int) -> tuple[Column, Column]:
     """(word, mask) of a key."""
     bits = F.xxhash64(F.lit(2 * salt + 1), key)

@@ -7,9 +7,13 @@ until a level passes nothing wrongly. For every key of the universe the number
 of levels that it passes then tells membership exactly, by bit tests alone: the
 pages are neither shuffled nor joined.
 
-A list of any length is decided so. Beyond ``PART_KEYS`` listed keys the range of
-the keys' hashes is cut into parts, and each part has a cascade and a pass over
-the pages of its own, so that no task holds more than one part's tables.
+The first level is as wide as lets about as many unlisted keys pass as are listed, so
+the later ones grow with the list and not with the universe.
+
+A list of any length is decided so. Beyond ``PART_KEYS`` listed keys, or as many words
+of a first level as those need at 8 bits, the range of the keys' hashes is cut into
+parts, and each part has a cascade and a pass over the pages of its own, so that no
+task holds more than one part's tables.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bloom
 from tidemark.llm.common import Cuts, ascii_lower, unused
 
-#: Listed keys of a cascade: 16 MB of tables at 8 bits for each.
+#: Listed keys of a cascade, and bits of its first level over 8: 16 MB.
 PART_KEYS = 1 << 24
 
 
@@ -53,21 +57,23 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: float =
     yes = cuts.cut(listed.select("key").filter("key is not null").distinct())
     no = cuts.cut(universe.select("key").filter("key is not null").distinct().join(yes, "key", "left_anti"))
     levels: list[bloom.Bloom] = []
-    inside, outside = yes, no
+    inside, outside, others = yes, no, no.count()
     while n := inside.count():
-        level = bloom.build(cuts, inside, bloom.words_for(n, bits_per_key, 1 << 30), salt=len(levels))
+        level = bloom.build(cuts, inside, bloom.words_sieving(n, others, bits_per_key), salt=len(levels))
         levels.append(level)
-        inside, outside = cuts.cut(outside.filter(level.passes(F.col("key")))), inside
+        inside, outside, others = cuts.cut(outside.filter(level.passes(F.col("key")))), inside, n
     return Cascade(tuple(levels))
 
 
 def mark_listed(df: DataFrame, key: Column, name: str, listed: DataFrame, part_keys: int = PART_KEYS) -> DataFrame:
     """Append ``name``: whether ``key`` is among ``listed`` (column ``key``).
 
-    A pass over ``df`` for each ``part_keys`` listed keys."""
+    A pass over ``df`` for each ``part_keys`` listed keys, or 8 times as many bits of a
+    first level (the rows of ``df`` bound its keys)."""
     cuts = Cuts(df.sparkSession)
     listed = cuts.cut(listed.select("key").filter("key is not null").distinct())
-    parts = max(1, -(-listed.count() // part_keys))
+    n = listed.count()
+    parts = max(1, -(-n // part_keys), -(-64 * bloom.words_sieving(n, df.count(), 8.0) // max(64, 8 * part_keys)) if n else 1)
     part = lambda k: F.pmod(F.xxhash64(F.lit(-1), k), F.lit(parts))
     universe = df.select(key.alias("key")).filter("key is not null").distinct()
     if parts == 1:
