@@ -1,5 +1,6 @@
 import random
 from collections import OrderedDict
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -79,3 +80,30 @@ def test_grids_of_grids(spark, monkeypatch):
 def test_empty_trace(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lru.depths(df).count() == 0 and lru.sized(df, 5).count() == 0
+
+
+def drawn_trace(spark, n, folders):
+    rng = np.random.default_rng(11)
+    folder = (folders * rng.random(n) ** 2).astype(int)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), int(f)) for i, f in enumerate(folder)]
+    return spark.createDataFrame(rows, "event_id long, ts timestamp, folder long")
+
+
+def test_sampled_curve_of_all_folders_is_the_curve(spark):
+    rows = drawn_trace(spark, 1500, 200)
+    exact = {r.capacity: r.n_hits / r.n for r in lru.hit_curve(lru.depths(rows), [10, 50, 100]).collect()}
+    got = {r.capacity: r.hit_rate for r in lru.sampled_curve(rows, [10, 50, 100], 1).collect()}
+    assert got == exact
+
+
+def test_sampled_curve_is_near_at_one_folder_in_a_hundred(spark):
+    rows, capacities = drawn_trace(spark, 60_000, 20_000), [1000, 3000, 8000]
+    exact = {r.capacity: r.n_hits / r.n for r in lru.hit_curve(lru.depths(rows), capacities).collect()}
+    for r in lru.sampled_curve(rows, capacities, 100).collect():
+        assert r.n_sampled < 2000 and 0 < r.error < 0.06
+        assert abs(r.hit_rate - exact[r.capacity]) < 3 * r.error + 0.02
+
+
+def test_sampled_curve_of_nothing(spark):
+    none = drawn_trace(spark, 50, 5).filter("false")
+    assert [(r.capacity, r.n_sampled, r.hit_rate, r.error) for r in lru.sampled_curve(none, [5], 4).collect()] == [(5, 0, None, None)]

@@ -602,3 +602,19 @@ def q59(spark, sf):
 def q60(spark, sf):
     """Each path's vector by its company."""
     return company.company_vectors(company.visits(trace(spark, sf)))
+
+
+_DRAWN = "cast('0x' || substr(sha256(user_id::varchar), 1, 8) as bigint) % 64"
+_SAMPLED = _UNIT.replace("from events)", f"from events where {_DRAWN} % 4 = 0)").replace("user_id as folder,", f"user_id as folder, {_DRAWN} as g,")
+
+
+@query("q61_sampled_curve", f"""
+    with {_SAMPLED},
+    f as (select cast(count(distinct user_id) as double) / (select count(distinct folder) from t) as scale from events),
+    s as (select c, g, cast(count(*) as double) as n, cast(count(*) filter ((depth - 1) * (select scale from f) + 1 <= c) as double) as h from d, unnest({CURVE}) as u(c) group by 1, 2),
+    a as (select c, sum(n) as n, sum(h) as h, sum(h * h) as hh, sum(h * n) as hn, sum(n * n) as nn, sum(h) / sum(n) as r from s group by c)
+    select cast(k.c as bigint) as capacity, cast(coalesce(n, 0) as bigint) as n_sampled, round(r, 6) as hit_rate, round(sqrt(16 / 15.0 * greatest(0.0, hh - 2 * r * hn + r * r * nn)) / n, 6) as error from unnest({CURVE}) as k(c) left join a on k.c = a.c""")
+def q61(spark, sf):
+    """q04's rates from a quarter of the folders, with standard errors."""
+    out = lru.sampled_curve(trace(spark, sf), CURVE, 4)
+    return out.withColumns({"hit_rate": F.round("hit_rate", 6), "error": F.round("error", 6)})

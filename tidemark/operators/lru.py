@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import bucket
 from tidemark.functions.dominance import dominance
 
 #: Places of a block; blocks of a block of the grids above; places that one task takes.
@@ -117,6 +118,35 @@ def hit_curve(deep: DataFrame, capacities: list[int]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), F.col(f"c{c}").cast("long").alias("n_hits"), F.col("n").alias("n")) for c in capacities])))
 
 
+def sampled_curve(trace: DataFrame, capacities: list[int], buckets: int, groups: int = 16, block: int = BLOCK) -> DataFrame:
+    """capacity, n_sampled, hit_rate, error: the hit curve from the accesses of one folder in ``buckets``.
+
+    Folders are drawn by their hash, so a drawn one has all its accesses, and the
+    distinct folders between two of them are about as many times those drawn as the
+    trace has folders for each drawn one (Waldspurger et al. 2015, who scale by the
+    nominal share: with few folders that is far off). An access's folder itself
+    counts once and is not scaled. With one bucket the rate is exact. ``error`` is the
+    standard error of the rate over ``groups`` groups of drawn folders, taken as
+    independent; the noise of the scaled depths (about the root of buckets times
+    capacity, in folders) comes on top. A sample without accesses gives nulls. Null
+    folders are never drawn. Only distinct folders and the sample are shuffled.
+    """
+    spot = bucket(F.col("folder"), 8, buckets * groups)
+    drawn = trace.withColumn("group", spot).filter(F.col("group") % buckets == 0)
+    deep = depths(drawn, block=block)
+    folders = trace.select("folder").filter("folder is not null").distinct()
+    seen = folders.agg(F.count("*").alias("all"), F.count_if(spot % buckets == 0).alias("drawn")).first()
+    far = (F.col("depth") - 1) * F.lit(seen["all"] / max(seen["drawn"], 1)) + 1
+    by_group = deep.groupBy("group").agg(F.count("*").alias("n"), *[F.sum(F.when(far <= c, 1).otherwise(0)).alias(f"c{c}") for c in capacities])
+    sums = [F.struct(F.lit(c).cast("long").alias("capacity"), F.col(f"c{c}").cast("double").alias("h"), F.col("n").cast("double").alias("n")) for c in capacities]
+    blank = trace.sparkSession.createDataFrame([(c, 0.0, 0.0) for c in capacities], "capacity long, h double, n double")
+    total = by_group.select(F.inline(F.array(*sums))).union(blank).groupBy("capacity")
+    total = total.agg(*[F.sum(x).alias(name) for name, x in {"h": F.col("h"), "n": F.col("n"), "hh": F.col("h") * F.col("h"), "hn": F.col("h") * F.col("n"), "nn": F.col("n") * F.col("n")}.items()])
+    rate = F.when(F.col("n") > 0, F.col("h") / F.col("n"))
+    spread = F.greatest(F.lit(0.0), F.col("hh") - 2 * rate * F.col("hn") + rate * rate * F.col("nn"))
+    return total.select("capacity", F.col("n").cast("long").alias("n_sampled"), rate.alias("hit_rate"), F.when(F.col("n") > 0, F.sqrt(F.lit(groups / (groups - 1)) * spread) / F.col("n")).alias("error"))
+
+
 def sized(trace: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame:
     """Accesses with hit for a cache of ``capacity`` units of folder size. Folders
     larger than it bypass the cache: they miss and displace nothing."""
