@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_join as N
+from tidemark.llm.common import Cuts
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,25 +94,59 @@ def test_links_of_all_classes(spark):
     assert sorted((r.a, r.b) for r in links.collect()) == sorted(want) and len(want) > 100
 
 
-def passage_rows(copies):
-    rng = random.Random(9)
-    shared = " ".join(f"s{i}" for i in range(70))
-    return [(i, " ".join(f"u{rng.randrange(10**7)}" for _ in range(60)) + " " + shared + f" e{i}") for i in range(copies)]
-
-
-def test_unlike_documents_with_one_passage_make_few_pairs(spark, monkeypatch):
-    seen = []
-    verified = N.Join.verified
-    monkeypatch.setattr(N.Join, "verified", lambda self, pairs: (seen.append(pairs.count()), verified(self, pairs))[1])
-    for copies in (1000, 5000):
-        seen.clear()
-        df = spark.createDataFrame(passage_rows(copies), "doc_id long, text string")
-        assert N.ngram_components(df).filter("doc_id != component_id").isEmpty()
-        assert sum(seen) <= copies
-    rng = random.Random(2)  # one rare word in all, by words: the suffixes differ
-    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " a") for i in range(240)], "doc_id long, text string")
-    seen.clear()
-    assert N.ngram_components(df, n=1).filter("doc_id != component_id").isEmpty() and sum(seen) <= 240
+def templated(docs, own, shared, spread=0, seed=9):
+    """Documents of ``shared`` template words behind ``own`` words, or up to ``spread`` more, of their own."""
+    rng = random.Random(seed)
+    template = " ".join(f"s{i}" for i in range(shared))
+    return [(i, " ".join(f"u{rng.randrange(10**8)}" for _ in range(own + rng.randint(0, spread))) + " " + template) for i in range(docs)]
+
+
+def test_unlike_documents_of_one_template_do_not_meet(spark, monkeypatch):
+    lists, met, checked = [], [], []
+    for name, seen in (("lists", lists), ("pairs", met), ("verified", checked)):
+        whole = getattr(N.Join, name)
+        monkeypatch.setattr(N.Join, name, lambda self, *a, whole=whole, seen=seen: (seen.append((a[0] if a else whole(self)).count()), whole(self, *a))[1])
+    # template shares of 76 to 85 %: all prefixes hold n-grams of the template
+    for own, shared, spread, sizes in ((20, 84, 0, (8000,)), (26, 84, 0, (1000,)), (15, 85, 0, (1000,)), (18, 84, 8, (1000, 4000))):
+        for docs in sizes:
+            for seen in (lists, met, checked):
+                seen.clear()
+            df = spark.createDataFrame(templated(docs, own, shared, spread), "doc_id long, text string")
+            assert all(N.prefix_length(own + k + shared - 4, 75) > own + k for k in range(spread + 1))
+            assert N.ngram_components(df).filter("doc_id != component_id").isEmpty()
+            assert sum(met) <= docs and sum(checked) <= docs, (own, shared, docs, lists, met, checked)
+
+
+def test_templates_at_the_bound_against_brute_force(spark):
+    rows = [(i + 100 * k, t) for k, (own, shared, spread) in enumerate([(12, 84, 5), (13, 84, 0), (2, 30, 9), (30, 9, 9)]) for i, t in templated(40, own, shared, spread, seed=k)]
+    check(spark, rows, n=5)
+    rng = random.Random(2)  # one rare word in all, by words
+    check(spark, [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " a") for i in range(240)], n=1)
+
+
+def test_list_pairs_are_those_that_the_filters_pass(spark):
+    rng = random.Random(6)
+    rows = [(g, i, n, rng.randrange(N.prefix_length(n, 75)), rng.randrange(3)) for g in range(4) for i in range(60) for n in [rng.randint(1, 90)]]
+    df = spark.createDataFrame(rows, "gram long, doc long, n int, p int, component int")
+    want = set()
+    for g, a, m, p, x in rows:
+        for h, b, n, q, y in rows:
+            if g == h and (m, a) < (n, b) and x != y and 100 * m >= 75 * n and 175 * min(m - p, n - q) >= 75 * (m + n):
+                want.add((g, a, b, p, q))
+    got = N.list_pairs(df, df, 75).collect()
+    assert sorted(tuple(r) for r in got) == sorted(w[1:] for w in want) and len(want) > 50
+
+
+def test_frequencies_add_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(N, "FAN_IN", 3)
+    docs = [(i, f"a b c d{i % 7} e{i}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc long, text string").repartition(40)
+    cuts = Cuts(spark)
+    hashed = cuts.cut(N._hashed(df, 2))
+    want = np.zeros(N.BUCKETS, np.int64)
+    for _, text in docs:
+        want += np.bincount(N.bucket(N.shingles(text, 2, N.WordHashes())), minlength=N.BUCKETS)
+    assert (N._total(cuts, hashed.filter("counts is not null").select("counts")) == want).all() and want.sum() == 1200
 
 
 def test_each_pair_is_verified_once(spark, monkeypatch):

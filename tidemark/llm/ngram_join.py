@@ -12,6 +12,12 @@ order is cut into ranges of equal mass, a set's outline says how many of its
 n-grams lie in or before each, and no range of both suffixes shares more than the
 lesser count. What passes is verified on the whole sets, each pair once.
 
+Of two similar sets the smaller one meets the other at a place that is early even for
+sets of its own size, so that a list in which no document has its n-gram so early is
+left out. An entry's place also says how large a partner may be: lists are joined by
+bands of sizes, and an entry meets only the bands within its reach. Documents that
+fill one template and are unlike each other thus don't meet, however many they are.
+
 Equal sets are one class. In each n-gram's list the document that has it first in
 its order stands for the others: they are compared with it first, and only documents that are then in
 another component than it meet the rest of the list. A group of near copies thus
@@ -40,6 +46,10 @@ BUCKETS, OUTLINE = 1 << 20, 64
 SIEVE_WORDS = 1 << 20
 #: Hashes of words that a worker remembers, and n-grams that it orders at once.
 REMEMBERED, ORDERED = 200_000, 1 << 19
+#: Frequency tables that a task, and the driver, add up.
+FAN_IN = 16
+#: The sizes of a band differ by less than this ratio.
+BAND = 1.06
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -89,12 +99,12 @@ def _hashed(docs: DataFrame, n: int) -> DataFrame:
     arrow = pa.schema([*[(c, pa.int64()) for c in ("doc", "n", "d1", "d2")], ("elements", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(BUCKETS, np.uint32), WordHashes()
+        counts, known = np.zeros(BUCKETS, np.int64), WordHashes()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = [shingles(t, n, known) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 flat = np.concatenate(sets)
-                counts += np.bincount(bucket(flat), minlength=BUCKETS).astype(np.uint32)
+                counts += np.bincount(bucket(flat), minlength=BUCKETS)
                 digest = np.array([(xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1)) for raw in (s.tobytes() for s in sets)], np.uint64).view(np.int64)
                 sizes = [len(s) for s in sets]
                 columns = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists_of(sizes, flat), pa.nulls(b - a, pa.binary())]
@@ -104,18 +114,22 @@ def _hashed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
-def _total(tables: DataFrame) -> np.ndarray:
-    """The sum of the tasks' frequency tables, added up by 16 tasks, then on the driver."""
+def _total(cuts: Cuts, tables: DataFrame) -> np.ndarray:
+    """The sum of the tasks' frequency tables: a tree of tasks that add up ``FAN_IN`` or so,
+    the last few on the driver."""
+
+    def add(raws) -> np.ndarray:
+        return sum((np.frombuffer(zlib.decompress(raw.as_py()), np.int64) for raw in raws), np.zeros(BUCKETS, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                counts += np.frombuffer(zlib.decompress(raw.as_py()), np.uint32)
+        counts = sum((add(batch.column(0)) for batch in batches), np.zeros(BUCKETS, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
 
-    got = tables.repartition(16).mapInArrow(run, "counts binary").toArrow()["counts"]
-    return sum((np.frombuffer(zlib.decompress(raw.as_py()), np.int64) for raw in got), np.zeros(BUCKETS, np.int64))
+    left = tables.count()
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        tables = cuts.cut(tables.repartition(left).mapInArrow(run, "counts binary"))
+    return add(tables.toArrow()["counts"])
 
 
 class Order:
@@ -193,6 +207,35 @@ def _meets(m: str, p: str, n: str, q: str, percent: int) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & similar(F.least(m - p, n - q), m, n, percent)
 
 
+def reach(n: Column, p: Column, percent: int) -> Column:
+    """Largest set that one of size n can be similar to if place p holds the first n-gram they share."""
+    return F.floor((100 + percent) * (n - p) / percent).cast("int") - n
+
+
+def early(n: Column, p: Column, percent: int) -> Column:
+    """Whether a set of size n can so meet one of its size or more."""
+    return reach(n, p, percent) >= n
+
+
+def band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
+def list_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Meetings (doc, od at places p, op) of entries (gram, doc, n, p, component) of ``small``
+    with those of ``large`` in a list, where the first is of the smaller document (ties:
+    smaller key), components differ and the length and positional filters pass. The smaller
+    one's entry stands in its size's band, the larger one's is asked of each band within its reach."""
+    low = F.ceil(percent * F.col("n") / 100)
+    far = reach(F.col("n"), F.col("p"), percent)
+    s = small.filter(early(F.col("n"), F.col("p"), percent)).withColumn("band", band(F.col("n"))).alias("s")
+    l = large.filter(far >= low).withColumn("band", F.explode(F.sequence(band(low), band(F.least(F.col("n"), far))))).alias("l")  # noqa: E741
+    order = F.struct("s.n", "s.doc") < F.struct("l.n", "l.doc")
+    on = (F.col("s.gram") == F.col("l.gram")) & (F.col("s.band") == F.col("l.band")) & order & (F.col("s.component") != F.col("l.component"))
+    met = s.join(l, on & _meets("s.n", "s.p", "l.n", "l.p", percent))
+    return met.select(F.col("s.doc").alias("doc"), F.col("l.doc").alias("od"), F.col("s.p").alias("p"), F.col("l.p").alias("op"))
+
+
 class Join:
     """The tables of one join."""
 
@@ -200,7 +243,7 @@ class Join:
         self.cuts, self.percent = Cuts(df.sparkSession), percent
         docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
         hashed = self.cuts.cut(_hashed(docs, n))
-        counts = _total(hashed.filter("counts is not null").select("counts"))
+        counts = _total(self.cuts, hashed.filter("counts is not null").select("counts"))
         self.rows = hashed.filter("counts is null").select("doc", "n", "d1", "d2")
         self.sets = hashed.filter("counts is null and n > 0 and doc is not null").select("doc", "n", "d1", "d2", "elements")
         firsts = _prefixes(self.sets, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "outline", "prefix")).alias("x")).select("x.*")
@@ -214,17 +257,20 @@ class Join:
         return bloom.build(self.cuts, keys, bloom.words_for(keys.count(), 12, SIEVE_WORDS))
 
     def lists(self) -> DataFrame:
-        """gram, doc, n, p of n-grams of several classes' prefixes, and the document
-        ``ld`` that has it at the earliest place ``lp``, ties by hash: one of the many
+        """gram, doc, n, p of the prefixes' n-grams that several classes have, one of them early,
+        and the document ``ld`` that has it at the earliest place ``lp``, ties by hash: one of the many
         members of a group for each n-gram, so that few are left unlike all of them."""
         cut = self.cuts.cut
-        shared = cut(self.firsts.select(F.explode("prefix").alias("gram")).groupBy("gram").count().filter("count > 1").select("gram"))
-        some = cut(self.firsts.select("doc", "n", F.posexplode("prefix").alias("p", "gram")).filter(self.sieve(shared).passes(F.col("gram"))))
-        entries = cut(some.join(shared, "gram"))
+        soon = early(F.col("n"), F.col("p"), self.percent)
+        entries = self.firsts.select("doc", "n", F.posexplode("prefix").alias("p", "gram"))
+        several = (F.count("*") > 1) & F.bool_or(soon)
+        shared = cut(entries.groupBy("gram").agg(several.alias("several")).filter("several").select("gram"))
+        some = cut(entries.filter(self.sieve(shared).passes(F.col("gram"))))
         turn = F.col("p").cast("long") * F.lit(1 << 40) + F.shiftrightunsigned(F.xxhash64("doc", "gram"), 24)
-        leads = cut(entries.groupBy("gram").agg(F.min_by("doc", turn).alias("ld"), F.shiftright(F.min(turn), 40).cast("int").alias("lp")))
-        out = cut(entries.join(leads, "gram"))
-        self.cuts.drop(shared, some, entries, leads)
+        leads = some.groupBy("gram").agg(F.min_by("doc", turn).alias("ld"), F.shiftright(F.min(turn), 40).cast("int").alias("lp"), several.alias("several"))
+        leads = cut(leads.filter("several").drop("several"))
+        out = cut(some.join(leads, "gram"))
+        self.cuts.drop(shared, some, leads)
         return out
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
@@ -265,8 +311,8 @@ def ngram_links(df: DataFrame, n: int = 5, percent: int = 75, text: str = "text"
     """
     join = Join(df, n, percent, text, key)
     lists = join.lists()
-    other = lists.select("gram", F.col("doc").alias("od"), F.col("n").alias("on_"), F.col("p").alias("op"))
-    met = lists.join(other, "gram").filter("doc < od").filter(_meets("n", "p", "on_", "op", percent))
+    lists = lists.withColumn("component", F.col("doc"))
+    met = list_pairs(lists, lists, percent)
     links = join.verified(join.filtered(join.pairs(met)))
     fit = join.rows.filter("n > 0 and doc is not null")
     classes = fit.join(fit.groupBy("d1", "d2").agg(F.min("doc").alias("class_id")), ["d1", "d2"])
@@ -295,8 +341,9 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, text: str = "
     placed = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = placed.join(found.select(F.col("node").alias("ld"), F.col("component").alias("lead")), "ld", "left").withColumn("lead", F.coalesce("lead", "ld"))
     placed = cuts.cut(placed.select("gram", "doc", "n", "p", "component", "lead"))
-    odd = cuts.cut(placed.filter("component != lead").selectExpr("gram", "doc as od", "n as on_", "p as op", "component as oc"))
-    met = odd.join(placed, "gram").filter(F.col("oc") != F.col("component")).filter(_meets("n", "p", "on_", "op", percent))
+    odd = cuts.cut(placed.filter("component != lead"))
+    beside = placed.filter(join.sieve(odd.select("gram").distinct()).passes(F.col("gram")))
+    met = list_pairs(odd, beside, percent).union(list_pairs(beside.filter("component = lead"), odd, percent))
     rest = join.pairs(met).join(stars, ["a", "b"], "left_anti")  # each pair once
     rest = join.verified(join.filtered(rest))
 
