@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import __main__ as main
 from tidemark.plans import experiments
 from tidemark.sources import runs, tables
 from tidemark.streaming import sessions
@@ -57,6 +58,23 @@ def test_smoke_and_formats(spark, tmp_path):
         tables.access_log(spark, "x", "xls")
 
 
+def test_dependencies_of_driver_and_workers(spark):
+    got = {r.package: r for r in experiments.dependencies(spark, (*experiments.NEEDED, "no-such-package")).collect()}
+    assert all(got[p].same and got[p].workers == [got[p].driver] for p in experiments.NEEDED)
+    assert not got["no-such-package"].same and got["no-such-package"].driver is None
+
+
+def test_yaml_configuration(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "run.yaml"
+    path.write_text("action: baseline\ninput: in\noutput: out\nrun_id: 7\nspark:\n  spark.sql.shuffle.partitions: 8\n")
+    assert main.configured(str(path)) == (["baseline", "in", "out", "7"], {"spark.sql.shuffle.partitions": "8"})
+    for wrong in ("action: x\nother: y\n", "- a list\n", ""):
+        path.write_text(wrong)
+        with pytest.raises(ValueError, match="unknown keys|no table"):
+            main.configured(str(path))
+
+
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     tables.table(spark, SF, "events").repartition(3).write.parquet(f"{tmp_path}/in")
     rows = sessions.arrivals(spark, f"{tmp_path}/in", late="9999 hours")

@@ -3,8 +3,8 @@
 INPUT is a folder of tables or, for the actions that need accesses only, a raw log as
 kind:path, such as csv:/data/logs (csv, json, orc, parquet).
 
-One argument that ends in .toml names a file with these as action, input, output and
-run_id, and Spark settings in a table called spark.
+One argument that ends in .toml, .yaml or .yml names a file with these as action, input,
+output and run_id, and Spark settings in a table called spark. YAML needs PyYAML.
 """
 
 from __future__ import annotations
@@ -20,8 +20,15 @@ from tidemark.plans import experiments
 def configured(path: str) -> tuple[list[str], dict[str, str]]:
     """(arguments, Spark settings) of a configuration file."""
     with open(path, "rb") as f:
-        given = tomllib.load(f)
-    settings = {k: str(v) for k, v in given.pop("spark", {}).items()}
+        if path.endswith(".toml"):
+            given = tomllib.load(f)
+        else:
+            import yaml  # an optional package
+
+            given = yaml.safe_load(f)
+    if not isinstance(given, dict):
+        raise ValueError(f"{path}: no table of settings")
+    settings = {k: str(v) for k, v in (given.pop("spark", None) or {}).items()}
     names = ("action", "input", "output", "run_id")
     if unknown := set(given) - set(names):
         raise ValueError(f"{path}: unknown keys {', '.join(sorted(unknown))}")
@@ -30,7 +37,7 @@ def configured(path: str) -> tuple[list[str], dict[str, str]]:
 
 def main(args: list[str]) -> int:
     settings: dict[str, str] = {}
-    if len(args) == 1 and args[0].endswith(".toml"):
+    if len(args) == 1 and args[0].endswith((".toml", ".yaml", ".yml")):
         args, settings = configured(args[0])
     if len(args) not in (2, 4) or (args[0] == "smoke") != (len(args) == 2):
         print(f"{__doc__}\nActions: smoke, {', '.join(experiments.ACTIONS)}")
@@ -39,7 +46,9 @@ def main(args: list[str]) -> int:
     if args[0] == "smoke":
         rows = experiments.smoke(spark, args[1]).collect()
         print(*[f"{r.table}: {'ok' if r.has_rows else 'empty'}" for r in rows], sep="\n")
-        return int(not all(r.has_rows for r in rows))
+        needs = experiments.dependencies(spark).collect()
+        print(*[f"{r.package}: driver {r.driver}, workers {', '.join(r.workers) or None}" for r in needs], sep="\n")
+        return int(not (all(r.has_rows for r in rows) and all(r.same for r in needs)))
     print(*experiments.run(spark, *args), sep="\n")
     return 0
 

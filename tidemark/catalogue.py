@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import table_functions
 from tidemark.operators import attribution, bootstrap, company, decisions, demand, history, lru, paths, relational, replay, sketches, supervised, vector_index
 from tidemark.sources import runs
 from tidemark.sources.scratch import shared
@@ -618,3 +619,36 @@ def q61(spark, sf):
     """q04's rates from a quarter of the folders, with standard errors."""
     out = lru.sampled_curve(trace(spark, sf), CURVE, 4)
     return out.withColumns({"hit_rate": F.round("hit_rate", 6), "error": F.round("error", 6)})
+
+
+@query("q62_running_decay", """
+    select a.event_id, a.user_id as folder, round(sum(b.value * pow(2, -(epoch_us(a.ts) - epoch_us(b.ts)) / 3.6e9 / 24)), 4) as decayed
+    from events a join events b on a.user_id is not distinct from b.user_id and b.ts <= a.ts group by 1, 2""")
+def q62(spark, sf):
+    """Each folder's reward so far, halved every 24 hours, by a table function."""
+    table_functions.register(spark)
+    accesses = trace(spark, sf).select("event_id", "folder", "ts", "reward")
+    return spark.sql("""
+        select event_id, folder, round(decayed, 4) as decayed
+        from running_decay(TABLE({accesses}), key => 'folder', at => 'ts', value => 'reward', half_life => 24.0)""", accesses=accesses)
+
+
+@query("q63_gap_sessions", """
+    with a as (select event_id, user_id as folder, ts, case when ts - lag(ts) over w <= interval 6 hours then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(fresh) over (partition by folder order by ts rows unbounded preceding) as k from a)
+    select event_id, folder, cast(k as bigint) as session, row_number() over (partition by folder, k order by ts) as place from s""")
+def q63(spark, sf):
+    """Each access's session, ended by a pause of over six hours, by a table function."""
+    table_functions.register(spark)
+    accesses = trace(spark, sf).select("event_id", "folder", "ts")
+    return spark.sql("select event_id, folder, session, place from gap_sessions(TABLE({accesses}), key => 'folder', at => 'ts', gap => 21600)", accesses=accesses)
+
+
+@query("q64_sized_miss_class", f"""
+    with {_TRACE}, f as (select event_id, folder, size, row_number() over (order by ts, event_id) as pos from t where size <= 5),
+    g as (select *, lag(pos) over (partition by folder order by pos) as prev from f), {_DEPTH.format(w="size", q="g")}
+    select event_id, size, case when prev is null then 'cold' when depth > 5 then 'capacity' else 'hit' end as class from d
+    union all select event_id, size, 'oversize' from t where size > 5""")
+def q64(spark, sf):
+    """Why each access misses a cache of 5 units of folder size, which the largest folders never fit."""
+    return attribution.classed(lru.sized(trace(spark, sf), 5), 5).select("event_id", "size", "class")

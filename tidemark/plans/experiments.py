@@ -6,8 +6,13 @@ run has its own directory, and one writer at a time holds the output.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib import metadata
+
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark import catalogue
 from tidemark.operators import decisions, paths, replay, supervised, vector_index
@@ -17,7 +22,7 @@ from tidemark.sources.tables import table, trace
 #: Action -> reports (catalogue queries) that it writes.
 ACTIONS: dict[str, tuple[str, ...]] = {
     "baseline": ("q02_lru_hits", "q03_lru_hits_sized", "q04_hit_curve", "q61_sampled_curve", "q05_hit_rate_by_day", "q05_hit_rate_by_folder"),
-    "miss-attribution": ("q06_miss_class", "q07_attribution", "q08_worst_folders", "q09_reuse_gaps"),
+    "miss-attribution": ("q06_miss_class", "q64_sized_miss_class", "q07_attribution", "q08_worst_folders", "q09_reuse_gaps"),
     "actor-build-vector-store": ("q10_path_tokens", "q11_path_rollup", "q12_hashed_vectors"),
     "path-company": ("q59_company_weights", "q60_company_vectors"),
     "actor-prepare-data": ("q14_trailing_count", "q15_since_last", "q16_daily_demand", "q17_last_kinds", "q18_decayed_score", "q19_next_access", "q20_split", "q21_negatives", "q22_training_rows"),
@@ -27,7 +32,7 @@ ACTIONS: dict[str, tuple[str, ...]] = {
     "rl-train-critic": ("q46_td_matrix", "q47_td_critic"),
     "rl-train-actor": ("q48_fitted_q",),
     "rl-evaluate": ("q44_policy_value", "q49_greedy_policy_value"),
-    "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders", "q54_month_of_sketches", "q55_sketch_bounds"),
+    "analysis": ("q35_json_props", "q36_cube", "q37_demand_ranks", "q38_folder_sets", "q39_as_of", "q40_within_an_hour", "q41_distinct_folders", "q54_month_of_sketches", "q55_sketch_bounds", "q62_running_decay", "q63_gap_sessions"),
     "demand-forecast": ("q42_demand_forecast", "q52_intermittent_forecast", "q53_forecast_error"),
     "ablation": ("q33_ablation", "q34_paired_capacities", "q56_ablation_intervals"),
 }
@@ -82,3 +87,31 @@ def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per table that the queries read: its name and whether it has rows."""
     names = ("events", "pages", "embeddings")
     return spark.createDataFrame([(n, not table(spark, sf_dir, n).isEmpty()) for n in names], "table string, has_rows boolean")
+
+
+#: Packages that tasks import.
+NEEDED = ("numpy", "pandas", "pyarrow", "xxhash")
+
+
+def _version(package: str) -> str | None:
+    try:
+        return metadata.version(package)
+    except metadata.PackageNotFoundError:
+        return None
+
+
+def dependencies(spark: SparkSession, packages: tuple[str, ...] = NEEDED) -> DataFrame:
+    """One row per package: its version on the driver (null: missing), the versions that
+    workers have, and whether all have the driver's. As many tasks ask as run at once,
+    which reaches every executor only if each gets one."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"package": list(packages), "found": [_version(p) for p in packages]}, schema=pa.schema([("package", pa.string()), ("found", pa.string())]))
+
+    tasks = spark.sparkContext.defaultParallelism
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(ask, "package string, found string")
+    own = spark.createDataFrame([(p, _version(p)) for p in packages], "package string, driver string")
+    seen = found.groupBy("package").agg(F.sort_array(F.collect_set("found")).alias("workers"), F.count_if(F.col("found").isNull()).alias("missing"))
+    same = F.col("driver").isNotNull() & (F.col("missing") == 0) & (F.col("workers") == F.array("driver"))
+    return own.join(seen, "package").select("package", "driver", "workers", same.alias("same"))
