@@ -22,7 +22,8 @@ from tidemark.sources.tables import table, trace
 #: Action -> reports (catalogue queries) that it writes.
 ACTIONS: dict[str, tuple[str, ...]] = {
     "baseline": ("q02_lru_hits", "q03_lru_hits_sized", "q04_hit_curve", "q61_sampled_curve", "q05_hit_rate_by_day", "q05_hit_rate_by_folder"),
-    "miss-attribution": ("q06_miss_class", "q64_sized_miss_class", "q07_attribution", "q08_worst_folders", "q09_reuse_gaps"),
+    "miss-attribution": ("q06_miss_class", "q07_attribution", "q08_worst_folders", "q09_reuse_gaps"),
+    "sized-miss-attribution": ("q64_sized_miss_class",),
     "actor-build-vector-store": ("q10_path_tokens", "q11_path_rollup", "q12_hashed_vectors"),
     "path-company": ("q59_company_weights", "q60_company_vectors"),
     "actor-prepare-data": ("q14_trailing_count", "q15_since_last", "q16_daily_demand", "q17_last_kinds", "q18_decayed_score", "q19_next_access", "q20_split", "q21_negatives", "q22_training_rows"),
