@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,3 +66,22 @@ def test_cuts_are_shared_and_dropped(spark):
     assert two.count() == 4
     with pytest.raises(Exception, match="(?i)exist"):
         spark.read.parquet(f"{cuts.root}/1")
+
+
+def test_workers_get_small_batches_unless_the_session_has_a_bound(spark):
+    mine = spark.newSession()
+    texts = mine.range(0, 20_000, 1, 1).select(F.expr("if(id = 77, repeat('y', 9000000), repeat('x', 2000))").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    added = T.StructType([T.StructField("n", T.LongType())])
+    assert common.map_texts(texts, "text", added, lambda: lambda t: [[len(x) for x in t]], keep_text=False).agg(F.sum("n")).first()[0] == 19_999 * 2000 + 9_000_000
+    got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    # the row that goes past the bound is the last of its batch
+    assert sum(r.rows for r in got) == 20_000 and sorted(r.bytes for r in got)[-2] <= 1.1 * common.BATCH_BYTES
+    other = spark.newSession()
+    other.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "12345678")
+    common.small_batches(other.range(1))
+    assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("12345678", "12345678b")

@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -185,3 +186,12 @@ def test_suffix_bound_is_never_too_small():
             assert x[p] == y[q]
             behind = lambda o, k: np.diff(np.maximum(o, k + 1), prepend=k + 1)
             assert len(both) <= 1 + np.minimum(behind(outlines[i], p), behind(outlines[j], q)).sum() <= min(len(x) - p, len(y) - q)
+
+
+def test_order_is_small_and_ranks_as_wide_as_they_need_be():
+    counts = np.random.default_rng(5).integers(0, 3000, N.BUCKETS)
+    order = N.Order(counts)
+    assert len(pickle.dumps(order)) < 3 << 20
+    assert (np.unique(counts)[order.rank] == counts).all()
+    wide = N.Order(np.arange(N.BUCKETS))
+    assert (wide.rank == np.arange(N.BUCKETS)).all()

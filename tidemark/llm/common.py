@@ -18,6 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that Spark sends a Python worker, where the session has no bound of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Arrow batches of about ``BATCH_BYTES``.
+
+    By default a batch has up to 64 MB, and each task holds it several times over: in
+    Spark, outside of the heap and while it grows twice, and in the Python worker. A longer row is
+    a batch by itself. A bound that the session has been given stays."""
+    conf = df.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def _remove(jvm, path: str) -> None:
     """Delete a folder of this process's tables; what can't be reached stays."""
     with contextlib.suppress(Exception):
@@ -129,7 +144,7 @@ def map_texts(df: DataFrame, text: str, added: T.StructType, setup: Callable[[],
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out_names)
 
-    return df.select(*[F.col(f"`{n}`") for n in wanted]).mapInArrow(run, T.StructType(kept + list(added)))
+    return small_batches(df).select(*[F.col(f"`{n}`") for n in wanted]).mapInArrow(run, T.StructType(kept + list(added)))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bloom
-from tidemark.llm.common import Cuts, components, slices
+from tidemark.llm.common import Cuts, components, slices, small_batches
 
 #: Buckets of the frequency table (a power of two) and ranges of a set's outline.
 BUCKETS, OUTLINE = 1 << 20, 64
@@ -104,14 +104,14 @@ def _hashed(docs: DataFrame, n: int) -> DataFrame:
             for a, b in slices(batch.column(1)):
                 sets = [shingles(t, n, known) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 flat = np.concatenate(sets)
-                counts += np.bincount(bucket(flat), minlength=BUCKETS)
+                np.add.at(counts, bucket(flat), 1)
                 digest = np.array([(xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1)) for raw in (s.tobytes() for s in sets)], np.uint64).view(np.int64)
                 sizes = [len(s) for s in sets]
                 columns = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists_of(sizes, flat), pa.nulls(b - a, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
         yield pa.RecordBatch.from_pylist([{"counts": zlib.compress(counts.tobytes(), 1)}], schema=arrow)
 
-    return docs.select("doc", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc", "text").mapInArrow(run, schema)
 
 
 def _total(cuts: Cuts, tables: DataFrame) -> np.ndarray:
@@ -137,7 +137,7 @@ class Order:
 
     def __init__(self, counts: np.ndarray):
         each, rank = np.unique(counts, return_inverse=True)
-        self.rank = rank.astype(np.int32)
+        self.rank = rank.astype(np.min_scalar_type(len(each)))  # tasks get it: mostly 2 MB
         self.mass = (each * np.bincount(rank)).astype(np.uint64)
         self.below = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.mass)[:-1].astype(np.uint64)))
         self.total = max(1, int(self.mass.sum()))
@@ -153,14 +153,13 @@ class Order:
         return flat[at], np.cumsum(outline, axis=1).astype(np.int32)
 
 
-def _prefixes(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+def _prefixes(sets: DataFrame, percent: int, order: Order) -> DataFrame:
     """doc, size, digests, outline and prefix, rare first."""
     long = T.LongType()
     fields = [T.StructField(c, long) for c in ("doc", "n", "d1", "d2")]
     schema = T.StructType([*fields, T.StructField("outline", T.ArrayType(T.IntegerType(), False)), T.StructField("prefix", T.ArrayType(long, False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(counts)
         for batch in batches:
             total = np.cumsum(batch.column(1).to_numpy())
             start = 0
@@ -177,7 +176,7 @@ def _prefixes(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
                 outlines = lists_of(np.full(len(sizes), OUTLINE), outline.ravel())
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], outlines, prefix], names=["doc", "n", "d1", "d2", "outline", "prefix"])
 
-    return sets.select("doc", "n", "d1", "d2", "elements").mapInArrow(run, schema)
+    return small_batches(sets).select("doc", "n", "d1", "d2", "elements").mapInArrow(run, schema)
 
 
 def similar(common: Column, m: Column, n: Column, percent: int) -> Column:
@@ -246,7 +245,7 @@ class Join:
         counts = _total(self.cuts, hashed.filter("counts is not null").select("counts"))
         self.rows = hashed.filter("counts is null").select("doc", "n", "d1", "d2")
         self.sets = hashed.filter("counts is null and n > 0 and doc is not null").select("doc", "n", "d1", "d2", "elements")
-        firsts = _prefixes(self.sets, percent, counts).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "outline", "prefix")).alias("x")).select("x.*")
+        firsts = _prefixes(self.sets, percent, Order(counts)).groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "outline", "prefix")).alias("x")).select("x.*")
         #: the first document of each class
         self.firsts = self.cuts.cut(firsts.withColumn("n", F.col("n").cast("int")))
         self.outlines = self.firsts.select("doc", "n", "outline")
