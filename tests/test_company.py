@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import company as C
 from tidemark.operators import paths
+from tidemark.sources.scratch import shared
 from tidemark.sources.tables import trace
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +70,55 @@ def test_a_matrix_of_small_rank_and_an_empty_one(spark):
     assert C.directions(cells.limit(0), k=2, spare=2)[0].count() == 0
 
 
+def test_a_block_in_parts_and_spans_gives_the_same_directions(spark, monkeypatch):
+    cells = C.weighed(C.pairs(C.visits(trace(spark, SF), 600)))
+    want, values = C.directions(cells, k=4, spare=6)
+    for name, few in (("SPAN_BYTES", 1 << 10), ("PACK", 500), ("PIECE", 7), ("STEP", 5)):
+        monkeypatch.setattr(C, name, few)
+    got, again = C.directions(cells, k=4, spare=6)
+    want, got = ({r.path: r.y for r in x.collect()} for x in (want, got))
+    assert got.keys() == want.keys() and np.allclose(values, again)
+    a, b = (np.array([x[n] for n in sorted(want)]) for x in (want, got))
+    assert np.allclose(np.abs(a.T @ b), np.eye(4), atol=1e-8)
+
+
+def test_cells_of_numbers_are_those_of_paths(spark):
+    rng = random.Random(5)
+    rows = [(s, i, rng.choice([None, *"abcdefghij"])) for s in range(30) for i in range(rng.randrange(12))]
+    seen = spark.createDataFrame(rows, "session long, place int, path string")
+    counts = C.pairs(seen, 3)
+    margins = C.margins(seen, 3)
+    assert {r.path: r.m for r in margins.filter("m > 0").collect()} == {r.a: r.m for r in counts.groupBy("a").agg(F.sum("n").alias("m")).collect()}
+    names = margins.withColumn("number", F.ascii("path").cast("long"))
+    visited = seen.join(names, "path", "left").select("session", "place", F.struct(F.col("number").alias("i"), "m").alias("own"))
+    got = {(chr(r.a), chr(r.b)): r.w for r in C.numbered_cells(visited, names, 3).collect()}
+    want = {(r.a, r.b): r.w for r in C.weighed(counts).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_disk_is_given_back(spark):
+    """Of the blocks only the last one stays, and no shuffle but what the driver's garbage holds from before."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    def tables():
+        top = shared(spark).removeprefix("file:")
+        return {f"{d}/{x}" for d, names, _ in os.walk(top) for x in names if "/scratch-" in d}
+
+    seen = C.visits(trace(spark, SF), 600)
+    shuffled, made = shuffles(), tables()
+    vectors = C.company_vectors(seen)
+    for _ in range(100):
+        if not (left := shuffles() - shuffled):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert len({x for x in tables() - made if not x.rsplit("/", 1)[1].startswith("_")}) == 2  # the names, the block
+    assert not vectors.isEmpty()
+
+
 def neighbours(vectors, k=5):
     ids = vectors.withColumn("vec_id", F.xxhash64("path")).select("vec_id", "path", "embedding")
     near = paths.nearest_in_blocks(ids.select("vec_id", "embedding"), ids.selectExpr("vec_id as query_id", "embedding as q"), k)

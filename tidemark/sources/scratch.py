@@ -36,10 +36,17 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.made = spark, f"{shared(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.at: dict[DataFrame, str] = {}
         atexit.register(_delete, spark, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write a table and read it again, so that its lineage ends there."""
         self.made += 1
         df.write.parquet(path := f"{self.root}/{self.made}")
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at[out] = path
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that ``cut`` returned and that nothing reads any more."""
+        _delete(self.spark, self.at.pop(table))
